@@ -175,7 +175,7 @@ def annotate_samples(samples: DataFrame, regions: DataFrame, entity: str, t: str
     nested-loop join.  Work is proportional to region length / bucket width.
     """
     b = F.lit(float(bucket))
-    r = regions.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"), F.monotonically_increasing_id().alias("_rid"))
+    r = regions.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"))
     r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / b).cast("bigint"),
                                                 F.floor(F.col("_e") / b).cast("bigint"))))
     s = samples.withColumn("_b", F.floor(F.col(t) / b).cast("bigint"))

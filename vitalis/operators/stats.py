@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, BooleanType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from vitalis.functions.columns import safe_div
 
@@ -269,13 +269,11 @@ def duplicates(df: DataFrame, subset: Sequence[str], row_id: str | None = None,
 def duplicate_summary(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """total rows that have a duplicate (keep=False), their percent, number of groups."""
     counts = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
     dup = counts.agg(
         F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("bigint").alias("total_duplicates"),
         F.count_if(F.col("n") > 1).cast("bigint").alias("duplicate_groups"),
         F.sum("n").cast("bigint").alias("rows"),
     )
-    del total
     return dup.select("total_duplicates", "duplicate_groups",
                       safe_div(F.col("total_duplicates") * F.lit(100.0), F.col("rows")).alias("duplicate_pct"))
 
@@ -414,5 +412,8 @@ def first_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = StringType
+
+
+def topk(df: DataFrame, value: str, name: str, n: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Top ``n`` rows by ``value`` desc (ties by name); companion columns travel with their row."""
+    return df.select(name, value, *extra).orderBy(F.col(value).desc_nulls_last(), F.col(name)).limit(n)
