@@ -134,8 +134,10 @@ def classification_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "
     extra = summary.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("label"), nul.alias("precision"), nul.alias("recall"),
                  F.col("acc").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")),
+        F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1"), F.col("n").alias("support")),
     )).alias("r")).select("r.*")
     return rows.unionByName(extra)
 

@@ -196,9 +196,9 @@ def preds_multi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDS_MULTI_SQL = """SELECT row_id, y_true, scores,
        CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS y_pred
 FROM (SELECT vec_id AS row_id, label AS y_true,
-             list_transform(ex, x -> x / list_sum(ex)) AS scores
+             list_transform(ex, lambda x: x / list_sum(ex)) AS scores
       FROM (SELECT vec_id, label,
-                   list_transform(CAST(embedding AS DOUBLE[])[1:10], x -> exp(x)) AS ex
+                   list_transform(CAST(embedding AS DOUBLE[])[1:10], lambda x: exp(x)) AS ex
             FROM embeddings) q) r"""
 
 
