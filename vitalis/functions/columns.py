@@ -54,11 +54,20 @@ def round_doubles(df, digits: int = 6, overrides: Mapping[str, int] | None = Non
         if t in ("double", "float"):
             d = overrides.get(f.name, digits)
             out.append(round_half(F.col(f.name).cast("double"), d).alias(f.name))
+        elif t == "array" and f.dataType.elementType.typeName() in ("double", "float"):
+            d = overrides.get(f.name, digits)
+            out.append(F.transform(F.col(f.name), _elem_rounder(d)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
 
 
+def _elem_rounder(digits: int):
+    def fn(x):
+        return round_half(x.cast("double"), digits)
+    return fn
+
+
 def md5_unit(seed: int | str, *keys: ColumnOrName) -> Column:
     """Replayable uniform number in [0, 1) from md5('seed|key1|key2...').
 

@@ -9,12 +9,15 @@ def R(expr: str, digits: int = 6) -> str:
     return f"(CAST(floor(({expr}) * {m} + 0.6234567) AS DOUBLE) / {m} + 0.0)"
 
 
-def rounded(inner: str, doubles: list[str], digits: int = 6, overrides: dict[str, int] | None = None) -> str:
-    """SELECT * REPLACE(rounded double columns) FROM (inner)."""
+def rounded(inner: str, doubles: list[str], digits: int = 6, overrides: dict[str, int] | None = None,
+            arrays: list[str] | None = None) -> str:
+    """SELECT * REPLACE(rounded double columns and double arrays) FROM (inner)."""
     overrides = overrides or {}
-    if not doubles:
+    arrays = arrays or []
+    if not doubles and not arrays:
         return inner
-    reps = ", ".join(f"{R(f'q.{c}', overrides.get(c, digits))} AS {c}" for c in doubles)
+    reps = ", ".join([f"{R(f'q.{c}', overrides.get(c, digits))} AS {c}" for c in doubles] +
+                     [f"list_transform(q.{c}, lambda x: {R('x', overrides.get(c, digits))}) AS {c}" for c in arrays])
     return f"SELECT * REPLACE ({reps}) FROM (\n{inner}\n) q"
 
 
