@@ -102,4 +102,21 @@ def average_rank(df: DataFrame, value_col: str, rank_col: str | None = None,
     return df.join(ranks, value_col, "left")
 
 
-__all__ = ["prefix_sums", "global_row_number", "average_rank"]
+__all__ = ["prefix_sums", "global_row_number", "average_rank", "rank_in_group"]
+
+
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank",
+                  num_partitions: int | None = None) -> DataFrame:
+    """0-based rank of each row inside its key group by ``order`` (keys + order unique).
+
+    Same result as ``row_number() - 1`` over a window partitioned by the keys,
+    but a hot group is spread over several range partitions instead of being
+    sorted inside one task.
+    """
+    keys = list(keys)
+    base = df.withColumn("_one", F.lit(1.0))
+    pref = prefix_sums(base, [*[F.col(k).asc() for k in keys], *order], ["_one"], num_partitions=num_partitions)
+    starts = pref.groupBy(*keys).agg(F.min("_one_before").alias("_start"))
+    j = pref.join(starts, keys)
+    return j.withColumn(name, (F.col("_one_before") - F.col("_start")).cast("bigint")).drop(
+        "_one", "_one_before", "_start")
