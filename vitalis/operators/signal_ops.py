@@ -191,6 +191,9 @@ def time_windows(df: DataFrame, ts: str, size: str, step: str, keys: Sequence[st
                  value: str | None = None, watermark: str | None = None) -> DataFrame:
     """Time-stamped hopping windows (``F.window``); with ``watermark`` it runs on a stream."""
     if watermark:
+        # watermarks need a zone-aware event time; naive timestamps are read in the session time zone
+        if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+            df = df.withColumn(ts, F.col(ts).cast("timestamp"))
         df = df.withWatermark(ts, watermark)
     aggs = [F.count(F.lit(1)).alias("n")]
     if value:
