@@ -168,6 +168,12 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
         any_null = any_null | F.col(c).isNull()
     feats = df.select(F.col(row_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols])
     receivers = feats.where(any_null)
+    # each donor row costs |receivers| distance evaluations: spread donors over all cores even
+    # when the scan has few splits (a small file gives a single partition)
+    donors = feats
+    want = spark.sparkContext.defaultParallelism
+    if donors.rdd.getNumPartitions() < want:
+        donors = donors.repartition(want, "_rid")
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first().asDict()
 
     n_recv = receivers.count()
@@ -180,37 +186,64 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
         bc = spark.sparkContext.broadcast(
             (rpdf["_rid"].to_numpy(np.int64), rpdf[cols].to_numpy(np.float64)))
 
-        def top_k(batches, bc=bc, chunk=256):
+        def top_k(batches, bc=bc, chunk=1024, rblock=4096):
             import pandas as pd
 
             rids, R = bc.value
             Rm = ~np.isnan(R)
+            R0 = np.nan_to_num(R)
             nr = len(rids)
+            big = np.iinfo(np.int64).max
             best_d = np.full((p, nr, k), np.inf)
-            best_id = np.full((p, nr, k), np.iinfo(np.int64).max, dtype=np.int64)
+            best_id = np.full((p, nr, k), big, dtype=np.int64)
             best_v = np.zeros((p, nr, k))
             for pdf in batches:
+                pdf = pdf.sort_values("_rid", kind="stable")   # ties inside a chunk resolve by donor id
                 for s0 in range(0, len(pdf), chunk):
                     part = pdf.iloc[s0:s0 + chunk]
                     D = part[cols].to_numpy(np.float64)
                     dids = part["_rid"].to_numpy(np.int64)
                     Dm = ~np.isnan(D)
-                    both = Rm[:, None, :] & Dm[None, :, :]
-                    diff = np.where(both, R[:, None, :] - np.nan_to_num(D)[None, :, :], 0.0)
-                    cnt = both.sum(axis=2)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.sqrt(p / cnt * (diff * diff).sum(axis=2))
-                    dist[cnt == 0] = np.inf
-                    dist[dids[None, :] == rids[:, None]] = np.inf
-                    for j in range(p):
-                        dj = np.where(Dm[None, :, j], dist, np.inf)
-                        cd = np.concatenate([best_d[j], dj], axis=1)
-                        ci = np.concatenate([best_id[j], np.broadcast_to(dids, dj.shape)], axis=1)
-                        cv = np.concatenate([best_v[j], np.broadcast_to(np.nan_to_num(D[:, j]), dj.shape)], axis=1)
-                        order = np.lexsort((ci, cd), axis=1)[:, :k]
-                        best_d[j] = np.take_along_axis(cd, order, axis=1)
-                        best_id[j] = np.take_along_axis(ci, order, axis=1)
-                        best_v[j] = np.take_along_axis(cv, order, axis=1)
+                    D0 = np.nan_to_num(D)
+                    c = len(dids)
+                    for r0 in range(0, nr, rblock):
+                        r1 = min(nr, r0 + rblock)
+                        both = Rm[r0:r1, None, :] & Dm[None, :, :]
+                        diff = np.where(both, R0[r0:r1, None, :] - D0[None, :, :], 0.0)
+                        cnt = both.sum(axis=2)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            dist = np.sqrt(p / cnt * (diff * diff).sum(axis=2))
+                        dist[cnt == 0] = np.inf
+                        dist[dids[None, :] == rids[r0:r1, None]] = np.inf
+                        for j in range(p):
+                            need = ~Rm[r0:r1, j]
+                            if not need.any():
+                                continue
+                            rows = np.nonzero(need)[0]
+                            dj = np.where(Dm[None, :, j], dist[rows], np.inf)
+                            if c > k:
+                                # exact top-k by (distance, donor id): partition, then take ties in id order
+                                kth = np.partition(dj, k - 1, axis=1)[:, k - 1:k]
+                                less = dj < kth
+                                eq = dj == kth
+                                room = k - less.sum(axis=1, keepdims=True)
+                                sel = less | (eq & (np.cumsum(eq, axis=1) <= room))
+                                ri, ci = np.nonzero(sel)
+                                cd = dj[ri, ci].reshape(len(rows), k)
+                                cid = dids[ci].reshape(len(rows), k)
+                                cv = D0[ci, j].reshape(len(rows), k)
+                            else:
+                                cd = dj
+                                cid = np.broadcast_to(dids, dj.shape)
+                                cv = np.broadcast_to(D0[:, j], dj.shape)
+                            g = r0 + rows
+                            md = np.concatenate([best_d[j][g], cd], axis=1)
+                            mi = np.concatenate([best_id[j][g], cid], axis=1)
+                            mv = np.concatenate([best_v[j][g], cv], axis=1)
+                            order = np.lexsort((mi, md), axis=1)[:, :k]
+                            best_d[j][g] = np.take_along_axis(md, order, axis=1)
+                            best_id[j][g] = np.take_along_axis(mi, order, axis=1)
+                            best_v[j][g] = np.take_along_axis(mv, order, axis=1)
             frames = []
             for j in range(p):
                 need = ~Rm[:, j]
@@ -223,7 +256,7 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
             if frames:
                 yield pd.concat(frames, ignore_index=True)
 
-        cand_frames.append(feats.mapInPandas(top_k, cand_schema))
+        cand_frames.append(donors.mapInPandas(top_k, cand_schema))
     cands = cand_frames[0]
     for f in cand_frames[1:]:
         cands = cands.unionByName(f)
@@ -320,28 +353,38 @@ class PowerTransformer:
         return boxcox_expr(x, lam) if self.method == "box-cox" else yeojohnson_expr(x, lam)
 
     def _best(self, df: DataFrame, grids: dict) -> dict:
-        aggs = []
-        for i, c in enumerate(self.columns):
-            x = F.col(c).cast("double")
-            if self.method == "box-cox":
-                jac = F.sum(F.log(x))
-            else:
-                jac = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-            aggs += [F.count(x).alias(f"n{i}"), jac.alias(f"j{i}")]
-            for g, lam in enumerate(grids[c]):
-                aggs.append(F.var_pop(self._expr(x, lam)).alias(f"v{i}_{g}"))
-        row = df.agg(*aggs).first()
+        """Best grid lambda per column; the grid is exploded into rows so every column needs one
+        aggregate expression whatever the grid size (a lambda per literal would multiply the
+        generated code and fall out of whole-stage codegen)."""
         best = {}
-        for i, c in enumerate(self.columns):
-            n, jac = row[f"n{i}"], row[f"j{i}"]
+        lam = F.col("_lam")
+        for c in self.columns:
+            grid = F.array(*[F.lit(float(g)) for g in grids[c]])
+            x = F.col(c).cast("double")
+            e = df.select(x.alias("_x"), F.explode(grid).alias("_lam"))
+            expr = self._expr_col(F.col("_x"), lam)
+            j = self._jac(F.col("_x"))
+            rows = e.groupBy("_lam").agg(F.count("_x").alias("n"), F.sum(j).alias("jac"),
+                                         F.var_pop(expr).alias("v")).collect()   # one row per grid value
             scores = []
-            for g, lam in enumerate(grids[c]):
-                v = row[f"v{i}_{g}"]
-                ll = -np.inf if not v or v <= 0 else -n / 2.0 * np.log(v) + (lam - 1) * jac
-                scores.append((ll, -abs(lam), lam))
+            for r in rows:
+                v, n, jc, lv = r["v"], r["n"], r["jac"], r["_lam"]
+                ll = -np.inf if not v or v <= 0 else -n / 2.0 * np.log(v) + (lv - 1) * jc
+                scores.append((ll, -abs(lv), lv))
             best[c] = max(scores)[2]
         return best
 
+    def _jac(self, x: Column) -> Column:
+        return F.log(x) if self.method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
+
+    def _expr_col(self, x: Column, lam: Column) -> Column:
+        """Transform with lambda given as a column (grid search)."""
+        if self.method == "box-cox":
+            return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
+        pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+        neg = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+        return F.when(x >= 0, pos).otherwise(neg)
+
     def fit(self, df: DataFrame) -> "PowerTransformer":
         if self.method not in ("box-cox", "yeo-johnson"):
             raise ValueError(f"unknown method {self.method!r}")

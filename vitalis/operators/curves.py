@@ -89,9 +89,10 @@ def calibration_edges(n_bins: int = 10) -> list[float]:
 
 def calibration(df: DataFrame, y_true: str = "y_true", prob: str = "score", n_bins: int = 10) -> DataFrame:
     """(bin, prob_true, prob_pred, n) for non-empty uniform bins; bin = inner edges strictly below p."""
-    edges = F.array(*[F.lit(e) for e in calibration_edges(n_bins)])
     p = F.col(prob).cast("double")
-    b = F.size(F.filter(edges, lambda e: e < p))
+    b = F.lit(0)
+    for e in calibration_edges(n_bins):   # number of inner edges strictly below p
+        b = b + (F.lit(e) < p).cast("int")
     return df.where(p.isNotNull()).groupBy(b.alias("bin")).agg(
         F.avg(F.col(y_true).cast("double")).alias("prob_true"), F.avg(p).alias("prob_pred"),
         F.count(F.lit(1)).alias("n"))

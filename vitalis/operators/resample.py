@@ -28,8 +28,11 @@ def poisson1_cdf(kmax: int = 12) -> list[float]:
 
 
 def poisson_weight(u) -> F.Column:
-    cdf = F.array(*[F.lit(c) for c in poisson1_cdf()])
-    return F.size(F.filter(cdf, lambda c: c <= u))
+    """Number of CDF values <= u, as a sum of comparisons (stays in generated code, unlike an array lambda)."""
+    total = F.lit(0)
+    for c in poisson1_cdf():
+        total = total + (F.lit(c) <= u).cast("int")
+    return total
 
 
 def bootstrap_replicates(df: DataFrame, row_id: str, y_true: str, y_pred: str, n_boot: int = 1000,
@@ -37,8 +40,9 @@ def bootstrap_replicates(df: DataFrame, row_id: str, y_true: str, y_pred: str, n
     """Weighted error sums per replicate: (b, w, sw_e2, sw_ae, sw_hit)."""
     b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
     e = df.select(row_id, F.col(y_true).cast("double").alias("_y"), F.col(y_pred).cast("double").alias("_p"), b)
-    w = poisson_weight(md5_unit(seed, F.col("b"), F.col(row_id))).cast("double")
-    e = e.withColumn("_w", w)
+    # the draw is its own column: referenced inside the array lambda it would be re-hashed per element
+    e = e.withColumn("_u", md5_unit(seed, F.col("b"), F.col(row_id)))
+    e = e.withColumn("_w", poisson_weight(F.col("_u")).cast("double"))
     err = F.col("_y") - F.col("_p")
     return e.groupBy("b").agg(
         F.sum("_w").alias("w"), F.sum(F.col("_w") * err * err).alias("sw_e2"),
