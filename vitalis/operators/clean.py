@@ -208,11 +208,15 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
                     c = len(dids)
                     for r0 in range(0, nr, rblock):
                         r1 = min(nr, r0 + rblock)
-                        both = Rm[r0:r1, None, :] & Dm[None, :, :]
-                        diff = np.where(both, R0[r0:r1, None, :] - D0[None, :, :], 0.0)
-                        cnt = both.sum(axis=2)
+                        cnt = np.zeros((r1 - r0, c))
+                        ss = np.zeros((r1 - r0, c))
+                        for f in range(p):   # one feature at a time: 2-D temporaries only
+                            both = Rm[r0:r1, f][:, None] & Dm[:, f][None, :]
+                            d = R0[r0:r1, f][:, None] - D0[:, f][None, :]
+                            ss += np.where(both, d * d, 0.0)
+                            cnt += both
                         with np.errstate(divide="ignore", invalid="ignore"):
-                            dist = np.sqrt(p / cnt * (diff * diff).sum(axis=2))
+                            dist = np.sqrt(p / cnt * ss)
                         dist[cnt == 0] = np.inf
                         dist[dids[None, :] == rids[r0:r1, None]] = np.inf
                         for j in range(p):
@@ -353,22 +357,27 @@ class PowerTransformer:
         return boxcox_expr(x, lam) if self.method == "box-cox" else yeojohnson_expr(x, lam)
 
     def _best(self, df: DataFrame, grids: dict) -> dict:
-        """Best grid lambda per column; the grid is exploded into rows so every column needs one
-        aggregate expression whatever the grid size (a lambda per literal would multiply the
-        generated code and fall out of whole-stage codegen)."""
+        """Best grid lambda per column in one pass: the grid index is exploded into rows and each
+        column looks its lambda up by index, so there is one aggregate expression per column whatever
+        the grid size (one expression per literal lambda would fall out of whole-stage codegen)."""
+        size = max(len(g) for g in grids.values())
+        e = df.select(*[F.col(c).cast("double").alias(c) for c in self.columns],
+                      F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_g"))
+        aggs = []
+        for i, c in enumerate(self.columns):
+            lam = F.element_at(F.array(*[F.lit(float(v)) for v in grids[c]]), F.col("_g") + 1)
+            x = F.col(c)
+            aggs += [F.count(x).alias(f"n{i}"), F.sum(self._jac(x)).alias(f"j{i}"),
+                     F.var_pop(self._expr_col(x, lam)).alias(f"v{i}")]
+        rows = e.groupBy("_g").agg(*aggs).collect()   # one row per grid position
         best = {}
-        lam = F.col("_lam")
-        for c in self.columns:
-            grid = F.array(*[F.lit(float(g)) for g in grids[c]])
-            x = F.col(c).cast("double")
-            e = df.select(x.alias("_x"), F.explode(grid).alias("_lam"))
-            expr = self._expr_col(F.col("_x"), lam)
-            j = self._jac(F.col("_x"))
-            rows = e.groupBy("_lam").agg(F.count("_x").alias("n"), F.sum(j).alias("jac"),
-                                         F.var_pop(expr).alias("v")).collect()   # one row per grid value
+        for i, c in enumerate(self.columns):
             scores = []
             for r in rows:
-                v, n, jc, lv = r["v"], r["n"], r["jac"], r["_lam"]
+                g = r["_g"]
+                if g >= len(grids[c]):
+                    continue
+                lv, v, n, jc = grids[c][g], r[f"v{i}"], r[f"n{i}"], r[f"j{i}"]
                 ll = -np.inf if not v or v <= 0 else -n / 2.0 * np.log(v) + (lv - 1) * jc
                 scores.append((ll, -abs(lv), lv))
             best[c] = max(scores)[2]
@@ -388,6 +397,8 @@ class PowerTransformer:
     def fit(self, df: DataFrame) -> "PowerTransformer":
         if self.method not in ("box-cox", "yeo-johnson"):
             raise ValueError(f"unknown method {self.method!r}")
+        # three passes read the same columns: keep the projection cached for the fit
+        df = df.select(*self.columns).persist()
         coarse = self._best(df, {c: lambda_grid() for c in self.columns})
         self.lambdas_ = self._best(df, {c: lambda_grid(coarse[c]) for c in self.columns})
         if self.standardize:
@@ -399,6 +410,7 @@ class PowerTransformer:
             for i, c in enumerate(self.columns):
                 s = row[f"s{i}"]
                 self.scale_[c] = (row[f"m{i}"], s if s else 1.0)
+        df.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -213,20 +213,26 @@ def corr_pearson(df: DataFrame, columns: Sequence[str], lower_only: bool = False
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman = Pearson of average ranks (rows complete in all columns)."""
+    """Spearman = Pearson of average ranks (rows complete in all columns).
+
+    The ranks of all columns come from one distributed prefix pass over the
+    (column, value) counts; each column's ranks are then joined back on its value.
+    """
+    from vitalis.operators.features import grouped_prefix
+
     columns = list(columns)
-    base = df.select(*columns).dropna()
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().persist()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]))
+    counts = base.select(pairs.alias("p")).select("p.*").groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).cast("double").alias("_c"))
+    pref = grouped_prefix(counts, ["column_name"], F.col("value").asc(), ["_c"])
+    ranks = pref.select("column_name", "value", (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank")).persist()
     ranked = base
     for c in columns:
-        ranked = average_rank_col(ranked, c)
-    rank_cols = ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns])
-    return corr_pearson(rank_cols, columns)
-
-
-def average_rank_col(df: DataFrame, c: str) -> DataFrame:
-    from vitalis.operators.ordering import average_rank
-
-    return average_rank(df, c, f"{c}_rank")
+        rc = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
+        ranked = ranked.join(rc, c, "left")
+    out = corr_pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns]), columns)
+    return out
 
 
 def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
