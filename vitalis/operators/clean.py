@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,79 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict:
 
 # ------------------------------------------------------------------ J2
 
-def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, block_rows: int = 50000) -> DataFrame:
+def _block_topk(rids: np.ndarray, R: np.ndarray, dids: np.ndarray, D: np.ndarray, k: int,
+                chunk: int = 1024, rblock: int = 4096):
+    """Exact k nearest donors of every receiver, per missing column, for one (receiver, donor) block.
+
+    nan-euclidean distance ``sqrt(p / |present| * sum((r - d)^2))`` over features
+    present in both; donors must have the target column; ties go to the smaller
+    donor id.  Returns arrays (rid, col, dist, did, val) of the kept candidates.
+    """
+    p = R.shape[1]
+    order = np.argsort(dids, kind="stable")
+    dids, D = dids[order], D[order]
+    Rm, Dm = ~np.isnan(R), ~np.isnan(D)
+    R0, D0 = np.nan_to_num(R), np.nan_to_num(D)
+    nr = len(rids)
+    big = np.iinfo(np.int64).max
+    best_d = np.full((p, nr, k), np.inf)
+    best_id = np.full((p, nr, k), big, dtype=np.int64)
+    best_v = np.zeros((p, nr, k))
+    for s0 in range(0, len(dids), chunk):
+        cd_ids, Dc, Dcm, Dc0 = dids[s0:s0 + chunk], D[s0:s0 + chunk], Dm[s0:s0 + chunk], D0[s0:s0 + chunk]
+        c = len(cd_ids)
+        for r0 in range(0, nr, rblock):
+            r1 = min(nr, r0 + rblock)
+            cnt = np.zeros((r1 - r0, c))
+            ss = np.zeros((r1 - r0, c))
+            for f in range(p):   # one feature at a time: 2-D temporaries only
+                both = Rm[r0:r1, f][:, None] & Dcm[:, f][None, :]
+                d = R0[r0:r1, f][:, None] - Dc0[:, f][None, :]
+                ss += np.where(both, d * d, 0.0)
+                cnt += both
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.sqrt(p / cnt * ss)
+            dist[cnt == 0] = np.inf
+            dist[cd_ids[None, :] == rids[r0:r1, None]] = np.inf
+            for j in range(p):
+                need = ~Rm[r0:r1, j]
+                if not need.any():
+                    continue
+                rows = np.nonzero(need)[0]
+                dj = np.where(Dcm[None, :, j], dist[rows], np.inf)
+                if c > k:
+                    # top-k by (distance, donor id): partition, then ties in id order
+                    kth = np.partition(dj, k - 1, axis=1)[:, k - 1:k]
+                    less = dj < kth
+                    eq = dj == kth
+                    room = k - less.sum(axis=1, keepdims=True)
+                    sel = less | (eq & (np.cumsum(eq, axis=1) <= room))
+                    ri, ci = np.nonzero(sel)
+                    cdist = dj[ri, ci].reshape(len(rows), k)
+                    cid = cd_ids[ci].reshape(len(rows), k)
+                    cval = Dc0[ci, j].reshape(len(rows), k)
+                else:
+                    cdist = dj
+                    cid = np.broadcast_to(cd_ids, dj.shape)
+                    cval = np.broadcast_to(Dc0[:, j], dj.shape)
+                g = r0 + rows
+                md = np.concatenate([best_d[j][g], cdist], axis=1)
+                mi = np.concatenate([best_id[j][g], cid], axis=1)
+                mv = np.concatenate([best_v[j][g], cval], axis=1)
+                o = np.lexsort((mi, md), axis=1)[:, :k]
+                best_d[j][g] = np.take_along_axis(md, o, axis=1)
+                best_id[j][g] = np.take_along_axis(mi, o, axis=1)
+                best_v[j][g] = np.take_along_axis(mv, o, axis=1)
+    out = []
+    for j in range(p):
+        ok = np.isfinite(best_d[j]) & (~Rm[:, j])[:, None]
+        ri, kk = np.nonzero(ok)
+        out.append((rids[ri], np.full(len(ri), j, np.int32), best_d[j][ri, kk], best_id[j][ri, kk], best_v[j][ri, kk]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, block_rows: int = 50000,
+               donor_block_rows: int = 50000) -> DataFrame:
     """KNN imputation with nan-euclidean distance and uniform donor means.
 
     Distance between a receiver r and a donor d over the features present in
@@ -154,116 +227,41 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
     donors are rows having that column; the k nearest (ties by donor id) are
     averaged; without any donor the column mean is used.
 
-    Receivers (rows with a NULL) are shipped to the executors in blocks of at
-    most ``block_rows`` rows (a bounded broadcast); every donor partition keeps
-    only its k best per (receiver, column) in ``mapInPandas``, and the global
-    k best are chosen by ``row_number`` on that small candidate set.  No
-    receiver x donor pair is ever materialised as a row.
+    Receivers (rows with a NULL) are hashed into blocks of about ``block_rows``
+    rows and donors into blocks of about ``donor_block_rows``; every (receiver
+    block, donor block) pair is one ``cogroup`` task that keeps only its exact
+    k best per (receiver, column), so a task holds two bounded blocks and no
+    receiver x donor pair is ever a row.  The global k best come from a
+    ``row_number`` over that small candidate set.  Nothing passes through the
+    driver except the block counts; the work is the exact O(receivers x donors).
     """
     cols = list(columns)
     p = len(cols)
-    spark = df.sparkSession
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | F.col(c).isNull()
     feats = df.select(F.col(row_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols])
-    receivers = feats.where(any_null)
-    # each donor row costs |receivers| distance evaluations: spread donors over all cores even
-    # when the scan has few splits (a small file gives a single partition)
-    donors = feats
-    want = spark.sparkContext.defaultParallelism
-    if donors.rdd.getNumPartitions() < want:
-        donors = donors.repartition(want, "_rid")
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first().asDict()
-
-    n_recv = receivers.count()
-    n_blocks = max(1, -(-n_recv // block_rows))
+    n_recv = feats.where(any_null).count()
+    n_all = feats.count()
+    b_r = max(1, -(-n_recv // block_rows))
+    b_d = max(1, -(-n_all // donor_block_rows), df.sparkSession.sparkContext.defaultParallelism if n_recv else 1)
+    recv = feats.where(any_null).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)))
+    recv = recv.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_d - 1))).alias("_db"))
+    don = feats.withColumn("_db", F.pmod(F.xxhash64("_rid"), F.lit(b_d)))
+    don = don.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))).alias("_rb"))
     cand_schema = "_rid long, _col int, _dist double, _did long, _val double"
-    cand_frames = []
-    for b in range(n_blocks):
-        blk = receivers if n_blocks == 1 else receivers.where(F.abs(F.xxhash64("_rid")) % n_blocks == b)
-        rpdf = blk.toPandas()  # bounded by block_rows
-        bc = spark.sparkContext.broadcast(
-            (rpdf["_rid"].to_numpy(np.int64), rpdf[cols].to_numpy(np.float64)))
-
-        def top_k(batches, bc=bc, chunk=1024, rblock=4096):
-            import pandas as pd
-
-            rids, R = bc.value
-            Rm = ~np.isnan(R)
-            R0 = np.nan_to_num(R)
-            nr = len(rids)
-            big = np.iinfo(np.int64).max
-            best_d = np.full((p, nr, k), np.inf)
-            best_id = np.full((p, nr, k), big, dtype=np.int64)
-            best_v = np.zeros((p, nr, k))
-            for pdf in batches:
-                pdf = pdf.sort_values("_rid", kind="stable")   # ties inside a chunk resolve by donor id
-                for s0 in range(0, len(pdf), chunk):
-                    part = pdf.iloc[s0:s0 + chunk]
-                    D = part[cols].to_numpy(np.float64)
-                    dids = part["_rid"].to_numpy(np.int64)
-                    Dm = ~np.isnan(D)
-                    D0 = np.nan_to_num(D)
-                    c = len(dids)
-                    for r0 in range(0, nr, rblock):
-                        r1 = min(nr, r0 + rblock)
-                        cnt = np.zeros((r1 - r0, c))
-                        ss = np.zeros((r1 - r0, c))
-                        for f in range(p):   # one feature at a time: 2-D temporaries only
-                            both = Rm[r0:r1, f][:, None] & Dm[:, f][None, :]
-                            d = R0[r0:r1, f][:, None] - D0[:, f][None, :]
-                            ss += np.where(both, d * d, 0.0)
-                            cnt += both
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            dist = np.sqrt(p / cnt * ss)
-                        dist[cnt == 0] = np.inf
-                        dist[dids[None, :] == rids[r0:r1, None]] = np.inf
-                        for j in range(p):
-                            need = ~Rm[r0:r1, j]
-                            if not need.any():
-                                continue
-                            rows = np.nonzero(need)[0]
-                            dj = np.where(Dm[None, :, j], dist[rows], np.inf)
-                            if c > k:
-                                # exact top-k by (distance, donor id): partition, then take ties in id order
-                                kth = np.partition(dj, k - 1, axis=1)[:, k - 1:k]
-                                less = dj < kth
-                                eq = dj == kth
-                                room = k - less.sum(axis=1, keepdims=True)
-                                sel = less | (eq & (np.cumsum(eq, axis=1) <= room))
-                                ri, ci = np.nonzero(sel)
-                                cd = dj[ri, ci].reshape(len(rows), k)
-                                cid = dids[ci].reshape(len(rows), k)
-                                cv = D0[ci, j].reshape(len(rows), k)
-                            else:
-                                cd = dj
-                                cid = np.broadcast_to(dids, dj.shape)
-                                cv = np.broadcast_to(D0[:, j], dj.shape)
-                            g = r0 + rows
-                            md = np.concatenate([best_d[j][g], cd], axis=1)
-                            mi = np.concatenate([best_id[j][g], cid], axis=1)
-                            mv = np.concatenate([best_v[j][g], cv], axis=1)
-                            order = np.lexsort((mi, md), axis=1)[:, :k]
-                            best_d[j][g] = np.take_along_axis(md, order, axis=1)
-                            best_id[j][g] = np.take_along_axis(mi, order, axis=1)
-                            best_v[j][g] = np.take_along_axis(mv, order, axis=1)
-            frames = []
-            for j in range(p):
-                need = ~Rm[:, j]
-                ok = np.isfinite(best_d[j]) & need[:, None]
-                ri, kk = np.nonzero(ok)
-                if len(ri):
-                    frames.append(pd.DataFrame({"_rid": rids[ri], "_col": np.full(len(ri), j, np.int32),
-                                                "_dist": best_d[j][ri, kk], "_did": best_id[j][ri, kk],
-                                                "_val": best_v[j][ri, kk]}))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
-
-        cand_frames.append(donors.mapInPandas(top_k, cand_schema))
-    cands = cand_frames[0]
-    for f in cand_frames[1:]:
-        cands = cands.unionByName(f)
+
+    def pair(rpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        if rpdf.empty or dpdf.empty:
+            return pd.DataFrame({"_rid": [], "_col": [], "_dist": [], "_did": [], "_val": []})
+        r_ids, c_ids, dist, d_ids, vals = _block_topk(
+            rpdf["_rid"].to_numpy(np.int64), rpdf[cols].to_numpy(np.float64),
+            dpdf["_rid"].to_numpy(np.int64), dpdf[cols].to_numpy(np.float64), k)
+        return pd.DataFrame({"_rid": r_ids, "_col": c_ids.astype(np.int32), "_dist": dist, "_did": d_ids,
+                             "_val": vals})
+
+    cands = recv.groupBy("_rb", "_db").cogroup(don.groupBy("_rb", "_db")).applyInPandas(pair, cand_schema)
     from pyspark.sql import Window
 
     w = Window.partitionBy("_rid", "_col").orderBy("_dist", "_did")

@@ -258,18 +258,24 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, top: i
 # --------------------------------------------------------------------- D9
 
 def duplicates(df: DataFrame, subset: Sequence[str], row_id: str | None = None, max_ids: int = 100) -> DataFrame:
-    """Duplicate groups (count > 1) over ``subset``: key columns, n, sample of ids.
+    """Duplicate groups (count > 1) over ``subset``: key columns, n, and up to ``max_ids`` smallest ids.
 
-    NULL keys drop out of the group listing (as pandas groupby does).  Id lists
-    are capped at ``max_ids`` per group so a hot key never builds a huge row;
-    counts are exact.
+    NULL keys drop out of the group listing (as pandas groupby does).  Counts are
+    exact; the id sample is cut to ``max_ids`` per group *before* it is collected
+    (a group limit, applied partially on the map side), so a hot key never builds
+    a huge array in one task.
     """
-    g = df.where(F.greatest(*[F.col(c).isNull() for c in subset]) == F.lit(False)) if len(subset) > 1 else \
-        df.where(F.col(subset[0]).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if row_id:
-        aggs.append(F.slice(F.sort_array(F.collect_list(row_id)), 1, max_ids).alias("ids"))
-    return g.groupBy(*subset).agg(*aggs).where(F.col("n") > 1)
+    keep = F.lit(True)
+    for c in subset:
+        keep = keep & F.col(c).isNotNull()
+    g = df.where(keep)
+    counts = g.groupBy(*subset).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if not row_id:
+        return counts
+    w = Window.partitionBy(*subset).orderBy(F.col(row_id))
+    sample = (g.select(*subset, row_id).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_ids)
+              .groupBy(*subset).agg(F.sort_array(F.collect_list(row_id)).alias("ids")))
+    return counts.join(sample, list(subset))
 
 
 def duplicate_summary(df: DataFrame, subset: Sequence[str]) -> DataFrame:

@@ -140,11 +140,10 @@ FROM signals, LATERAL (SELECT unnest(generate_series(1, len(v))) AS i, unnest(v)
 
 def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trials ordered by time within entity, sample index i from 0."""
-    from pyspark.sql import Window
+    from vitalis.operators.ordering import rank_in_group
 
     t = trials_view(spark, sf_dir)
-    w = Window.partitionBy("entity").orderBy("ts", "row_id")
-    return t.withColumn("i", (F.row_number().over(w) - 1).cast("bigint"))
+    return rank_in_group(t, ["entity"], [F.col("ts").asc(), F.col("row_id").asc()], "i")
 
 
 SERIES_SQL = """SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, row_id) - 1 AS i FROM trials"""
