@@ -73,6 +73,9 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, n_
     pool = pool.where(md5_unit(seed, F.lit("pool"), F.col("_rid")) < keep)
     e = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
     e = e.withColumn("_h", md5_unit(seed, F.col("_tree"), F.col("_rid")))
+    # keep ~4 psi candidates per tree before the shuffle; each tree then takes its psi smallest hashes
+    per_tree = min(1.0, 4.0 * psi / max(keep * n, 1.0))
+    e = e.where(F.col("_h") < per_tree)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     schema = "_tree int, node int, feat int, thr double, left int, right int, size int, depth int"
 

@@ -117,9 +117,34 @@ def q_adaptive_filter(spark, d):
     return out(signal_ops.adaptive_filter(s, "v", FS, "ppg", 0.7).select("window_id", "filtered"))
 
 
-@register("wavelet_features")
+def _wavelet_sql() -> str:
+    lo = "[" + ", ".join(repr(float(x)) for x in S.DB4_DEC_LO) + "]"
+    hi = "[" + ", ".join(repr(float(x)) for x in S.DB4_DEC_HI) + "]"
+    # half-sample symmetric extension by 7 on both sides; e[i + 8] holds x~[i] for i in [-7, n + 6]
+    ext = ("list_transform(range(-7, len({x}) + 7), lambda i: {x}[CASE WHEN i < 0 THEN -i - 1 "
+           "WHEN i >= len({x}) THEN 2 * len({x}) - i - 1 ELSE i END + 1])")
+    band = ("list_transform(range((len({x}) + 7) // 2), lambda k: list_sum(list_transform(range(8), "
+            "lambda j: {f}[j + 1] * {e}[2 * k + 1 - j + 8])))")
+
+    def level(src: str, x: str, keep: str) -> str:
+        return (f"SELECT window_id{keep}, {band.format(x='t.x', f=lo, e='t.e')} AS a, "
+                f"{band.format(x='t.x', f=hi, e='t.e')} AS d FROM (SELECT *, {ext.format(x='x')} AS e "
+                f"FROM (SELECT *, {x} AS x FROM {src}) s) t")
+
+    stats = lambda b: (f"list_avg({b}) AS {b}_mean, list_aggregate({b}, 'stddev_pop') AS {b}_std, "
+                       f"list_max({b}) AS {b}_max, list_min({b}) AS {b}_min, list_aggregate({b}, 'median') AS {b}_median")
+    names = [f"{b}_{st}" for b in ("cA3", "cD3", "cD2", "cD1") for st in ("mean", "std", "max", "min", "median")]
+    body = f"""WITH w1 AS ({level('signals', 'v', '')}),
+w2 AS ({level('(SELECT window_id, a, d AS d1 FROM w1)', 'a', ', d1')}),
+w3 AS ({level('(SELECT window_id, a, d AS d2, d1 FROM w2)', 'a', ', d2, d1')}),
+b AS (SELECT window_id, a AS cA3, d AS cD3, d2 AS cD2, d1 AS cD1 FROM w3)
+SELECT window_id, {stats('cA3')}, {stats('cD3')}, {stats('cD2')}, {stats('cD1')} FROM b"""
+    return with_ctes(rounded(body, names), "signals")
+
+
+@register("wavelet_features", _wavelet_sql())
 def q_wavelet_features(spark, d):
-    """db4 level-3 statistics per window (cross-checked against a direct convolution in tests)."""
+    """db4 level-3 statistics per window; the oracle runs the Mallat cascade in SQL list functions."""
     s = roles.signals_view(spark, d)
     return out(signal_ops.wavelet_features(s, "v").select("window_id", "wavelet.*"))
 
