@@ -103,16 +103,66 @@ def q_quality_by_condition(spark, d):
     return out(signal_ops.quality_by_condition(q, "signal", "condition", "category"))
 
 
-@register("butterworth")
+def _filtfilt_sql(src: str, arr: str, b, a, out: str) -> str:
+    """Zero-phase IIR filter in SQL: odd extension, two recursive passes of the transposed direct form II
+    with steady-state initial conditions, same operation order as the numpy kernel."""
+    import numpy as np
+
+    b = [float(x) / float(a[0]) for x in b]
+    a = [float(x) / float(a[0]) for x in a]
+    zi = [float(x) for x in S.lfilter_zi(np.array(b), np.array(a))]
+    m = len(b) - 1
+    pad = 3 * len(b)
+    zs = ", ".join(f"z{i}" for i in range(m))
+    def step(xe):
+        y = f"({b[0]!r} * {xe} + f.z0)"
+        upd = [f"{b[i + 1]!r} * {xe} + f.z{i + 1} - {a[i + 1]!r} * {y}" for i in range(m - 1)]
+        upd.append(f"{b[m]!r} * {xe} - {a[m]!r} * {y}")
+        return y, upd
+    def rec(name, seq_col, srcname):
+        y, upd = step(f"{srcname}.{seq_col}[f.t + 1]")
+        init = ", ".join(f"{zi[i]!r} * {seq_col}[1]" for i in range(m))
+        return f"""{name}(window_id, t, {zs}, ys) AS (
+  SELECT window_id, 0, {init}, []::DOUBLE[] FROM {srcname}
+  UNION ALL
+  SELECT f.window_id, f.t + 1, {", ".join(upd)}, f.ys || [{y}]
+  FROM {name} f JOIN {srcname} USING (window_id) WHERE f.t < len({srcname}.{seq_col}))"""
+    ext = (f"list_transform(range({pad}, 0, -1), lambda j: 2 * {arr}[1] - {arr}[j + 1]) || {arr} || "
+           f"list_transform(range(1, {pad} + 1), lambda j: 2 * {arr}[len({arr})] - {arr}[len({arr}) - j])")
+    return f"""WITH RECURSIVE src AS (SELECT window_id, {ext} AS xe FROM {src} WHERE len({arr}) > {pad}),
+{rec('fwd', 'xe', 'src')},
+bsrc AS (SELECT window_id, list_reverse(ys) AS yr FROM fwd WHERE t = (SELECT max(t) FROM fwd g WHERE g.window_id = fwd.window_id)),
+{rec('bwd', 'yr', 'bsrc')}
+SELECT window_id, list_reverse(ys)[{pad + 1}:len(ys) - {pad}] AS {out}
+FROM bwd WHERE t = (SELECT max(t) FROM bwd g WHERE g.window_id = bwd.window_id)"""
+
+
+_BW_B, _BW_A = S.butter(4, 5.0, "lowpass", FS)
+
+
+@register("butterworth", with_ctes(rounded(_filtfilt_sql("signals", "v", _BW_B, _BW_A, "filtered"), [],
+                                           arrays=["filtered"]), "signals"))
 def q_butterworth(spark, d):
-    """Zero-phase low-pass (5 Hz, order 4) of every window (invariants tested in tests/test_signal.py)."""
+    """Zero-phase low-pass (5 Hz, order 4) of every window; the oracle filters recursively in SQL."""
     s = roles.signals_view(spark, d)
     return out(signal_ops.butterworth(s, "v", FS, 5.0, "lowpass", 4, "filtered").select("window_id", "filtered"))
 
 
-@register("adaptive_filter")
+_LB, _LA = S.butter(3, (0.5, 3.5), "bandpass", FS)
+_SB, _SA = S.butter(4, (0.7, 2.5), "bandpass", FS)
+
+
+@register("adaptive_filter", with_ctes(rounded(f"""WITH {_DFT}, {_quality_sql('ppg')},
+light AS ({_filtfilt_sql('signals', 'v', _LB, _LA, 'lf')}),
+strong AS ({_filtfilt_sql('signals', 'v', _SB, _SA, 'sf')}),
+sm AS (SELECT window_id, list_transform(range(len(sf)), lambda i: list_sum(list_slice(
+         [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] || sf || [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], i + 1, i + 16)) / 16) AS smoothed
+       FROM strong)
+SELECT q.window_id, CASE WHEN q.quality_score >= 0.7 THEN light.lf ELSE sm.smoothed END AS filtered
+FROM q_ppg q LEFT JOIN light USING (window_id) LEFT JOIN sm USING (window_id)""", [], arrays=["filtered"]),
+    "signals_long", "signals"))
 def q_adaptive_filter(spark, d):
-    """Quality-routed light/strong filtering of every window (rows-only check + invariant tests)."""
+    """Quality-routed filtering: light band-pass for good windows, tighter band-pass + smoothing otherwise."""
     s = roles.signals_view(spark, d)
     return out(signal_ops.adaptive_filter(s, "v", FS, "ppg", 0.7).select("window_id", "filtered"))
 

@@ -50,9 +50,20 @@ def q_timeseries_split(spark, d):
     return split.timeseries_split(t, ["ts", "row_id"], 3).select("row_id", "fold", "role")
 
 
-@register("group_kfold")
+@register("group_kfold", with_ctes("""WITH RECURSIVE g AS (
+  SELECT entity, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, entity) AS rn FROM trials GROUP BY entity),
+r(step, loads, entity, fold) AS (
+  SELECT 0, [0, 0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, NULL::INTEGER
+  UNION ALL
+  SELECT r.step + 1,
+         list_transform(range(5), lambda i: r.loads[i + 1]
+                        + CASE WHEN i = list_position(r.loads, list_min(r.loads)) - 1 THEN g.n ELSE 0 END),
+         g.entity, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER)
+  FROM r JOIN g ON g.rn = r.step + 1)
+SELECT t.row_id, t.entity, f.fold FROM trials t JOIN (SELECT entity, fold FROM r WHERE step > 0) f USING (entity)""",
+    "trials"))
 def q_group_kfold(spark, d):
-    """Greedy size-balanced group folds (sequential greedy: rows-only check + invariant tests)."""
+    """Greedy size-balanced group folds: largest group first onto the lightest fold (lowest index on ties)."""
     t = roles.trials_view(spark, d)
     return split.group_kfold(t, "entity", 5).select("row_id", "entity", "fold")
 

@@ -232,6 +232,10 @@ def with_ctes(body: str, *views: str) -> str:
         visit(v)
     ctes = [f"{v} AS (\n{defs[v]}\n)" for v in order]
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        # RECURSIVE applies to the whole WITH list
+        ctes.append(stripped[15:])
+        return "WITH RECURSIVE " + ",\n".join(ctes)
     if stripped[:5].upper() == "WITH ":
         # the body brings its own CTEs: append them after the role views
         ctes.append(stripped[5:])
