@@ -183,33 +183,44 @@ def _pairs(columns: Sequence[str], both: bool) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(p) if (both or i <= j)]
 
 
-def _pearson_aggs(columns: Sequence[str], pairs) -> list[Column]:
-    aggs = []
-    for i, j in pairs:
-        a, b = F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        a2, b2 = F.when(both, a), F.when(both, b)
-        r = safe_div(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))
-        aggs.append(r.alias(f"_r{i}_{j}"))
-    return aggs
+def _pair_correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(i, j, r) for the requested column pairs, pairwise complete, zero variance -> NULL.
+
+    Each row is exploded into one (pair, a, b) row per pair and the statistics
+    are a ``groupBy(pair)`` with four aggregates.  The aggregate stays small
+    whatever the number of columns, so it keeps whole-stage codegen (a wide
+    aggregate with several buffers per pair exceeds Spark's codegen field limit
+    and falls back to interpreted evaluation), and map-side partial aggregation
+    leaves one row per pair per task.
+    """
+    vals = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 F.col(columns[i]).cast("double").alias("a"), F.col(columns[j]).cast("double").alias("b"))
+        for i, j in pairs])).alias("p")
+    long = df.select(vals).select("p.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    g = long.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
+                                   F.stddev_pop("b").alias("sb"))
+    return g.select("i", "j", safe_div(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str], lower_only: bool = False) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (col_a, col_b, r).
 
-    One aggregate computes each unordered pair once; the matrix is mirrored in
-    the unpivot.  Zero variance gives NULL (pandas NaN) instead of an error.
+    Each unordered pair is computed once and mirrored on the p x p result.
+    Zero variance (or no complete pair) gives NULL (pandas NaN) instead of an error.
     """
     columns = list(columns)
-    pairs = _pairs(columns, both=False)
-    wide = df.agg(*_pearson_aggs(columns, pairs))
-    entries = []
-    for i, j in pairs:
-        r = F.col(f"_r{i}_{j}")
-        entries.append([F.lit(columns[i]), F.lit(columns[j]), r])
-        if i != j and not lower_only:
-            entries.append([F.lit(columns[j]), F.lit(columns[i]), r])
-    return _stack(wide, entries, ["col_a", "col_b", "r"])
+    p = len(columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    r = _pair_correlations(df, columns, pairs)
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
+    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), F.col("r")),
+                   F.struct(b.alias("col_a"), a.alias("col_b"), F.col("r")))
+    if lower_only:
+        return r.select(a.alias("col_a"), b.alias("col_b"), "r")
+    mirrored = r.select(F.when(F.col("i") == F.col("j"), F.array(both[0])).otherwise(both).alias("x"))
+    return mirrored.select(F.explode("x").alias("x")).select("x.*")
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -247,10 +258,9 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, top: i
     features = [f for f in features if f != target]
     cols = list(features) + [target]
     t = len(features)
-    pairs = [(i, t) for i in range(t)]
-    wide = df.agg(*_pearson_aggs(cols, pairs))
-    entries = [[F.lit(features[i]), F.col(f"_r{i}_{t}")] for i in range(t)]
-    out = _stack(wide, entries, ["feature", "r"]).withColumn("abs_r", F.abs("r"))
+    r = _pair_correlations(df, cols, [(i, t) for i in range(t)])
+    names = F.array(*[F.lit(c) for c in features])
+    out = r.select(F.get(names, F.col("i")).alias("feature"), "r").withColumn("abs_r", F.abs("r"))
     out = out.orderBy(F.col("abs_r").desc_nulls_last(), F.col("feature"))
     return out.limit(top) if top else out
 
