@@ -200,6 +200,10 @@ def _pair_correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tu
     long = df.select(vals).select("p.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
     g = long.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
                                    F.stddev_pop("b").alias("sb"))
+    # every requested pair appears, with NULL when it has no complete row (p^2 literal rows)
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("q")).select("q.*")
+    g = grid.join(F.broadcast(g), ["i", "j"], "left")
     return g.select("i", "j", safe_div(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
 
 
