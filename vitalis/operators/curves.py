@@ -27,12 +27,22 @@ def _score_counts(df: DataFrame, y_true: str, score: str, positive=1, scores_arr
         F.sum(lab).alias("pos"), F.sum(1 - lab).alias("neg"))
 
 
-def _cumulative(counts: DataFrame) -> DataFrame:
-    """Adds cum_pos/cum_neg (inclusive, within class, descending score) and class totals."""
+def _cumulative(counts: DataFrame, per_class: bool) -> DataFrame:
+    """Adds cum_pos/cum_neg (inclusive, within class, descending score) and class totals P, N.
+
+    One-vs-rest curves restart the running sums per class (start offsets and
+    totals joined on the class); a single binary curve needs neither join: its
+    prefix starts at 0 and its totals are two numbers.
+    """
     pref = prefix_sums(counts, [F.col("cls").asc(), F.col("score").desc()], ["pos", "neg"])
-    tot = counts.groupBy("cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    start = pref.groupBy("cls").agg(F.min("pos_before").alias("_sp"), F.min("neg_before").alias("_sn"))
-    j = pref.join(start, "cls").join(tot, "cls")
+    if per_class:
+        tot = counts.groupBy("cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        start = pref.groupBy("cls").agg(F.min("pos_before").alias("_sp"), F.min("neg_before").alias("_sn"))
+        j = pref.join(start, "cls").join(tot, "cls")
+    else:
+        t = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+        j = pref.select("*", F.lit(0.0).alias("_sp"), F.lit(0.0).alias("_sn"),
+                        F.lit(t["P"] or 0.0).alias("P"), F.lit(t["N"] or 0.0).alias("N"))
     return j.select("cls", "score", "pos", "neg", "P", "N",
                     (F.col("pos_before") - F.col("_sp") + F.col("pos")).alias("cum_pos"),
                     (F.col("neg_before") - F.col("_sn") + F.col("neg")).alias("cum_neg"))
@@ -41,7 +51,7 @@ def _cumulative(counts: DataFrame) -> DataFrame:
 def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1,
               scores_array: bool = False) -> DataFrame:
     """(cls, threshold, fpr, tpr) per distinct score (every threshold kept; origin omitted)."""
-    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array))
+    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array), scores_array)
     return c.select("cls", F.col("score").alias("threshold"),
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
                     F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
@@ -53,7 +63,7 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score", positiv
 
     ``AUC = sum(pos_s * (neg below s + neg_s / 2)) / (P * N)``.
     """
-    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array))
+    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array), scores_array)
     below = F.col("N") - F.col("cum_neg")
     term = F.col("pos") * (below + F.col("neg") / 2)
     return c.groupBy("cls").agg(
@@ -69,7 +79,7 @@ def roc_auc_weighted(df: DataFrame, y_true: str = "y_true", scores: str = "score
 
 def pr_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1) -> DataFrame:
     """(threshold, precision, recall) per distinct score, descending thresholds."""
-    c = _cumulative(_score_counts(df, y_true, score, positive))
+    c = _cumulative(_score_counts(df, y_true, score, positive), False)
     return c.select(F.col("score").alias("threshold"),
                     (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
                     F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"))
@@ -77,7 +87,7 @@ def pr_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positi
 
 def average_precision(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1) -> DataFrame:
     """AP = sum over thresholds of (recall step) x precision (step sum, not trapezoid)."""
-    c = _cumulative(_score_counts(df, y_true, score, positive))
+    c = _cumulative(_score_counts(df, y_true, score, positive), False)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return c.agg(F.try_divide(F.sum(F.col("pos") * prec), F.first("P")).alias("avg_precision"))
 

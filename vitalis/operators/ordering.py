@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -67,11 +67,16 @@ def prefix_sums(
 
     local_df = parts.mapInPandas(local, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
     totals = local_df.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in cols])
-    # one row per partition: a window over it is tiny and bounded by num_partitions
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(w), F.lit(0.0)).alias(f"_off_{c}") for c in cols]
-    )
+    # one row per partition (at most n numbers): running offsets on the driver, broadcast back
+    tot = sorted(totals.collect(), key=lambda r: r["_pid"])
+    run = {c: 0.0 for c in cols}
+    rows = []
+    for r in tot:
+        rows.append((int(r["_pid"]), *[run[c] for c in cols]))
+        for c in cols:
+            run[c] += float(r[f"_tot_{c}"] or 0.0)
+    off_schema = "_pid int, " + ", ".join(f"_off_{c} double" for c in cols)
+    offsets = spark.createDataFrame(rows, off_schema)
     joined = local_df.join(F.broadcast(offsets), "_pid", "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
