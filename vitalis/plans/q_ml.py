@@ -269,6 +269,34 @@ def q_corr_kendall(spark, d):
     return out(kendall.kendall_tau_b(t, "label", "k"))
 
 
+_KCOLS = ["label", "k", "sec"]
+
+
+def _kendall_matrix_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(_KCOLS) for b in _KCOLS[i + 1:]]
+    sums = ", ".join(f"sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) AS s_{a}_{b}" for a, b in pairs)
+    ties = ", ".join(f"(SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM d GROUP BY {c}) q) AS t_{c}"
+                     for c in _KCOLS)
+    n0 = "(n.n * (n.n - 1) / 2)"
+    rows = []
+    for a, b in pairs:
+        tau = f"s.s_{a}_{b} / sqrt(({n0} - t.t_{a}) * ({n0} - t.t_{b}))"
+        rows += [f"SELECT '{a}' AS col_a, '{b}' AS col_b, {tau} AS tau FROM s, t, n",
+                 f"SELECT '{b}', '{a}', {tau} FROM s, t, n"]
+    rows += [f"SELECT '{c}', '{c}', 1.0 FROM n" for c in _KCOLS]
+    return f"""WITH d AS (SELECT row_id, label, CAST(k AS DOUBLE) AS k, CAST(second(ts) AS DOUBLE) AS sec FROM trials),
+s AS (SELECT {sums} FROM d x JOIN d y ON x.row_id < y.row_id),
+t AS (SELECT {ties}),
+n AS (SELECT count(*) AS n FROM d)
+""" + "\nUNION ALL\n".join(rows)
+
+
+@register("corr_kendall_matrix", with_ctes(rounded(_kendall_matrix_sql(), ["tau"]), "trials"))
+def q_corr_kendall_matrix(spark, d):
+    t = roles.trials_view(spark, d).withColumn("sec", F.second("ts").cast("double"))
+    return out(kendall.kendall_matrix(t, _KCOLS))
+
+
 @register("group_cv")
 def q_group_cv(spark, d):
     """Entity-grouped folds vs random folds, forest regression per fold."""
