@@ -54,7 +54,7 @@ def test_group_statistics_use_aggregate_and_join(spark, name):
     assert "HashAggregate" in plan or "ObjectHashAggregate" in plan
 
 
-@pytest.mark.parametrize("name", ["first_n_per_group", "duplicates"])
+@pytest.mark.parametrize("name", ["first_n_per_group"])
 def test_group_limit_is_applied_before_the_shuffle(spark, name):
     plan = _physical(QUERIES[name](spark, SF_SMALL))
     assert plan.count("WindowGroupLimit") >= 2   # partial (map side) and final

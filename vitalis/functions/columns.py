@@ -86,6 +86,48 @@ def md5_unit_sql(seed: int | str, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::BIGINT / 4294967296.0)"
 
 
+# Park-Miller modulus and multiplier (minimal standard generator); products stay below 2^48.
+_PM_MOD = 2147483647
+_PM_MUL = 48271
+
+
+def md5_int32(seed: int | str, *keys: ColumnOrName) -> Column:
+    """The 32-bit integer behind :func:`md5_unit` (one md5 per row)."""
+    parts = [F.lit(str(seed))] + [col(k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+
+
+def mixed_unit(h: ColumnOrName, stream: ColumnOrName) -> Column:
+    """Uniform in (0, 1) for (row hash h, stream number), by integer mixing only.
+
+    ``x = (h mod (M - 1)) + 1``; ``x = ((x xor ((stream * 1664525 + 1013904223) mod M)) mod (M - 1)) + 1``;
+    then three multiplicative steps ``x = x * 48271 mod M`` (M = 2^31 - 1, x never 0).  One md5
+    per row plus a few integer operations per draw, branch-free so it stays one small codegen
+    expression, and replayable in SQL.
+    """
+    x = F.pmod(col(h), F.lit(_PM_MOD - 1)) + 1
+    k = F.pmod(col(stream).cast("bigint") * F.lit(1664525) + F.lit(1013904223), F.lit(_PM_MOD))
+    x = F.pmod(x.bitwiseXOR(k), F.lit(_PM_MOD - 1)) + 1
+    for _ in range(3):
+        x = F.pmod(x * F.lit(_PM_MUL), F.lit(_PM_MOD))
+    return x.cast("double") / F.lit(float(_PM_MOD))
+
+
+def mixed_unit_sql(h: str, stream: str) -> str:
+    """DuckDB twin of :func:`mixed_unit` (h: BIGINT expression)."""
+    x = f"((({h}) % {_PM_MOD - 1}) + 1)"
+    k = f"((CAST({stream} AS BIGINT) * 1664525 + 1013904223) % {_PM_MOD})"
+    x = f"((xor({x}, {k}) % {_PM_MOD - 1}) + 1)"
+    for _ in range(3):
+        x = f"(({x} * {_PM_MUL}) % {_PM_MOD})"
+    return f"(CAST({x} AS DOUBLE) / {float(_PM_MOD)!r})"
+
+
+def md5_int32_sql(seed: int | str, *keys: str) -> str:
+    inner = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::BIGINT)"
+
+
 def nan_to_null(c: ColumnOrName) -> Column:
     """NaN counts as missing (pandas convention); Spark sorts NaN above numbers."""
     c = col(c)

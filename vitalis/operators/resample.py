@@ -1,10 +1,12 @@
 """Resampling: Poisson bootstrap confidence intervals.
 
-Each (replicate b, row) gets a Poisson(1) weight read from the md5 bucket of
-``seed|b|row_id`` (Chamandy et al. 2012), so no row is copied or shuffled: the
-replicates are weighted sums, aggregated map-side per replicate.  The weights
-are replayable by any engine that has md5, and a recomputed task draws the
-same weights again.
+Each (replicate b, row) gets a Poisson(1) weight (Chamandy et al. 2012), so no
+row is copied or shuffled: the replicates are weighted sums, aggregated
+map-side per replicate.  The uniform behind a weight comes from one md5 of
+``seed|row_id`` per row mixed with the replicate number by integer steps
+(``mixed_unit``), so B replicates cost one hash per row plus a few integer
+operations per draw; the draws are replayable in SQL and a recomputed task
+draws the same weights again.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalis.functions.columns import md5_unit
+from vitalis.functions.columns import md5_int32, mixed_unit
 from vitalis.operators.stats import quantile
 
 
@@ -39,10 +41,10 @@ def bootstrap_replicates(df: DataFrame, row_id: str, y_true: str, y_pred: str, n
                          seed: int = 42) -> DataFrame:
     """Weighted error sums per replicate: (b, w, sw_e2, sw_ae, sw_hit)."""
     b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-    e = df.select(row_id, F.col(y_true).cast("double").alias("_y"), F.col(y_pred).cast("double").alias("_p"), b)
-    # the draw is its own column: referenced inside the array lambda it would be re-hashed per element
-    e = e.withColumn("_u", md5_unit(seed, F.col("b"), F.col(row_id)))
-    e = e.withColumn("_w", poisson_weight(F.col("_u")).cast("double"))
+    base = df.select(md5_int32(seed, F.col(row_id)).alias("_h"), F.col(y_true).cast("double").alias("_y"),
+                     F.col(y_pred).cast("double").alias("_p"))
+    e = base.select("_h", "_y", "_p", b)
+    e = e.withColumn("_w", poisson_weight(mixed_unit(F.col("_h"), F.col("b"))).cast("double"))
     err = F.col("_y") - F.col("_p")
     return e.groupBy("b").agg(
         F.sum("_w").alias("w"), F.sum(F.col("_w") * err * err).alias("sw_e2"),

@@ -271,25 +271,28 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, top: i
 
 # --------------------------------------------------------------------- D9
 
-def duplicates(df: DataFrame, subset: Sequence[str], row_id: str | None = None, max_ids: int = 100) -> DataFrame:
-    """Duplicate groups (count > 1) over ``subset``: key columns, n, and up to ``max_ids`` smallest ids.
+def duplicates(df: DataFrame, subset: Sequence[str]) -> DataFrame:
+    """Duplicate groups over ``subset``: key columns and group size n (> 1).
 
-    NULL keys drop out of the group listing (as pandas groupby does).  Counts are
-    exact; the id sample is cut to ``max_ids`` per group *before* it is collected
-    (a group limit, applied partially on the map side), so a hot key never builds
-    a huge array in one task.
+    NULL keys drop out of the group listing (as pandas groupby does).  Partial
+    aggregation on the map side makes a hot key cost one row per task.
     """
     keep = F.lit(True)
     for c in subset:
         keep = keep & F.col(c).isNotNull()
-    g = df.where(keep)
-    counts = g.groupBy(*subset).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    if not row_id:
-        return counts
-    w = Window.partitionBy(*subset).orderBy(F.col(row_id))
-    sample = (g.select(*subset, row_id).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_ids)
-              .groupBy(*subset).agg(F.sort_array(F.collect_list(row_id)).alias("ids")))
-    return counts.join(sample, list(subset))
+    return df.where(keep).groupBy(*subset).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def duplicate_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
+    """Every row whose key occurs more than once (``keep=False``), with its group size.
+
+    The group sizes are joined back on the key (AQE: broadcast when small, skew
+    split otherwise), so the member list stays a distributed frame of whole rows.
+    """
+    keep = F.lit(True)
+    for c in subset:
+        keep = keep & F.col(c).isNotNull()
+    return df.where(keep).join(duplicates(df, subset), list(subset))
 
 
 def duplicate_summary(df: DataFrame, subset: Sequence[str]) -> DataFrame:

@@ -107,12 +107,19 @@ def q_corr_with_target(spark, d):
 
 # ------------------------------------------------------------------ D9
 
-@register("duplicates", """SELECT l_orderkey, l_linenumber, count(*) AS n,
-  list_sort(list(l_partkey))[1:100] AS ids
+@register("duplicates", """SELECT l_orderkey, l_linenumber, count(*) AS n
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def q_duplicates(spark, d):
     li = roles.table(spark, d, "lineitem")
-    return stats.duplicates(li, ["l_orderkey", "l_linenumber"], row_id="l_partkey")
+    return stats.duplicates(li, ["l_orderkey", "l_linenumber"])
+
+
+@register("duplicate_rows", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, g.n
+FROM lineitem l JOIN (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+                      GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) g USING (l_orderkey, l_linenumber)""")
+def q_duplicate_rows(spark, d):
+    li = roles.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return stats.duplicate_rows(li, ["l_orderkey", "l_linenumber"])
 
 
 @register("duplicate_summary", rounded("""SELECT CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS total_duplicates,

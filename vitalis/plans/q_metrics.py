@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalis.functions.columns import md5_unit, md5_unit_sql
+from vitalis.functions.columns import md5_int32_sql, md5_unit, md5_unit_sql, mixed_unit_sql
 from vitalis.operators import curves, metrics, resample
 from vitalis.plans import roles
 from vitalis.plans.registry import out, register
@@ -241,12 +241,12 @@ def q_ece(spark, d):
 # ------------------------------------------------------------------ D32 bootstrap
 
 _CDF_SQL = "[" + ", ".join(repr(c) for c in resample.poisson1_cdf()) + "]"
-_BOOT_B = 20
+_BOOT_B = 1000
 
 
-@register("bootstrap_ci", with_ctes(rounded(f"""WITH e AS (SELECT p.row_id, p.y_true, p.y_pred, b.b
+@register("bootstrap_ci", with_ctes(rounded(f"""WITH e AS (SELECT {md5_int32_sql(42, 'p.row_id')} AS h, p.y_true, p.y_pred, b.b
   FROM preds_reg p, (SELECT unnest(generate_series(0, {_BOOT_B - 1})) AS b) b),
-w AS (SELECT *, CAST(len(list_filter({_CDF_SQL}, lambda c: c <= {md5_unit_sql(42, 'b', 'row_id')})) AS DOUBLE) AS wt FROM e),
+w AS (SELECT *, CAST(len(list_filter({_CDF_SQL}, lambda c: c <= {mixed_unit_sql('h', 'b')})) AS DOUBLE) AS wt FROM e),
 r AS (SELECT b, sum(wt) AS w, sum(wt * (y_true - y_pred) * (y_true - y_pred)) AS se FROM w GROUP BY b),
 m AS (SELECT se / w AS m FROM r WHERE w > 0)
 SELECT 'mse' AS metric, avg(m) AS mean, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m""",
