@@ -66,7 +66,7 @@ def q_gbt(spark, d):
 @register("svm")
 def q_svm(spark, d):
     """RBF-kernel SVM via random Fourier features + one-vs-rest linear SVMs."""
-    _, p = _fit_predict(spark, d, "svm", "o_orderstatus", "classification", {"max_iter": 30})
+    _, p = _fit_predict(spark, d, "svm", "o_orderstatus", "classification")
     return p.select("row_id", "o_orderstatus", "y_pred")
 
 
