@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalis import ship_package
 from vitalis.functions.columns import log1p_safe, sqrt_safe
 from vitalis.operators.stats import quantile
 
@@ -237,6 +238,7 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
     """
     cols = list(columns)
     p = len(cols)
+    ship_package(df.sparkSession)
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | F.col(c).isNull()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from vitalis import ship_package
 from vitalis.functions.columns import md5_unit
 
 EULER_GAMMA = 0.5772156649015329
@@ -66,6 +67,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, n_
                          psi: int = 256, seed: int = 42) -> dict:
     """Grow the trees on Spark and return them as numpy arrays (bounded: n_trees x (2 psi - 1) nodes)."""
     feats = list(features)
+    ship_package(df.sparkSession)
     n = df.count()
     psi = min(psi, n)
     keep = min(1.0, 4.0 * n_trees * psi / max(n, 1))

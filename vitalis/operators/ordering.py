@@ -21,11 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from vitalis import ship_package
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
+    """Range partitions: the session's shuffle partitions, at most 4 per core of the cluster."""
     if n:
         return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
 
 
 def prefix_sums(
@@ -42,6 +47,7 @@ def prefix_sums(
     """
     n = _partitions(df, num_partitions)
     spark = df.sparkSession
+    ship_package(spark)
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     parts = parts.withColumn("_pid", F.spark_partition_id())
     loc_names = [f"_loc_{c}" for c in sum_cols]

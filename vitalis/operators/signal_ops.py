@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from vitalis import ship_package
 from vitalis.functions import signal as S
 from vitalis.functions.columns import entity_category
 from vitalis.operators.stats import quantile
@@ -47,6 +48,7 @@ def _by_length(s: pd.Series, fn, n_out: int | None = None):
 
 def band_power(df: DataFrame, v: str, fs: float, lo: float, hi: float, out: str = "bp") -> DataFrame:
     """Struct ``out``: band_power (|rfft|^2/n summed over lo <= f <= hi) and total_power."""
+    ship_package(df.sparkSession)
     schema = StructType([StructField("band_power", DoubleType()), StructField("total_power", DoubleType())])
 
     @F.pandas_udf(schema)
@@ -72,6 +74,7 @@ QUALITY_FIELDS = {
 
 def signal_quality(df: DataFrame, v: str, fs: float, kind: str = "ppg", out: str = "quality") -> DataFrame:
     """Struct of quality metrics per window (see ``functions.signal.quality_metrics``)."""
+    ship_package(df.sparkSession)
     fields = QUALITY_FIELDS.get(kind, QUALITY_FIELDS["other"])
     schema = StructType([StructField(f, DoubleType()) for f in fields])
 
@@ -97,6 +100,7 @@ def butterworth(df: DataFrame, v: str, fs: float, cutoff, btype: str = "lowpass"
     The coefficients are designed once on the driver (a handful of numbers) and
     shipped in the UDF closure.
     """
+    ship_package(df.sparkSession)
     b, a = S.butter(order, cutoff, btype, fs)
 
     @F.pandas_udf(ArrayType(DoubleType()))
@@ -140,6 +144,7 @@ WAVELET_NAMES = [f"{band}_{stat}" for band in ("cA3", "cD3", "cD2", "cD1")
 
 def wavelet_features(df: DataFrame, v: str, level: int = 3, out: str = "wavelet") -> DataFrame:
     """db4 level-3 decomposition (symmetric extension) -> 20 statistics as a struct."""
+    ship_package(df.sparkSession)
     names = WAVELET_NAMES if level == 3 else [f"f{i}" for i in range(5 * (level + 1))]
     schema = StructType([StructField(n, DoubleType()) for n in names])
 
@@ -158,6 +163,7 @@ def spectrogram(df: DataFrame, keys: Sequence[str], v: str, fs: float, nperseg:
     Segments come from ``sliding_frames``; each segment's spectrum is one Arrow
     UDF call per batch; bins are exploded to rows.  Zero power gives NULL dB.
     """
+    ship_package(df.sparkSession)
     step = nperseg - noverlap
     frames = sliding_frames(df, keys, v, nperseg, step)
     win = S.tukey(nperseg, alpha)
