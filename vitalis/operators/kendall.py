@@ -27,13 +27,18 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: (tau, n) over rows where both x and y are present."""
     d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     keys = d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
-    tx = keys.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
-    ty = keys.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-    tot = keys.agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"),
-                   F.count(F.lit(1)).alias("m")).first()
-    n, n3, m = tot["n"] or 0.0, tot["n3"] or 0.0, tot["m"]
-    n1 = tx.first()["n1"] or 0.0
-    n2 = ty.first()["n2"] or 0.0
+    # tie totals in one job: per-x, per-y and per-(x, y) group weights via grouping sets
+    sets = keys.groupingSets([["x"], ["y"], ["x", "y"]], "x", "y").agg(
+        F.sum("w").alias("t"), F.grouping_id().alias("gid"))
+    tie = {r["gid"]: r for r in sets.groupBy("gid").agg(
+        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n"),
+        F.count(F.lit(1)).alias("m")).collect()}          # three rows
+    # grouping_id bits: x is the high bit, y the low bit; 0 = (x, y), 1 = (x), 2 = (y)
+    n1 = tie[1]["pairs"] if 1 in tie else 0.0
+    n2 = tie[2]["pairs"] if 2 in tie else 0.0
+    n3 = tie[0]["pairs"] if 0 in tie else 0.0
+    n = tie[0]["n"] if 0 in tie else 0.0
+    m = tie[0]["m"] if 0 in tie else 0
     q = 0.0
     if m > 1:
         pos = global_row_number(keys, [F.col("x").asc(), F.col("y").asc()], "pos").withColumn("pos", F.col("pos") - 1)
