@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from vitalis.llm import decontam, simhash
+from vitalis.llm import decontam, packing, secrets, simhash, tokens
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash, "op6_decontam": decontam.op6_decontam}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op3_packing": packing.op3_packing,
+        "op4_secrets": secrets.op4_secrets,
+        "op6_decontam": decontam.op6_decontam,
+        "op7_tokens": tokens.op7_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
