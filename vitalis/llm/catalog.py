@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from vitalis.llm import decontam, packing, secrets, simhash, tokens
+from vitalis.llm import decontam, langid, packing, secrets, sharding, simhash, tokens, vptree
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op4_secrets": secrets.op4_secrets,
         "op6_decontam": decontam.op6_decontam,
         "op7_tokens": tokens.op7_tokens,
+        "op8_langid": langid.op8_langid,
+        "op9_ann": vptree.op9_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontam": decontam.OP6_SQL}
+    return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL}
