@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitalis.llm import decontam, langid, packing, secrets, sharding, simhash, tokens, vptree
+from vitalis.llm import decontam, langid, packing, quality, secrets, sharding, simhash, tokens, vptree
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op4_secrets": secrets.op4_secrets,
+        "op5_quality": quality.op5_quality,
         "op6_decontam": decontam.op6_decontam,
         "op7_tokens": tokens.op7_tokens,
         "op8_langid": langid.op8_langid,

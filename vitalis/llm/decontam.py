@@ -51,17 +51,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and where each text's words begin (one more at the end)."""
+def word_hashes(texts: list[bytes], kind: np.ndarray, change: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one more at the end).
+
+    Words are runs of bytes of one ``kind`` (by byte; 0 parts words); ``change`` maps bytes before they are hashed.
+    """
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    low = _LOWER[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[low], [False]]).astype(np.int8)))
-    a, e = edge[::2], edge[1::2]
+    low = raw if change is None else change[raw]
+    k = np.concatenate([kind[:1] * 0, kind[low], kind[:1] * 0])
+    edge = np.flatnonzero(k[1:] != k[:-1])
+    a = edge[k[edge + 1] != 0]
+    e = edge[k[edge] != 0]
     power, inverse = _pow(len(raw))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[low] * power[: len(raw)])])
-    h = mix((sums[e] - sums[a]) * inverse[a])
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.searchsorted(a, np.concatenate([[0], ends]))
+    return mix((sums[e] - sums[a]) * inverse[a]), np.searchsorted(a, np.concatenate([[0], ends]))
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the contract, A-Z in lower case."""
+    return word_hashes(texts, _WORD, _LOWER)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -106,7 +115,8 @@ def _context(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, pad
 _FP = "array<struct<kind:int,fp:long,pos:long,ctx:binary>>"
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+def text_slices(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of slices of about STEP bytes; a null text is empty."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"") + 1
@@ -129,7 +139,7 @@ def _scan(n_keys: int, item: bool, seen=None, short: list[int] | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in _chunks(b.column(n_keys).to_pylist()):
+            for first, texts in text_slices(b.column(n_keys).to_pylist()):
                 h, off = words(texts)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(texts)), n)

@@ -174,7 +174,7 @@ def _search(k: int, factor: float):
         qi, xi = search(tree, vecs, k + 1, factor)  # its own may be among them
         for lo in range(0, len(qi), 1 << 16):
             hi = slice(lo, lo + (1 << 16))
-            score = (vecs[qi[hi]] * tree["x"][xi[hi], :-1]).sum(1)
+            score = np.cumsum(vecs[qi[hi]] * tree["x"][xi[hi], :-1], 1)[:, -1]  # one term after the other
             size = np.array([len(tree["ids"][i]) for i in xi[hi]], np.int64)
             f = pd.DataFrame({"q": np.repeat(qi[hi], size), "vec_id": np.concatenate([tree["ids"][i] for i in xi[hi]]), "score": np.repeat(score, size)})
             parts.append(f[f["vec_id"].to_numpy() != ids[f["q"].to_numpy()]])
