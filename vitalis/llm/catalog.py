@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitalis.llm import decontam, langid, packing, quality, secrets, sharding, simhash, tokens, vptree
+from vitalis.llm import decontam, langid, packing, quality, repeats, secrets, sharding, simhash, tokens, vptree
 
 
 def queries() -> dict:
@@ -16,8 +16,9 @@ def queries() -> dict:
         "op7_tokens": tokens.op7_tokens,
         "op8_langid": langid.op8_langid,
         "op9_ann": vptree.op9_ann,
+        "op10_repeats": repeats.op10_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL}
+    return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL, "op10_repeats": repeats.OP10_SQL}
