@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vitalis.llm import decontam, langid, packing, quality, repeats, secrets, sharding, simhash, tokens, vptree
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": simhash.op1_simhash,
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
@@ -21,4 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    """Oracles where SQL expresses the result; the other queries are tested against brute force."""
     return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL, "op10_repeats": repeats.OP10_SQL}

@@ -19,8 +19,9 @@ DISTANCE = 3
 SEED = 42
 #: The fingerprint is cut into so many blocks; pairs within DISTANCE agree on BLOCKS - DISTANCE of them.
 BLOCKS = 5
-#: A block value shared by more fingerprints is split again on the bits it leaves free.
+#: A block value shared by more fingerprints is split again on the bits it leaves free, while those are more than FREE.
 BUCKET = 1024
+FREE = 10
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -115,7 +116,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket
     out = None
     while True:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        big = saved(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("mask", "key"), "blocks")
+        wide = F.bit_count("mask") < 64 - FREE  # else 2 ** FREE members at most
+        big = saved(rows.where(wide).groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("mask", "key"), "blocks")
         some = big.limit(1).count() > 0
         rest = rows.join(big, ["mask", "key"], "left_anti") if some else rows
         groups = rest.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
