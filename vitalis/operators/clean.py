@@ -38,12 +38,14 @@ class OutlierRemover:
         aggs = []
         for i, c in enumerate(self.columns):
             x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                     quantile(x, [0.25, 0.75]).alias(f"q{i}")]
-        row = df.agg(*aggs).first()
+            if self.method == "iqr":
+                aggs.append(quantile(x, [0.25, 0.75]).alias(f"q{i}"))
+            else:
+                aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        row = df.agg(*aggs).first().asDict()
         for i, c in enumerate(self.columns):
-            q = row[f"q{i}"] or [None, None]
-            self.stats_[c] = {"mean": row[f"m{i}"], "std": row[f"s{i}"], "q1": q[0], "q3": q[1]}
+            q = row.get(f"q{i}") or [None, None]
+            self.stats_[c] = {"mean": row.get(f"m{i}"), "std": row.get(f"s{i}"), "q1": q[0], "q3": q[1]}
         return self
 
     def keep_condition(self) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import eps_ratio, safe_div
-from vitalis.operators.ordering import prefix_sums
+from vitalis.operators.ordering import join_null_safe, prefix_sums
 from vitalis.operators.stats import quantile
 
 
@@ -67,7 +67,7 @@ def entity_zscore(df: DataFrame, entity: str, columns: Sequence[str], min_rows:
     for i, c in enumerate(columns):
         aggs += [F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}")]
     stats = df.groupBy(entity).agg(*aggs)
-    j = df.join(stats, entity, "left")
+    j = join_null_safe(df, stats, [entity], "left")
     for i, c in enumerate(columns):
         z = F.when(F.col(f"_s{i}") > 0, (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.lit(0.0))
         j = j.withColumn(f"{c}{suffix}", F.when(F.col("_n") >= min_rows, z))
@@ -81,7 +81,7 @@ def grouped_prefix(df: DataFrame, keys: Sequence[str], order: Column, sum_cols:
     keys = list(keys)
     pref = prefix_sums(df, [*[F.col(k).asc() for k in keys], order], sum_cols)
     starts = pref.groupBy(*keys).agg(*[F.min(f"{c}_before").alias(f"_start_{c}") for c in sum_cols])
-    j = pref.join(starts, keys)
+    j = join_null_safe(pref, starts, keys)
     for c in sum_cols:
         j = j.withColumn(f"{c}_before", F.col(f"{c}_before") - F.col(f"_start_{c}")).drop(f"_start_{c}")
     return j
@@ -98,9 +98,9 @@ def percentile_of_score(df: DataFrame, entity: str, label: str, out: str = "labe
     cnt = base.groupBy(entity, label).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     pref = grouped_prefix(cnt, [entity], F.col(label).asc(), ["_c"])
     tot = cnt.groupBy(entity).agg(F.sum("_c").alias("_n"))
-    scored = pref.join(tot, entity).select(
+    scored = join_null_safe(pref, tot, [entity]).select(
         entity, label, ((2 * F.col("_c_before") + F.col("_c") + 1) / (2 * F.col("_n"))).alias(out))
-    return df.join(scored, [entity, label], "left")
+    return join_null_safe(df, scored, [entity, label], "left")
 
 
 def normalize_label(df: DataFrame, entity: str, label: str, method: str = "zscore",
@@ -179,7 +179,11 @@ def annotate_samples(samples: DataFrame, regions: DataFrame, entity: str, t: str
     r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / b).cast("bigint"),
                                                 F.floor(F.col("_e") / b).cast("bigint"))))
     s = samples.withColumn("_b", F.floor(F.col(t) / b).cast("bigint"))
+    # equal samples are counted once and come back as often as they were
+    keys = [c for c in samples.columns]
+    s = s.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_copies"))
     j = s.join(r, [entity, "_b"], "left")
     hit = (F.col(t) >= F.col("_s")) & (F.col(t) <= F.col("_e"))
-    keys = [c for c in samples.columns]
-    return j.groupBy(*keys).agg(F.count_if(hit).cast("bigint").alias("n_regions"))
+    g = j.groupBy(*keys, "_copies").agg(F.count_if(hit).cast("bigint").alias("n_regions"))
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return g.select(*keys, "n_regions", again.alias("_copy")).drop("_copy")

@@ -61,7 +61,8 @@ def regression_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_p
                        exact: bool = True) -> DataFrame:
     """mse, rmse, mae, r2, explained_variance, mape (fraction, y == 0 skipped), median_ae, max_error."""
     y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n")] + regression_aggs(y, p, metrics or REG_METRICS, exact=exact)
+    n = F.count_if(y.isNotNull() & p.isNotNull()).cast("bigint")
+    aggs = [n.alias("n")] + regression_aggs(y, p, metrics or REG_METRICS, exact=exact)
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
@@ -81,14 +82,15 @@ def confusion_counts(df: DataFrame, y_true: str, y_pred: str, keys: Sequence[str
 def per_class_table(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys + (label, support, predicted, tp, precision, recall, f1); classes = union of t and p."""
     keys = list(keys)
-    sup = conf.groupBy(*keys, F.col("t").alias("label")).agg(F.sum("cnt").alias("support"))
-    prd = conf.groupBy(*keys, F.col("p").alias("label")).agg(F.sum("cnt").alias("predicted"))
-    tp = conf.where(F.col("t") == F.col("p")).select(*keys, F.col("t").alias("label"), F.col("cnt").alias("tp"))
-    j = sup.join(prd, keys + ["label"], "full_outer").join(tp, keys + ["label"], "left")
-    j = j.select(*keys, "label",
-                 F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
-                 F.coalesce("predicted", F.lit(0)).cast("bigint").alias("predicted"),
-                 F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"))
+    # each cell counts for its true and for its predicted class; one aggregate keeps null keys
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("t") == F.col("p"), F.col("cnt")).otherwise(none)
+    cells = F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("cnt").alias("support"), none.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("p").alias("label"), none.alias("support"), F.col("cnt").alias("predicted"), none.alias("tp")),
+    )).alias("x")
+    j = conf.select(*keys, cells).select(*keys, "x.*").groupBy(*keys, "label").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("support", "predicted", "tp")])
     prec = F.coalesce(safe_div(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(safe_div(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(safe_div(2 * prec * rec, prec + rec), F.lit(0.0))
@@ -184,7 +186,8 @@ def metrics_by_entity_reg(df: DataFrame, entity: str, y_true: str = "y_true", y_
     """Per entity: n, mse, rmse, mae, r2 (NULL for one row); sorted by entity."""
     y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
     aggs = regression_aggs(y, p, ("mse", "rmse", "mae", "r2"))
-    return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy(entity)
+    n = F.count_if(y.isNotNull() & p.isNotNull()).cast("bigint")
+    return df.groupBy(entity).agg(n.alias("n"), *aggs).orderBy(entity)
 
 
 def metrics_by_entity_cls(df: DataFrame, entity: str, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -36,10 +36,8 @@ MODEL_KINDS = ("rf", "gb", "svm", "mlp", "elastic", "en", "logistic", "linear")
 def infer_task(df: DataFrame, label: str) -> str:
     """'regression' iff the label is numeric with more than 10 distinct values, else 'classification'."""
     if isinstance(df.schema[label].dataType, NumericType):
-        n = df.agg(F.approx_count_distinct(label).alias("n")).first()["n"]
-        if n > 10:
-            exact = df.select(label).distinct().limit(11).count()
-            return "regression" if exact > 10 else "classification"
+        few = df.where(F.col(label).isNotNull()).select(label).distinct().limit(11).count()
+        return "regression" if few > 10 else "classification"
     return "classification"
 
 
@@ -145,18 +143,21 @@ class TabularModel:
         label_col, label_std, n_classes = label, None, 0
         stages = []
         if self.task == "classification":
-            idx = StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc",
-                                handleInvalid="keep")
-            stages.append(idx)
+            # classes in string order; rows without a label teach nothing
             label_col = "_label_idx"
-            # string order, exactly as the alphabetical StringIndexer numbers the classes
-            self.labels_ = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct()
-                                  .where(F.col(label).isNotNull()).collect())
+            data = data.where(F.col(label).isNotNull())
+            self.labels_ = sorted(r[0] for r in data.select(F.col(label).cast("string")).distinct().collect())
             n_classes = len(self.labels_)
-            data = data.withColumn(label, F.col(label).cast("string"))
+            place = F.array_position(F.array(*[F.lit(x) for x in self.labels_]), F.col(label).cast("string"))
+            data = data.withColumn(label_col, (place - 1).cast("double"))
+            if self.kind in ("logistic", "elastic", "en", "linear") and "reg" not in self.params:
+                self.params = {**self.params, "reg": 1.0 / max(data.count(), 1)}  # C = 1
         elif self.kind in ("elastic", "en"):
             label_std = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0]
-        stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"))
+        missing = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first()
+        if any(missing):
+            raise ValueError(f"features with nulls, impute them first: {[c for c in feats if missing[c]]}")
+        stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error"))
         est = self._estimator(len(feats), max(n_classes, 2), label_col, label_std)
         if self.params.get("weight_col") and hasattr(est, "setWeightCol") and self.kind in ("rf", "gb"):
             est.setWeightCol(self.params["weight_col"])
@@ -174,9 +175,9 @@ class TabularModel:
         if self.model_ is None:
             raise ValueError("Model has not been trained")
         data = self._prep(df)
-        if self.task == "classification" and self.label_ in data.columns:
-            data = data.withColumn(self.label_, F.col(self.label_).cast("string"))
         res = self.model_.transform(data)
+        if self.task == "classification" and self.label_ in data.columns:
+            res = res.withColumn(self.label_, F.col(self.label_).cast("string"))
         if self.task == "classification":
             lab = F.array(*[F.lit(x) for x in self.labels_])
             res = res.withColumn(out, F.get(lab, F.col("prediction").cast("int")))

@@ -16,21 +16,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vitalis import ship_package
+from vitalis.session import written
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    """Range partitions: the session's shuffle partitions, at most 4 per core of the cluster."""
-    if n:
-        return n
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+    """Range partitions: ``n``, else the session's shuffle partitions (set for the data, not for the cores of the moment)."""
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL; the left keys and all other columns of both sides."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def prefix_sums(
@@ -71,7 +76,7 @@ def prefix_sums(
                 carry[c] += float(cs[-1]) if len(cs) else 0.0
             yield pdf
 
-    local_df = parts.mapInPandas(local, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    local_df = written(parts.mapInPandas(local, out_schema), "prefix")
     totals = local_df.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in cols])
     # one row per partition (at most n numbers): running offsets on the driver, broadcast back
     tot = sorted(totals.collect(), key=lambda r: r["_pid"])
@@ -113,7 +118,7 @@ def average_rank(df: DataFrame, value_col: str, rank_col: str | None = None,
     return df.join(ranks, value_col, "left")
 
 
-__all__ = ["prefix_sums", "global_row_number", "average_rank", "rank_in_group"]
+__all__ = ["prefix_sums", "join_null_safe", "global_row_number", "average_rank", "rank_in_group"]
 
 
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank",
@@ -128,6 +133,6 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     base = df.withColumn("_one", F.lit(1.0))
     pref = prefix_sums(base, [*[F.col(k).asc() for k in keys], *order], ["_one"], num_partitions=num_partitions)
     starts = pref.groupBy(*keys).agg(F.min("_one_before").alias("_start"))
-    j = pref.join(starts, keys)
+    j = join_null_safe(pref, starts, keys)
     return j.withColumn(name, (F.col("_one_before") - F.col("_start")).cast("bigint")).drop(
         "_one", "_one_before", "_start")

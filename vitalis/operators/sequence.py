@@ -10,21 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import md5_unit
+from vitalis.operators.ordering import join_null_safe
 
 
 def build_sequences(windows: DataFrame, keys: Sequence[str], idx: str, vec: str, label: str | None = None,
                     max_len: int | None = None, out: str = "seq") -> DataFrame:
     """keys + (seq array<array<double>> ordered by idx, seq_len, label with missing -> 0).
 
-    Empty vectors are dropped; ``max_len`` keeps the first windows by idx.
+    ``max_len`` keeps the first windows of a trial by idx, whatever their index begins
+    with; empty vectors are windows like any other (the Spark plan keeps the first rows
+    of each trial before the shuffle).
     """
-    w = windows.where(F.size(vec) > 0)
+    w = windows
     if max_len is not None:
-        w = w.where(F.col(idx) < max_len)
+        first = Window.partitionBy(*keys).orderBy(idx)
+        w = w.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= max_len).drop("_rn")
     aggs = [F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(vec).alias("v")))).alias("_s")]
     if label:
         aggs.append(F.first(label, ignorenulls=True).alias("_label"))
@@ -46,7 +50,7 @@ def sequence_minmax(windows: DataFrame, keys: Sequence[str], idx: str, vec: str,
     """Per (trial, dimension) min-max scaling; a range <= eps uses divisor 1."""
     long = to_long(windows, keys, idx, vec)
     st = long.groupBy(*keys, "dim").agg(F.min("value").alias("_mn"), F.max("value").alias("_mx"))
-    j = long.join(st, [*keys, "dim"])
+    j = join_null_safe(long, st, [*keys, "dim"])
     rng = F.col("_mx") - F.col("_mn")
     return j.select(*keys, idx, "dim",
                     ((F.col("value") - F.col("_mn")) / F.when(rng <= eps, F.lit(1.0)).otherwise(rng)).alias("value"))

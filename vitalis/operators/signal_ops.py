@@ -274,9 +274,11 @@ def quality_by_condition(q: DataFrame, signal: str, condition: str, category: st
     """Mean and population std of the score by (signal, condition) and by (signal, category) in one pass."""
     s = F.col(score)
     g = q.groupingSets([[signal, condition], [signal, category]], signal, condition, category)
-    out = g.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.count(s).alias("n"))
-    dim = F.when(F.col(condition).isNotNull(), F.lit("condition")).otherwise(F.lit("category"))
-    val = F.coalesce(F.col(condition).cast("string"), F.col(category).cast("string"))
+    out = g.agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.count(s).alias("n"),
+                F.grouping(condition).alias("_no_condition"))
+    by_condition = F.col("_no_condition") == 0
+    dim = F.when(by_condition, F.lit("condition")).otherwise(F.lit("category"))
+    val = F.when(by_condition, F.col(condition).cast("string")).otherwise(F.col(category).cast("string"))
     return out.select(signal, dim.alias("dim"), val.alias("value"), "mean", "std", "n")
 
 

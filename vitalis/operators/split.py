@@ -1,4 +1,4 @@
-"""Reproducible splits and folds as columns (no row shuffle, no driver-side index lists).
+"""Reproducible splits and folds as columns (no driver-side index lists; random splits need no shuffle, ranks do).
 
 Every row gets a replayable uniform number ``u = md5_unit(seed, row_id)``.
 Random splits compare ``u`` with the fraction; exact-size splits and folds use
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import md5_unit
-from vitalis.operators.ordering import prefix_sums
+from vitalis.operators.ordering import join_null_safe, prefix_sums, rank_in_group
 
 
 def split_random(df: DataFrame, row_id: str, test_fraction: float = 0.2, seed: int = 42,
@@ -26,16 +26,19 @@ def split_random(df: DataFrame, row_id: str, test_fraction: float = 0.2, seed: i
 
 
 def _rank_within(df: DataFrame, strata: Sequence[str], row_id: str, seed: int) -> DataFrame:
-    """0-based rank of each row inside its stratum in (u, row_id) order, plus stratum size ``_n``."""
+    """0-based rank of each row inside its stratum in (u, row_id) order, plus stratum size ``_n`` if there are strata.
+
+    NULL is a stratum like any other.
+    """
     strata = list(strata)
     base = df.withColumn("_u", md5_unit(seed, row_id)).withColumn("_one", F.lit(1.0))
     order = [*[F.col(s).asc() for s in strata], F.col("_u").asc(), F.col(row_id).asc()]
     pref = prefix_sums(base, order, ["_one"])
     if strata:
         g = pref.groupBy(*strata).agg(F.min("_one_before").alias("_start"), F.count(F.lit(1)).alias("_n"))
-        pref = pref.join(g, strata)
+        pref = join_null_safe(pref, g, strata)
     else:
-        pref = pref.withColumn("_n", F.lit(df.count()).cast("bigint")).withColumn("_start", F.lit(0.0))
+        pref = pref.withColumn("_start", F.lit(0.0))
     return pref.withColumn("_rank", (F.col("_one_before") - F.col("_start")).cast("bigint")).drop(
         "_one", "_one_before", "_start", "_u")
 
@@ -51,7 +54,7 @@ def split_stratified(df: DataFrame, row_id: str, label: str, test_fraction: floa
 def kfold(df: DataFrame, row_id: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Shuffled k-fold: rank in hash order modulo k (fold sizes differ by at most one)."""
     r = _rank_within(df, [], row_id, seed)
-    return r.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_rank", "_n")
+    return r.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_rank")
 
 
 def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 5, seed: int = 42,
@@ -79,29 +82,48 @@ def timeseries_split(df: DataFrame, order: Sequence[str], k: int = 5, out_fold:
     return e.withColumn(out_role, role).where(F.col(out_role).isNotNull()).drop("_r")
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5, max_groups: int = 1_000_000, out: str = "fold") -> DataFrame:
-    """Groups by size (desc) onto the currently lightest fold; no group spans two folds.
+def fold_runs(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Greedy balancing as runs: groups of ``size`` from rank ``start`` to ``end`` take ``folds`` in turn.
 
-    The greedy pass runs on the per-group counts (one number per group, at most
-    ``max_groups`` of them); beyond that the fold is a hash of the group.
+    ``sizes`` is (size, number of groups), largest size first; each group goes to the
+    lightest fold, the first of equal ones.  Groups of one size fill the lightest folds
+    in turn until these reach the next fold's load, so a size gives ``k`` runs at most.
+    """
+    loads, out = [0] * k, []
+    for size, count in sizes:
+        rank = 0
+        while rank < count:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            active = [f for f in order if loads[f] < loads[order[0]] + size]
+            rest = order[len(active):]
+            turns = (loads[rest[0]] - loads[order[0]]) // size if rest else -(-(count - rank) // len(active))
+            take = min(count - rank, turns * len(active))
+            out.append((size, rank, rank + take, active))
+            for i, f in enumerate(active):
+                loads[f] += size * (take // len(active) + (i < take % len(active)))
+            rank += take
+    return out
+
+
+def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
+    """Groups by size (desc, then by id) onto the currently lightest fold; no group spans two folds.
+
+    The greedy pass runs on the number of groups of each size (fewer sizes than the
+    square root of twice the rows); groups are ranked within their size on the cluster.
+    NULL is a group like any other.
     """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    n_groups = counts.count()
-    if n_groups > max_groups:
-        return df.withColumn(out, (F.abs(F.xxhash64(F.col(group))) % k).cast("int"))
+    sizes = [(r["_n"], r["_c"]) for r in counts.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).collect()]
+    n_groups = sum(c for _, c in sizes)
     if n_groups < k:
         raise ValueError(f"cannot have {k} folds with {n_groups} groups")
-    rows = counts.orderBy(F.col("_n").desc(), F.col(group)).collect()
-    loads = [0] * k
-    assign = []
-    for r in rows:
-        f = min(range(k), key=lambda i: (loads[i], i))
-        loads[f] += r["_n"]
-        assign.append((r[group], f))
-    spark = df.sparkSession
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, {out} int"
-    folds = spark.createDataFrame(assign, schema)
-    return df.join(folds, group, "left")
+    runs = fold_runs(sorted(sizes, reverse=True), k)
+    plan = df.sparkSession.createDataFrame(runs, "_size bigint, _from bigint, _to bigint, _folds array<int>")
+    ranked = rank_in_group(counts, ["_n"], [F.col(group).asc()], "_rank")
+    hit = (F.col("_n") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    turn = ((F.col("_rank") - F.col("_from")) % F.size("_folds")).cast("int")
+    folds = ranked.join(plan, hit).select(group, F.get("_folds", turn).alias(out))
+    return join_null_safe(df, folds, [group], "left")
 
 
 def fold_sizes(n: int, k: int) -> list[int]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
+from vitalis.session import written
 from vitalis.functions.columns import safe_div
 
 
@@ -227,27 +228,57 @@ def corr_pearson(df: DataFrame, columns: Sequence[str], lower_only: bool = False
     return mirrored.select(F.explode("x").alias("x")).select("x.*")
 
 
+def _ranks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, average rank of the value among the ``_c`` rows of its group."""
+    from vitalis.operators.features import grouped_prefix
+
+    pref = grouped_prefix(counts, keys, F.col(value).asc(), ["_c"])
+    return pref.select(*keys, value, (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank"))
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman = Pearson of average ranks (rows complete in all columns).
+    """Spearman = Pearson of average ranks, pairwise complete.
 
-    The ranks of all columns come from one distributed prefix pass over the
-    (column, value) counts; each column's ranks are then joined back on its value.
+    Without nulls the ranks of a column are the same in every pair: they come from one
+    distributed prefix pass over the (column, value) counts and are joined back on the
+    value.  With nulls each pair has ranks of its own, among the rows complete in it:
+    one pass over (pair, side, value) counts.
     """
-    from vitalis.operators.features import grouped_prefix
-
     columns = list(columns)
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().persist()
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]))
-    counts = base.select(pairs.alias("p")).select("p.*").groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).cast("double").alias("_c"))
-    pref = grouped_prefix(counts, ["column_name"], F.col("value").asc(), ["_c"])
-    ranks = pref.select("column_name", "value", (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank")).persist()
-    ranked = base
-    for c in columns:
-        rc = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
-        ranked = ranked.join(rc, c, "left")
-    out = corr_pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns]), columns)
-    return out
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    count = F.count(F.lit(1)).cast("double").alias("_c")
+    if not any(nulls):
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]))
+        counts = base.select(pairs.alias("p")).select("p.*").groupBy("column_name", "value").agg(count)
+        ranks = written(_ranks(counts, ["column_name"], "value"), "ranks")
+        ranked = base
+        for c in columns:
+            rc = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
+            ranked = ranked.join(rc, c, "left")
+        return corr_pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns]), columns)
+    p = len(columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(columns[i]).alias("a"),
+                                        F.col(columns[j]).alias("b")) for i, j in pairs])).alias("q")
+    long = base.select(rows).select("q.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("v")),
+                              F.struct(F.lit("b").alias("side"), F.col("b").alias("v")))).alias("q")
+    counts = long.select("i", "j", sides).select("i", "j", "q.*").groupBy("i", "j", "side", "v").agg(count)
+    ranks = written(_ranks(counts, ["i", "j", "side"], "v"), "ranks")
+    for c in ("a", "b"):
+        rc = ranks.where(F.col("side") == c).select("i", "j", F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
+        long = long.join(rc, ["i", "j", c])
+    g = long.groupBy("i", "j").agg(F.covar_pop("ra", "rb").alias("cov"), F.stddev_pop("ra").alias("sa"),
+                                   F.stddev_pop("rb").alias("sb"))
+    grid = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    r = grid.join(g, ["i", "j"], "left").select("i", "j", safe_div(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
+    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), F.col("r")),
+                   F.struct(b.alias("col_a"), a.alias("col_b"), F.col("r")))
+    mirrored = r.select(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both).alias("x"))
+    return mirrored.select(F.explode("x").alias("x")).select("x.*")
 
 
 def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -286,13 +317,14 @@ def duplicates(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 def duplicate_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once (``keep=False``), with its group size.
 
+    NULL keys equal each other here, as they do in the totals of ``duplicate_summary``.
     The group sizes are joined back on the key (AQE: broadcast when small, skew
     split otherwise), so the member list stays a distributed frame of whole rows.
     """
-    keep = F.lit(True)
-    for c in subset:
-        keep = keep & F.col(c).isNotNull()
-    return df.where(keep).join(duplicates(df, subset), list(subset))
+    from vitalis.operators.ordering import join_null_safe
+
+    groups = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return join_null_safe(df, groups, list(subset))
 
 
 def duplicate_summary(df: DataFrame, subset: Sequence[str]) -> DataFrame:

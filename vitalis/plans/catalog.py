@@ -7,18 +7,10 @@ for comparison only (``out`` in the query, ``rounded`` in the oracle).
 
 from __future__ import annotations
 
-from vitalis.plans import q_core  # noqa: F401
+from vitalis.plans import q_agg, q_clean, q_core, q_metrics, q_ml, q_signal, q_sources, q_split  # noqa: F401
 from vitalis.plans.q_core import q_metrics_by_entity_reg  # noqa: F401
 from vitalis.plans.registry import REGISTRY, QueryFn
 
-_MODULES = ["q_agg", "q_metrics", "q_clean", "q_split", "q_signal", "q_sources", "q_ml"]
-for _m in _MODULES:
-    try:
-        __import__(f"vitalis.plans.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"vitalis.plans.{_m}":
-            raise
-
 
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}

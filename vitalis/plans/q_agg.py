@@ -210,13 +210,14 @@ def q_distinct_counts(spark, d):
     return stats.distinct_counts(roles.trials_view(spark, d), ["entity", "condition", "k"])
 
 
-@register("union_trials", with_ctes("""SELECT * FROM (SELECT row_id, entity, condition, label, k FROM trials WHERE condition = 'view')
+@register("union_trials", with_ctes("""SELECT * FROM (SELECT row_id, entity, condition, label, k FROM trials WHERE condition IN ('view', 'click'))
 UNION ALL BY NAME
-SELECT * FROM (SELECT row_id, entity, condition, label FROM trials WHERE condition = 'click')""", "trials"))
+SELECT * FROM (SELECT row_id, entity, condition, label FROM trials WHERE condition NOT IN ('view', 'click'))""", "trials"))
 def q_union_trials(spark, d):
     t = roles.trials_view(spark, d)
-    a = t.where(F.col("condition") == "view").select("row_id", "entity", "condition", "label", "k")
-    b = t.where(F.col("condition") == "click").select("row_id", "entity", "condition", "label")
+    first = F.col("condition").isin("view", "click")
+    a = t.where(first).select("row_id", "entity", "condition", "label", "k")
+    b = t.where(~first).select("row_id", "entity", "condition", "label")
     return stats.union_all([a, b])
 
 

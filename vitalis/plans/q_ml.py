@@ -25,16 +25,9 @@ def _split(spark, d):
     return o.where(F.col("_u") >= 0.2), o.where(F.col("_u") < 0.2)
 
 
-_MODELS: dict = {}
-
-
 def _model(spark, d, kind, label, task, params=None) -> ml.TabularModel:
-    """Fit once per (session, data, model) and reuse across the queries that inspect the same model."""
-    key = (id(spark), d, kind, label, task, tuple(sorted((params or {}).items())))
-    if key not in _MODELS:
-        train, _ = _split(spark, d)
-        _MODELS[key] = ml.TabularModel(kind, task, dict(params or {})).fit(train, FEATS, label)
-    return _MODELS[key]
+    train, _ = _split(spark, d)
+    return ml.TabularModel(kind, task, dict(params or {})).fit(train, FEATS, label)
 
 
 def _fit_predict(spark, d, kind, label, task, params=None):
@@ -86,7 +79,7 @@ def q_elastic(spark, d):
 
 @register("logistic")
 def q_logistic(spark, d):
-    _, p = _fit_predict(spark, d, "logistic", "o_orderstatus", "classification", {"reg": 1.0 / 12000})
+    _, p = _fit_predict(spark, d, "logistic", "o_orderstatus", "classification")
     return p.select("row_id", "o_orderstatus", "y_pred", "proba")
 
 

@@ -360,12 +360,12 @@ def q_sequence_minmax(spark, d):
 
 @register("pad_sequences", with_ctes(f"""WITH {_WIN_SQL},
 s AS (SELECT entity, condition, list(vec ORDER BY idx) AS seq, CAST(count(*) AS INTEGER) AS seq_len
-      FROM win WHERE idx < 10 GROUP BY entity, condition)
+      FROM win GROUP BY entity, condition)
 SELECT entity, condition, seq_len, seq || list_transform(range((SELECT max(seq_len) FROM s) - seq_len), lambda j: [0.0, 0.0])
        AS padded FROM s""", "trials"))
 def q_pad_sequences(spark, d):
     w = windows_view(spark, d)
-    s = sequence.build_sequences(w, ["entity", "condition"], "idx", "vec", max_len=10)
+    s = sequence.build_sequences(w, ["entity", "condition"], "idx", "vec")
     return sequence.pad_sequences(s).select("entity", "condition", "seq_len", "padded")
 
 
@@ -386,9 +386,9 @@ def q_augment_noise(spark, d):
 
 
 @register("masked_mean_pool", with_ctes(rounded(f"""WITH {_WIN_SQL}
-SELECT entity, condition, [avg(vec[1]), avg(vec[2])] AS pooled FROM win WHERE idx < 10 GROUP BY entity, condition""",
+SELECT entity, condition, [avg(vec[1]), avg(vec[2])] AS pooled FROM win GROUP BY entity, condition""",
     [], arrays=["pooled"]), "trials"))
 def q_masked_mean_pool(spark, d):
     w = windows_view(spark, d)
-    s = sequence.pad_sequences(sequence.build_sequences(w, ["entity", "condition"], "idx", "vec", max_len=10))
+    s = sequence.pad_sequences(sequence.build_sequences(w, ["entity", "condition"], "idx", "vec"))
     return out(sequence.masked_mean_pool(s, "padded", "seq_len", 2).select("entity", "condition", "pooled"))

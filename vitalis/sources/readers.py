@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vitalis.session import ensure_checkpoint_dir
 
@@ -95,17 +95,14 @@ def scan_json_dir(spark: SparkSession, directory: str, schema: StructType | str,
     if pattern:
         raw = raw.where(F.col("file_name").rlike(pattern))
     raw = raw.where(F.trim("value") != "")
-    parsed = raw.select("file_name", F.from_json("value", schema, {"mode": "PERMISSIVE", **JSON_OPTIONS}).alias("r"),
-                        F.col("value"))
-    ok = F.col("r").isNotNull() & F.col("value").startswith("{") & F.col("value").endswith("}")
-    # from_json yields a struct of NULLs for some broken text: require at least one parsed field
-    fields = [f.name for f in (schema.fields if isinstance(schema, StructType) else parsed.schema["r"].dataType.fields)]
-    any_field = F.lit(False)
-    for f in fields:
-        any_field = any_field | F.col(f"r.{f}").isNotNull()
-    good = parsed.where(ok & any_field)
-    bad = parsed.where(~(ok & any_field)).groupBy("file_name").agg(F.count(F.lit(1)).alias("n_bad"))
-    return good.select("file_name", "r.*"), bad
+    kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    wide = StructType([*kind.fields, StructField("_broken", StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", **JSON_OPTIONS}
+    parsed = raw.select("file_name", F.from_json(F.trim("value"), wide, options).alias("r"))
+    ok = F.col("r").isNotNull() & F.col("r._broken").isNull()
+    good = parsed.where(ok)
+    bad = parsed.where(~ok).groupBy("file_name").agg(F.count(F.lit(1)).alias("n_bad"))
+    return good.select("file_name", *[F.col("r").getField(f.name).alias(f.name) for f in kind.fields]), bad
 
 
 # ------------------------------------------------------------------ nested segment files
@@ -155,11 +152,11 @@ def explode_segments(trials: DataFrame, keys: list[str] | None = None) -> DataFr
 
 def segment_features(windows: DataFrame, window: str = "window", kind: str = "eng_features",
                      n_features: int = 22) -> DataFrame:
-    """Feature vector of each window: engineered -> first ``n_features`` values; raw -> element 0 of
-    the PPG input; any other kind falls back to the engineered vector."""
+    """Feature vector of each window: engineered -> first ``n_features`` values; a signal kind (ppg, eda, tonic,
+    accel, temp; raw is ppg) -> element 0 of its input; any other kind falls back to the engineered vector."""
     w = F.col(window)
-    if kind == "raw":
-        feat = F.get(w["ppg_input"], 0)
+    if kind in ("raw", "ppg", "eda", "tonic", "accel", "temp"):
+        feat = F.get(w["ppg_input" if kind == "raw" else f"{kind}_input"], 0)
     elif kind == "raw_eng_features":
         feat = F.slice(w["raw_eng_features_input"], 1, n_features)
     else:
@@ -170,10 +167,10 @@ def segment_features(windows: DataFrame, window: str = "window", kind: str = "en
 def limit_entities(df: DataFrame, entity: str, n: int) -> DataFrame:
     """Keep the first ``n`` entities by id (deterministic, unlike a directory listing order).
 
-    The n ids (a bounded set) are broadcast into a left-semi join.
+    Up to 100,000 ids are broadcast into a left-semi join, more are joined by a shuffle.
     """
     ids = df.select(entity).distinct().orderBy(entity).limit(n)
-    return df.join(F.broadcast(ids), entity, "left_semi")
+    return df.join(F.broadcast(ids) if n <= 100_000 else ids, entity, "left_semi")
 
 
 # ------------------------------------------------------------------ fingerprint / scratch
