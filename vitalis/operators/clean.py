@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vitalis import ship_package
 from vitalis.functions.columns import log1p_safe, sqrt_safe
-from vitalis.operators.stats import quantile
+from vitalis.operators.quantiles import exact_quantiles
 
 
 # ------------------------------------------------------------------ B9 / B10
@@ -39,12 +39,12 @@ class OutlierRemover:
         for i, c in enumerate(self.columns):
             x = F.col(c).cast("double")
             if self.method == "iqr":
-                aggs.append(quantile(x, [0.25, 0.75]).alias(f"q{i}"))
-            else:
-                aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-        row = df.agg(*aggs).first().asDict()
+                continue
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        row = df.agg(*aggs).first().asDict() if aggs else {}
+        edges = exact_quantiles(df, {c: c for c in self.columns}, [0.25, 0.75]) if self.method == "iqr" else {}
         for i, c in enumerate(self.columns):
-            q = row.get(f"q{i}") or [None, None]
+            q = edges.get(c) or [None, None]
             self.stats_[c] = {"mean": row.get(f"m{i}"), "std": row.get(f"s{i}"), "q1": q[0], "q3": q[1]}
         return self
 
@@ -100,7 +100,8 @@ class Imputer:
         if self.strategy == "mean":
             aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in self.columns]
         elif self.strategy == "median":
-            aggs = [quantile(F.col(c).cast("double"), 0.5).alias(c) for c in self.columns]
+            medians = exact_quantiles(df, {c: c for c in self.columns}, [0.5])
+            self.values_.update({c: q[0] if q else None for c, q in medians.items()})
         elif self.strategy == "constant":
             self.values_.update({c: self.fill_value for c in self.columns})
         elif self.strategy != "most_frequent":
@@ -300,16 +301,15 @@ class Scaler:
                 aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
             elif self.method == "minmax":
                 aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-            else:
-                aggs += [quantile(x, [0.25, 0.5, 0.75]).alias(f"q{i}")]
-        row = df.agg(*aggs).first()
+        row = df.agg(*aggs).first() if aggs else None
+        edges = exact_quantiles(df, {c: c for c in self.columns}, [0.25, 0.5, 0.75]) if self.method == "robust" else {}
         for i, c in enumerate(self.columns):
             if self.method == "standard":
                 loc, sc = row[f"a{i}"], row[f"b{i}"]
             elif self.method == "minmax":
                 loc, sc = row[f"a{i}"], (None if row[f"a{i}"] is None else row[f"b{i}"] - row[f"a{i}"])
             else:
-                q = row[f"q{i}"]
+                q = edges[c]
                 loc, sc = (q[1], q[2] - q[0]) if q else (None, None)
             self.params_[c] = (loc, 1.0 if not sc else sc)
         return self

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
+from vitalis.operators.quantiles import exact_quantiles
 from vitalis.session import written
 from vitalis.functions.columns import safe_div
 
@@ -68,10 +69,17 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
         if kinds[c] == "numeric":
             xd = x.cast("double")
             aggs += [F.min(xd).alias(f"_min{i}"), F.max(xd).alias(f"_max{i}"), F.avg(xd).alias(f"_avg{i}"),
-                     quantile(xd, 0.5, exact).alias(f"_med{i}"), F.stddev_samp(xd).alias(f"_std{i}")]
+                     F.stddev_samp(xd).alias(f"_std{i}")]
+            if not exact:
+                aggs.append(quantile(xd, 0.5, False).alias(f"_med{i}"))
         elif kinds[c] == "datetime":
             aggs += [F.min(x.cast("timestamp_ntz")).alias(f"_tmin{i}"), F.max(x.cast("timestamp_ntz")).alias(f"_tmax{i}")]
     wide = df.agg(*aggs)
+    if exact:
+        medians = exact_quantiles(df, {c: c for c in columns if kinds[c] == "numeric"}, [0.5])
+        for i, c in enumerate(columns):
+            if kinds[c] == "numeric":
+                wide = wide.withColumn(f"_med{i}", F.lit(medians[c][0] if medians[c] else None).cast("double"))
     nulld, nullt = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     entries = []
     for i, c in enumerate(columns):
@@ -346,9 +354,14 @@ def distribution_summary(df: DataFrame, columns: Sequence[str], exact: bool = Tr
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), quantile(x, 0.5, exact).alias(f"_md{i}"),
+        aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"),
                  F.stddev_samp(x).alias(f"_s{i}"), F.skewness(x).alias(f"_g{i}"), F.kurtosis(x).alias(f"_k{i}")]
+        if not exact:
+            aggs.append(quantile(x, 0.5, False).alias(f"_md{i}"))
     wide = df.agg(*aggs)
+    if exact:
+        for i, q in enumerate(exact_quantiles(df, {c: c for c in columns}, [0.5]).values()):
+            wide = wide.withColumn(f"_md{i}", F.lit(q[0] if q else None).cast("double"))
     entries = []
     for i, c in enumerate(columns):
         n = F.col(f"_n{i}").cast("double")
@@ -429,7 +442,10 @@ def qcut3(df: DataFrame, column: str, labels: Sequence[str] = ("Low", "Medium",
     """Quantile binning into len(labels) classes (edges at linear quantiles, right-closed)."""
     k = len(labels)
     probs = [i / k for i in range(1, k)]
-    edges = df.agg(quantile(F.col(column).cast("double"), probs, exact).alias("e")).first()["e"]
+    if exact:
+        edges = exact_quantiles(df, {column: column}, probs)[column] or []
+    else:
+        edges = df.agg(quantile(F.col(column).cast("double"), probs, False).alias("e")).first()["e"]
     if len(set(edges)) != len(edges):
         raise ValueError("duplicate bin edges")
     x = F.col(column)
