@@ -11,15 +11,21 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks remembered by a worker (some 150 MB); beyond it the memory starts anew.
-REMEMBER = 600_000
+#: Chunks remembered by a worker (some 150 bytes each); beyond it the memory starts anew.
+REMEMBER = 1_000_000
 #: Bytes of text encoded at once.
 STEP = 1 << 20
 
-_SPACED = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
-_PLAIN = re.compile(r"[^ \t\n\v\f\r]+")
+#: Letters that every version of Unicode and both engines agree on, which neither NFC nor case folding splits or joins.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_SPACE = r" \t\n\v\f\r"
+_MARKS = r"!-/:-@\[-`{-~"
+_SPACED = re.compile(rf"[{_SPACE}]*+[^{_SPACE}]+|[{_SPACE}]+")
+_PLAIN = re.compile(rf"[^{_SPACE}]+")
 #: White space to Python alone: no boundary for the tokenizers.
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: Letters, then punctuation: two pre-tokens.
+_WORD = re.compile(rf"( ?[{_LETTERS}]+)([{_MARKS}]*)")
 #: White space that is not ASCII: a run of it may go on into a space, so such texts are encoded whole.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -31,6 +37,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _visible() -> dict[int, str]:
+    """The characters that byte-level models write bytes as: visible ones stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_VISIBLE = _visible()
+
+
+def _reordered(flat: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` (those of ``last`` stand after the others) in the order of ``last``, and their sizes."""
+    at = np.cumsum(sizes) - sizes
+    order = np.empty(len(last), np.int64)
+    order[np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])] = np.arange(len(last))
+    n = sizes[order]
+    return flat[np.repeat(at[order] - np.cumsum(n) + n, n) + np.arange(len(flat))], n
+
+
 class _Codes(dict):
     """Numbers chunks in the order in which they are first asked for; ``new`` lists those since it was last emptied."""
 
@@ -54,12 +78,14 @@ class ChunkEncoder:
     * ``bytes``: byte-level with its usual pattern; a chunk is a run of ASCII white
       space and the run of other characters after it.
 
-    Any other tokenizer, and a text with other white space under ``bytes``, is encoded whole.
+    A chunk of letters, or of letters and then ASCII punctuation, is one or two
+    pre-tokens, which go to the library's model at once.  Any other tokenizer, and a text with other white space under ``bytes``, is encoded whole.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.remember = remember
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -81,12 +107,35 @@ class ChunkEncoder:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
         self.known = 0
+        self.marks: dict[str, list[int]] = {}
 
     def _alone(self, chunk: str) -> bool:
         """Whether a chunk can't stand between marks, where white space or other characters might join them."""
         return self.odd.search(chunk) is not None or self.kind == "bytes" and (chunk[-1].isspace() or not chunk[0].isspace())
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks and their numbers."""
+        if self.kind == "whole":
+            return self._others(chunks)
+        found = [_WORD.fullmatch(c) for c in chunks]
+        if self.kind == "words":
+            found = [None if m is None or m[1][0] == " " else m for m in found]
+        plain = [m is not None for m in found]
+        tokenize, marks, got = self.model.tokenize, self.marks, []
+        for m in filter(None, found):
+            word, mark = m.groups()
+            ids = [t.id for t in tokenize((word.lower() if self.kind == "words" else word).encode().decode("latin-1").translate(_VISIBLE))]
+            if mark:
+                if mark not in marks:
+                    marks[mark] = [t.id for t in tokenize(mark)]
+                ids += marks[mark]
+            got.append(ids)
+        flat, sizes = self._others([c for c, x in zip(chunks, plain, strict=True) if not x])
+        own = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(got), np.uint32, int(own.sum()))])
+        return _reordered(flat, np.concatenate([sizes, own]), np.array(plain, bool))
+
+    def _others(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks and their numbers.  Most are encoded in one call, each followed by a space and
         a null character (and a space where white space is dropped), whose last id nothing else yields."""
         alone = [self.kind == "whole" or not c or self._alone(c) for c in chunks]
@@ -100,14 +149,7 @@ class ChunkEncoder:
         keep = np.ones(len(flat), bool)
         for i in range(len(self.mark)):
             keep[cut - i] = False
-        flat = flat[keep]
-        # back into the order of ``chunks``: those alone stand at the end
-        at = np.cumsum(sizes) - sizes
-        order = np.empty(len(chunks), np.int64)
-        x = np.array(alone, bool)
-        order[~x], order[x] = np.arange(len(rest)), np.arange(len(rest), len(chunks))
-        n = sizes[order]
-        return flat[np.repeat(at[order] - np.cumsum(n) + n, n) + np.arange(len(flat))], n
+        return _reordered(flat[keep], sizes, np.array(alone, bool))
 
     def _learn(self, chunks: list[str]) -> None:
         flat, sizes = self._ids(chunks)
