@@ -147,7 +147,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, text: s
     found = some.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, low binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     low = np.array([np.frombuffer(r[2]) for r in found]).reshape(-1, 64).min(0, initial=np.inf)
-    low[np.isinf(low)] = 0
+    for i in range(64):  # lengths that no row has: as of the next shorter
+        low[i] = low[i] if np.isfinite(low[i]) else low[i - 1] if i else 0
     low[: ENOUGH.bit_length()] = 0
     return Model([r[0] for r in found], np.array([np.frombuffer(r[1], np.float32) for r in found]).reshape(-1, DIM), idf, NEAR * low)
 

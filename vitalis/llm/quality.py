@@ -28,6 +28,8 @@ BLOCK = 256
 TRAIN = 20_000
 HIDDEN = 32
 EPOCHS = 40
+#: Steps of the optimiser at least, for few rows.
+STEPS = 2000
 #: Score from which on label 1 is predicted.
 THRESHOLD = 0.3
 SEED = 20240601
@@ -161,6 +163,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOC
     r = np.random.default_rng(SEED)
     by = r.permutation(len(x))
     keep = by[len(x) // 5 :]
+    epochs = max(epochs, -(-STEPS // max(1, len(keep) // 128)))
     mean, scale = x[keep].mean(0), np.maximum(x[keep].std(0), 1e-6)
     xs = (x - mean) / scale
     p = [r.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), r.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
