@@ -149,3 +149,25 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.ensure_checkpoint_dir(Session)
+
+
+def test_nan_is_missing_and_knn_is_a_step(spark):
+    from vitalis.operators.clean import Imputer, Preprocessor
+
+    df = spark.createDataFrame([(1, 1.0, 10.0), (2, float("nan"), 20.0), (3, 3.0, None), (4, 2.0, 11.0)], "row_id long, a double, b double")
+    assert Imputer(["a"]).fit(df).values_["a"] == 2.0
+    assert [r["a"] for r in Imputer(["a"]).fit(df).transform(df).orderBy("row_id").collect()] == [1.0, 2.0, 3.0, 2.0]
+    p = Preprocessor(["a", "b"], scaling="none", impute_strategy="knn").fit(df)
+    got = p.transform(df).orderBy("row_id").collect()
+    assert all(r["a"] is not None and r["b"] is not None for r in got) and got[0]["a"] == 1.0
+
+
+def test_bootstrap_centre_and_own_metric(spark):
+    from vitalis.operators import resample
+
+    df = spark.createDataFrame([(i, float(i), float(i) + (i % 3) - 1) for i in range(90)] + [(99, 1.0, None)], "row_id long, y_true double, y_pred double")
+    r = resample.bootstrap_ci(df, metric="mae", n_boot=300).first()
+    assert r["mean"] == pytest.approx(2 / 3) and r["lower"] < r["mean"] < r["upper"]
+    bias = ({"e": F.col("y_pred") - F.col("y_true")}, lambda: F.col("e") / F.col("w"))
+    r = resample.bootstrap_ci(df, metric=bias, n_boot=300).first()
+    assert r["mean"] == pytest.approx(0) and r["lower"] < 0 < r["upper"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,6 +114,15 @@ def mixed_unit(h: ColumnOrName, stream: ColumnOrName) -> Column:
     return x.cast("double") / F.lit(float(_PM_MOD))
 
 
+def mixed_unit_array(h: np.ndarray, streams: int) -> np.ndarray:
+    """:func:`mixed_unit` of every row hash for the streams 0 to ``streams - 1``: (rows, streams)."""
+    k = (np.arange(streams, dtype=np.int64) * 1664525 + 1013904223) % _PM_MOD
+    x = ((h % (_PM_MOD - 1) + 1)[:, None] ^ k) % (_PM_MOD - 1) + 1
+    for _ in range(3):
+        x = x * _PM_MUL % _PM_MOD
+    return x / float(_PM_MOD)
+
+
 def mixed_unit_sql(h: str, stream: str) -> str:
     """DuckDB twin of :func:`mixed_unit` (h: BIGINT expression)."""
     x = f"((({h}) % {_PM_MOD - 1}) + 1)"

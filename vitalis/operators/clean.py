@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalis import ship_package
-from vitalis.functions.columns import log1p_safe, sqrt_safe
+from vitalis.functions.columns import log1p_safe, nan_to_null, sqrt_safe
 from vitalis.operators.quantiles import exact_quantiles
 
 
@@ -98,7 +98,7 @@ class Imputer:
     def fit(self, df: DataFrame) -> "Imputer":
         aggs = []
         if self.strategy == "mean":
-            aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in self.columns]
+            aggs = [F.avg(_number(c)).alias(c) for c in self.columns]
         elif self.strategy == "median":
             medians = exact_quantiles(df, {c: c for c in self.columns}, [0.5])
             self.values_.update({c: q[0] if q else None for c, q in medians.items()})
@@ -126,7 +126,7 @@ class Imputer:
             if df.schema[c].dataType.typeName() == "string":
                 out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
             else:
-                out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(float(v))))
+                out = out.withColumn(c, F.coalesce(_number(c), F.lit(float(v))))
         return out
 
 
@@ -222,14 +222,20 @@ def _block_topk(rids: np.ndarray, R: np.ndarray, dids: np.ndarray, D: np.ndarray
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _number(c: str) -> Column:
+    """A column as double, NaN as NULL: both are missing."""
+    return nan_to_null(F.col(c).cast("double"))
+
+
 def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, block_rows: int = 50000,
-               donor_block_rows: int = 50000) -> DataFrame:
+               donor_block_rows: int = 50000, donors: DataFrame | None = None) -> DataFrame:
     """KNN imputation with nan-euclidean distance and uniform donor means.
 
     Distance between a receiver r and a donor d over the features present in
     both: ``sqrt(p / |present| * sum((r - d)^2))``.  For each missing column the
     donors are rows having that column; the k nearest (ties by donor id) are
-    averaged; without any donor the column mean is used.
+    averaged; without any donor the column mean is used.  Donors and means come from
+    ``donors`` (training rows), by default from ``df`` itself; NaN is missing like NULL.
 
     Receivers (rows with a NULL) are hashed into blocks of about ``block_rows``
     rows and donors into blocks of about ``donor_block_rows``; every (receiver
@@ -245,15 +251,16 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | F.col(c).isNull()
-    feats = df.select(F.col(row_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols])
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first().asDict()
+    feats = df.select(F.col(row_id).alias("_rid"), *[_number(c).alias(c) for c in cols])
+    source = feats if donors is None else donors.select(F.col(row_id).alias("_rid"), *[_number(c).alias(c) for c in cols])
+    means = source.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     n_recv = feats.where(any_null).count()
-    n_all = feats.count()
+    n_all = source.count()
     b_r = max(1, -(-n_recv // block_rows))
     b_d = max(1, -(-n_all // donor_block_rows), df.sparkSession.sparkContext.defaultParallelism if n_recv else 1)
     recv = feats.where(any_null).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)))
     recv = recv.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_d - 1))).alias("_db"))
-    don = feats.withColumn("_db", F.pmod(F.xxhash64("_rid"), F.lit(b_d)))
+    don = source.withColumn("_db", F.pmod(F.xxhash64("_rid"), F.lit(b_d)))
     don = don.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))).alias("_rb"))
     cand_schema = "_rid long, _col int, _dist double, _did long, _val double"
 
@@ -275,10 +282,27 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
     fills = fills.select("_rid", *[F.col(str(j)).alias(f"_fill_{j}") for j in range(p)])
     j = df.join(fills, F.col(row_id) == F.col("_rid"), "left")
     for idx, c in enumerate(cols):
-        j = j.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{idx}"), F.lit(means[c])))
+        j = j.withColumn(c, F.coalesce(_number(c), F.col(f"_fill_{idx}"), F.lit(means[c])))
     return j.drop("_rid", *[f"_fill_{i}" for i in range(p)])
 
 
+@dataclass
+class KnnImputer:
+    """KNN imputation as a step: ``fit`` keeps the training rows as donors, ``transform`` fills from them."""
+
+    columns: Sequence[str]
+    row_id: str
+    k: int = 5
+    donors_: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> "KnnImputer":
+        self.donors_ = df.select(self.row_id, *self.columns)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return knn_impute(df, self.row_id, self.columns, self.k, donors=self.donors_)
+
+
 # ------------------------------------------------------------------ J3
 
 @dataclass
@@ -478,6 +502,7 @@ class Preprocessor:
     feature_transform: str | None = None
     outlier_removal: str | None = None
     outlier_threshold: float = 3.0
+    row_id: str = "row_id"
     steps_: list = field(default_factory=list)
     outliers_: OutlierRemover | None = None
 
@@ -488,7 +513,8 @@ class Preprocessor:
             cur = self.outliers_.transform(cur)
         steps = []
         if self.impute_strategy and self.impute_strategy != "none":
-            steps.append(Imputer(self.columns, self.impute_strategy))
+            knn = self.impute_strategy == "knn"
+            steps.append(KnnImputer(self.columns, self.row_id) if knn else Imputer(self.columns, self.impute_strategy))
         ft = self.feature_transform
         if ft and ft != "none":
             if ft in ("boxcox", "box-cox", "yeo-johnson"):

@@ -249,8 +249,23 @@ _BOOT_B = 1000
 w AS (SELECT *, CAST(len(list_filter({_CDF_SQL}, lambda c: c <= {mixed_unit_sql('h', 'b')})) AS DOUBLE) AS wt FROM e),
 r AS (SELECT b, sum(wt) AS w, sum(wt * (y_true - y_pred) * (y_true - y_pred)) AS se FROM w GROUP BY b),
 m AS (SELECT se / w AS m FROM r WHERE w > 0)
-SELECT 'mse' AS metric, avg(m) AS mean, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m""",
+SELECT 'mse' AS metric, (SELECT avg((y_true - y_pred) * (y_true - y_pred)) FROM preds_reg) AS mean,
+  quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m""",
     ["mean", "lower", "upper"], digits=0), "preds_reg"))
 def q_bootstrap_ci(spark, d):
     p = roles.preds_reg_view(spark, d)
     return out(resample.bootstrap_ci(p, "row_id", "y_true", "y_pred", "mse", n_boot=_BOOT_B), 0)
+
+
+@register("bootstrap_ci_r2", with_ctes(rounded(f"""WITH e AS (SELECT {md5_int32_sql(42, 'p.row_id')} AS h, p.y_true, p.y_pred, b.b
+  FROM preds_reg p, (SELECT unnest(generate_series(0, 199)) AS b) b),
+w AS (SELECT *, CAST(len(list_filter({_CDF_SQL}, lambda c: c <= {mixed_unit_sql('h', 'b')})) AS DOUBLE) AS wt FROM e),
+r AS (SELECT b, sum(wt) AS w, sum(wt * (y_true - y_pred) * (y_true - y_pred)) AS se, sum(wt * y_true) AS sy,
+      sum(wt * y_true * y_true) AS sy2 FROM w GROUP BY b),
+m AS (SELECT 1 - se / (sy2 - sy * sy / w) AS m FROM r WHERE w > 0)
+SELECT 'r2' AS metric, (SELECT 1 - avg((y_true - y_pred) * (y_true - y_pred)) / var_pop(y_true) FROM preds_reg) AS mean,
+  quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m""",
+    ["mean", "lower", "upper"], digits=6), "preds_reg"))
+def q_bootstrap_ci_r2(spark, d):
+    p = roles.preds_reg_view(spark, d)
+    return out(resample.bootstrap_ci(p, "row_id", "y_true", "y_pred", "r2", n_boot=200), 6)
