@@ -171,3 +171,15 @@ def test_bootstrap_centre_and_own_metric(spark):
     bias = ({"e": F.col("y_pred") - F.col("y_true")}, lambda: F.col("e") / F.col("w"))
     r = resample.bootstrap_ci(df, metric=bias, n_boot=300).first()
     assert r["mean"] == pytest.approx(0) and r["lower"] < 0 < r["upper"]
+
+
+def test_models_save_load_and_refuse_unknown_parameters(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), float(i % 7), "x" if i % 7 > 3 else "y", float(i % 7) + i) for i in range(80)], "a double, b double, y string, z double")
+    for kind, label, params in (("rf", "y", {"n_estimators": 5, "max_depth": None, "min_samples_split": 10}), ("svm", "y", {"n_components": 10, "max_iter": 5}), ("elastic", "z", {"alpha": 0.1})):
+        m = ml.TabularModel(kind, "regression" if label == "z" else "classification", params).fit(df, ["a", "b"], label)
+        m.save(str(tmp_path / kind))
+        again = ml.TabularModel.load(str(tmp_path / kind))
+        assert again.labels_ == m.labels_ and [r["y_pred"] for r in again.transform(df).collect()] == [r["y_pred"] for r in m.transform(df).collect()]
+    with pytest.raises(ValueError, match="max_leaves"):
+        ml.TabularModel("rf", "classification", {"max_leaves": 3}).fit(df, ["a", "b"], "y")
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0

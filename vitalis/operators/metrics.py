@@ -103,17 +103,27 @@ def per_class_table(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return j.withColumn("precision", prec).withColumn("recall", rec).withColumn("f1", f1)
 
 
-def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """accuracy, balanced_accuracy, weighted precision/recall/f1, Cohen kappa (+ n) per key group."""
+def _averaged(c: str, average: str, n: Column) -> Column:
+    if average == "macro":
+        return F.avg(c)
+    return F.sum("tp") / n if average == "micro" else F.sum(F.col("support") * F.col(c)) / n
+
+
+def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] = (), average: str = "weighted") -> DataFrame:
+    """accuracy, balanced_accuracy, averaged precision/recall/f1, Cohen kappa (+ n) per key group.
+
+    ``average``: ``weighted`` by support, ``macro`` (mean over the classes that occur as
+    truth or prediction) or ``micro`` (from the totals).
+    """
+    if average not in ("weighted", "macro", "micro"):
+        raise ValueError(f"average must be weighted, macro or micro, not {average!r}")
     pc = per_class_table(conf, keys)
     n = F.sum("support").cast("double")
     aggs = [
         F.sum("support").cast("bigint").alias("n"),
         (F.sum("tp") / n).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
-        (F.sum(F.col("support") * F.col("precision")) / n).alias("precision"),
-        (F.sum(F.col("support") * F.col("recall")) / n).alias("recall"),
-        (F.sum(F.col("support") * F.col("f1")) / n).alias("f1"),
+        *[_averaged(c, average, n).alias(c) for c in ("precision", "recall", "f1")],
         (F.sum(F.col("support").cast("double") * F.col("predicted")) / (n * n)).alias("_pe"),
     ]
     g = pc.groupBy(*keys).agg(*aggs) if keys else pc.agg(*aggs)
@@ -123,8 +133,14 @@ def metrics_from_confusion(conf: DataFrame, keys: Sequence[str] = ()) -> DataFra
 
 
 def classification_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
-                           by: Sequence[str] = ()) -> DataFrame:
-    return metrics_from_confusion(confusion_counts(df, y_true, y_pred, by), by)
+                           by: Sequence[str] = (), average: str = "weighted",
+                           metrics: Sequence[str] | None = None) -> DataFrame:
+    """n and the metrics of ``CLS_METRICS``, or those of them in ``metrics``, per key group."""
+    unknown = set(metrics or ()) - set(CLS_METRICS)
+    if unknown:
+        raise ValueError(f"unknown classification metric {sorted(unknown)}")
+    m = metrics_from_confusion(confusion_counts(df, y_true, y_pred, by), by, average)
+    return m.select(*by, "n", *metrics) if metrics else m
 
 
 def classification_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

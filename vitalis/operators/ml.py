@@ -29,7 +29,21 @@ from vitalis.operators import metrics as M
 from vitalis.operators.clean import Scaler
 from vitalis.operators.ordering import global_row_number
 from vitalis.operators.split import kfold, stratified_kfold
-
+from vitalis.session import written
+
+#: Parameters each kind of model takes.
+PARAMS = {
+    "rf": {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "weight_col"},
+    "gb": {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "learning_rate", "weight_col"},
+    "svm": {"reg", "max_iter", "n_components", "gamma"},
+    "mlp": {"hidden", "max_iter"},
+    "elastic": {"alpha", "l1_ratio", "reg", "max_iter", "weight_col"},
+    "logistic": {"reg", "C", "l1_ratio", "max_iter", "weight_col"},
+    "linear": {"reg", "l1_ratio", "max_iter", "weight_col"},
+}
+PARAMS["en"] = PARAMS["elastic"]
+#: Depth of a tree without a limit: the most that Spark's trees take.
+DEEPEST = 30
 MODEL_KINDS = ("rf", "gb", "svm", "mlp", "elastic", "en", "logistic", "linear")
 
 
@@ -84,16 +98,20 @@ class TabularModel:
 
     def _estimator(self, n_features: int, n_classes: int, label_col: str, label_std: float | None):
         k, p, reg = self.kind, self.params, self.task == "regression"
+        depth = p.get("max_depth", 10 if k == "rf" else 3)
+        depth = DEEPEST if depth is None else depth
+        # a split leaves at least this many rows on either side; n rows to split leave n // 2 at most on the smaller
+        leaf = max(1, p.get("min_samples_leaf", 1), p.get("min_samples_split", 2) // 2)
         if k == "rf":
             cls = RandomForestRegressor if reg else RandomForestClassifier
             return cls(labelCol=label_col, featuresCol="features", numTrees=p.get("n_estimators", 100),
-                       maxDepth=p.get("max_depth", 10), seed=self.seed)
+                       maxDepth=depth, minInstancesPerNode=leaf, seed=self.seed)
         if k == "gb":
             if reg:
                 return GBTRegressor(labelCol=label_col, featuresCol="features", maxIter=p.get("n_estimators", 100),
-                                    stepSize=p.get("learning_rate", 0.1), maxDepth=p.get("max_depth", 3), seed=self.seed)
+                                    stepSize=p.get("learning_rate", 0.1), maxDepth=depth, minInstancesPerNode=leaf, seed=self.seed)
             base = GBTClassifier(featuresCol="features", maxIter=p.get("n_estimators", 100),
-                                 stepSize=p.get("learning_rate", 0.1), maxDepth=p.get("max_depth", 3), seed=self.seed)
+                                 stepSize=p.get("learning_rate", 0.1), maxDepth=depth, minInstancesPerNode=leaf, seed=self.seed)
             if n_classes <= 2:
                 base.setLabelCol(label_col)
                 return base
@@ -131,6 +149,17 @@ class TabularModel:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> "TabularModel":
         self.features_, self.label_ = list(features), label
+        unknown = set(self.params) - PARAMS.get(self.kind, set(self.params))
+        if unknown:
+            raise ValueError(f"{self.kind} takes no parameter {sorted(unknown)}; it takes {sorted(PARAMS[self.kind])}")
+        keep = {*features, label, *filter(None, [self.params.get("weight_col")])}
+        df = df.select(*[c for c in df.columns if c in keep]).persist()  # several passes read it
+        try:
+            return self._fit(df, features, label)
+        finally:
+            df.unpersist()
+
+    def _fit(self, df: DataFrame, features: Sequence[str], label: str) -> "TabularModel":
         if self.task is None:
             self.task = infer_task(df, label)
         data = df
@@ -151,7 +180,7 @@ class TabularModel:
             place = F.array_position(F.array(*[F.lit(x) for x in self.labels_]), F.col(label).cast("string"))
             data = data.withColumn(label_col, (place - 1).cast("double"))
             if self.kind in ("logistic", "elastic", "en", "linear") and "reg" not in self.params:
-                self.params = {**self.params, "reg": 1.0 / max(data.count(), 1)}  # C = 1
+                self.params = {**self.params, "reg": 1.0 / (self.params.get("C", 1.0) * max(data.count(), 1))}
         elif self.kind in ("elastic", "en"):
             label_std = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0]
         missing = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first()
@@ -188,6 +217,29 @@ class TabularModel:
         keep = [c for c in df.columns] + [out] + (["proba"] if "proba" in res.columns else [])
         return res.select(*[c for c in keep if c in res.columns])
 
+    def save(self, path: str) -> None:
+        """Writes the fitted model with its labels, scaler, columns and parameters (replaces ``path``)."""
+        from vitalis.sources.sinks import save_model
+
+        if self.model_ is None:
+            raise ValueError("nothing to save before fit")
+        scaler = None if self.scaler_ is None else {"columns": list(self.scaler_.columns), "method": self.scaler_.method, "params": self.scaler_.params_}
+        save_model(self.model_, path, {"kind": self.kind, "task": self.task, "params": self.params, "seed": self.seed,
+                                       "features": self.features_, "label": self.label_, "labels": self.labels_, "scaler": scaler})
+
+    @classmethod
+    def load(cls, path: str) -> "TabularModel":
+        """The model that ``save`` wrote."""
+        from vitalis.sources.sinks import load_model
+
+        model, meta = load_model(path)
+        out = cls(meta["kind"], meta["task"], meta["params"], meta["seed"], meta["features"], meta["label"], model, meta["labels"])
+        if meta["scaler"]:
+            s = meta["scaler"]
+            out.scaler_ = Scaler(s["columns"], s["method"], {c: tuple(v) for c, v in s["params"].items()})
+            out.extra_cols_ = rff_columns(out.features_, out.params.get("n_components", 100), seed=out.seed)
+        return out
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         if self.task == "regression":
             raise ValueError("predict_proba is only available for classification")
@@ -297,25 +349,29 @@ def _score(pred: DataFrame, label: str, metric: str, keys: list[str]) -> DataFra
 
 # ------------------------------------------------------------------ K11 / K12 / K13 cross-validation
 
+def fold_once(df: DataFrame, label: str, k: int, task: str, row_id: str = "row_id", time_order: str | None = None) -> DataFrame:
+    """``df`` with its folds, written to the shared checkpoint folder: read by every fit, cached by none."""
+    if time_order:
+        from vitalis.operators.split import timeseries_split
+
+        folded = timeseries_split(df, [time_order, row_id], k)
+    else:
+        folded = stratified_kfold(df, row_id, label, k) if task == "classification" else kfold(df, row_id, k)
+    return written(folded, "folds")
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str = "rf", k: int = 5,
                    metrics: Sequence[str] = ("r2",), task: str | None = None, row_id: str = "row_id",
                    return_train: bool = False, params: dict | None = None, time_order: str | None = None,
-                   fraction: float = 1.0) -> DataFrame:
+                   fraction: float = 1.0, folded: DataFrame | None = None) -> DataFrame:
     """Per-fold scores (fold, metric, test[, train]) for k folds (KFold / StratifiedKFold / time series).
 
-    The folded frame is persisted once; each fold fits one model on the other
-    folds (``fraction`` keeps a nested hash sample of them, for learning curves).
+    Each fold fits one model on the other folds (``fraction`` keeps a nested hash sample
+    of them, for learning curves).  ``folded`` is what ``fold_once`` returns; searches
+    and learning curves pass the same one for every combination.
     """
     task = task or infer_task(df, label)
-    if time_order:
-        from vitalis.operators.split import timeseries_split
-
-        folded = timeseries_split(df, [time_order, row_id], k)
-    elif task == "classification":
-        folded = stratified_kfold(df, row_id, label, k)
-    else:
-        folded = kfold(df, row_id, k)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = fold_once(df, label, k, task, row_id, time_order) if folded is None else folded
     rows = []
     for i in range(k):
         if time_order:
@@ -330,7 +386,6 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str
             sc = _metric_row(m.transform(frame), label, task, metrics)
             for name, val in sc.items():
                 rows.append((i, name, part, float(val) if val is not None else None))
-    folded.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame(rows, "fold int, metric string, part string, score double")
 
@@ -363,8 +418,9 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, kind: str, g
 
         combos = sorted(combos, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:n_iter]
     rows = []
+    folded = fold_once(df, label, k, task, row_id)
     for c in combos:
-        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, params=c))
+        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, params=c, folded=folded))
         r = s.where(F.col("part") == "test").first()
         rows.append((str(sorted(c.items())), float(r["mean"]), float(r["std"])))
     spark = df.sparkSession
@@ -380,8 +436,9 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str
     task = task or infer_task(df, label)
     metric = metric or ("r2" if task == "regression" else "accuracy")
     out = None
+    folded = fold_once(df, label, k, task, row_id)
     for fr in fractions:
-        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, True, fraction=fr))
+        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, True, fraction=fr, folded=folded))
         s = s.withColumn("fraction", F.lit(float(fr)))
         out = s if out is None else out.unionByName(s)
     return out

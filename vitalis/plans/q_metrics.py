@@ -38,6 +38,16 @@ SELECT {kc}n, accuracy, balanced_accuracy, precision, recall, f1,
        CASE WHEN pe = 1 THEN NULL ELSE (accuracy - pe) / (1 - pe) END AS kappa FROM g"""
 
 
+@register("classification_metrics_macro", with_ctes(rounded("""WITH c AS (SELECT DISTINCT y_true AS k FROM preds_multi UNION SELECT DISTINCT y_pred FROM preds_multi),
+r AS (SELECT k, count(*) FILTER (y_true = k AND y_pred = k) AS tp, count(*) FILTER (y_true = k) AS s, count(*) FILTER (y_pred = k) AS q
+      FROM preds_multi, c GROUP BY k),
+m AS (SELECT *, CASE WHEN q > 0 THEN tp / q ELSE 0.0 END AS prec, CASE WHEN s > 0 THEN tp / s ELSE 0.0 END AS rec FROM r)
+SELECT CAST(sum(s) AS BIGINT) AS n, avg(prec) AS precision, avg(rec) AS recall,
+       avg(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END) AS f1 FROM m""", ["precision", "recall", "f1"]), "preds_multi"))
+def q_classification_metrics_macro(spark, d):
+    return out(metrics.classification_metrics(roles.preds_multi_view(spark, d), average="macro", metrics=["precision", "recall", "f1"]))
+
+
 @register("classification_metrics", with_ctes(rounded(_cls_sql("preds_multi", []), _CLS), "preds_multi"))
 def q_classification_metrics(spark, d):
     return out(metrics.classification_metrics(roles.preds_multi_view(spark, d)))
