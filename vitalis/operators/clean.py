@@ -190,30 +190,27 @@ def _block_topk(rids: np.ndarray, R: np.ndarray, dids: np.ndarray, D: np.ndarray
                 if not need.any():
                     continue
                 rows = np.nonzero(need)[0]
-                dj = np.where(Dcm[None, :, j], dist[rows], np.inf)
-                if c > k:
-                    # top-k by (distance, donor id): partition, then ties in id order
-                    kth = np.partition(dj, k - 1, axis=1)[:, k - 1:k]
-                    less = dj < kth
-                    eq = dj == kth
-                    room = k - less.sum(axis=1, keepdims=True)
-                    sel = less | (eq & (np.cumsum(eq, axis=1) <= room))
-                    ri, ci = np.nonzero(sel)
-                    cdist = dj[ri, ci].reshape(len(rows), k)
-                    cid = cd_ids[ci].reshape(len(rows), k)
-                    cval = Dc0[ci, j].reshape(len(rows), k)
-                else:
-                    cdist = dj
-                    cid = np.broadcast_to(cd_ids, dj.shape)
-                    cval = np.broadcast_to(Dc0[:, j], dj.shape)
                 g = r0 + rows
-                md = np.concatenate([best_d[j][g], cdist], axis=1)
-                mi = np.concatenate([best_id[j][g], cid], axis=1)
-                mv = np.concatenate([best_v[j][g], cval], axis=1)
-                o = np.lexsort((mi, md), axis=1)[:, :k]
-                best_d[j][g] = np.take_along_axis(md, o, axis=1)
-                best_id[j][g] = np.take_along_axis(mi, o, axis=1)
-                best_v[j][g] = np.take_along_axis(mv, o, axis=1)
+                dj = np.where(Dcm[None, :, j], dist if need.all() else dist[rows], np.inf)
+                # donors come in id order, so one as far as the k-th found never replaces it
+                last = best_d[j][g, -1:]
+                if not np.isfinite(last).all() and c > k:
+                    last = np.minimum(last, np.partition(dj, k - 1, axis=1)[:, k - 1:k])
+                    ri, ci = np.nonzero((dj <= last) & np.isfinite(dj))
+                else:
+                    ri, ci = np.nonzero(dj < last)
+                if not len(ri):
+                    continue
+                # the k found so far and the nearer donors of this chunk, the first k by (distance, id)
+                hit = np.unique(ri)
+                at = np.concatenate([np.repeat(hit, k), ri])
+                md = np.concatenate([best_d[j][g[hit]].ravel(), dj[ri, ci]])
+                mi = np.concatenate([best_id[j][g[hit]].ravel(), cd_ids[ci]])
+                mv = np.concatenate([best_v[j][g[hit]].ravel(), Dc0[ci, j]])
+                o = np.lexsort((mi, md, at))
+                begin = np.searchsorted(at[o], hit)
+                o = o[begin[:, None] + np.arange(k)]
+                best_d[j][g[hit]], best_id[j][g[hit]], best_v[j][g[hit]] = md[o], mi[o], mv[o]
     out = []
     for j in range(p):
         ok = np.isfinite(best_d[j]) & (~Rm[:, j])[:, None]
