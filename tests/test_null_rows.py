@@ -183,3 +183,10 @@ def test_models_save_load_and_refuse_unknown_parameters(spark, tmp_path):
     with pytest.raises(ValueError, match="max_leaves"):
         ml.TabularModel("rf", "classification", {"max_leaves": 3}).fit(df, ["a", "b"], "y")
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_a_rule_that_raises_is_an_entry(rows):
+    rules = {"ok": F.col("x") >= 0, "bad": F.col("x") > 50, "raises": F.raise_error(F.lit("boom")).cast("boolean"), "missing": F.col("nothing") > 0}
+    got = {r["rule"]: r for r in stats.validate_rules(rows, rules).collect()}
+    assert got["ok"]["ok"] and got["bad"]["violations"] == 51
+    assert all(not got[r]["ok"] and got[r]["violations"] is None and got[r]["error"] for r in ("raises", "missing"))

@@ -104,7 +104,7 @@ def test_classification_with_unseen_classes(spark):
 def test_roc_ties_form_one_point(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "y int, score double")
     pts = sorted((r["fpr"], r["tpr"]) for r in curves.roc_curve(df, "y", "score").collect())
-    assert pts == [(0.5, 0.5), (0.5, 1.0), (1.0, 1.0)]
+    assert pts == [(0.0, 0.0), (0.5, 0.5), (0.5, 1.0), (1.0, 1.0)]
     # pairs: tie (0.5) + 1 + 0 + 1 over 4 = trapezoid area of (0,0),(.5,.5),(.5,1),(1,1)
     assert curves.roc_auc(df, "y", "score").first()["auc"] == pytest.approx(0.625)
 

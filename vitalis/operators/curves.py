@@ -50,11 +50,18 @@ def _cumulative(counts: DataFrame, per_class: bool) -> DataFrame:
 
 def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1,
               scores_array: bool = False) -> DataFrame:
-    """(cls, threshold, fpr, tpr) per distinct score (every threshold kept; origin omitted)."""
-    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array), scores_array)
-    return c.select("cls", F.col("score").alias("threshold"),
-                    F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
+    """(cls, threshold, fpr, tpr) per distinct score, every threshold kept, and each class's origin (threshold NULL)."""
+    counts = _score_counts(df, y_true, score, positive, scores_array)
+    c = _cumulative(counts, scores_array).select(
+        "cls", F.col("score").alias("threshold"),
+        F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
+    return c.union(_end(counts, 0.0, 0.0))
+
+
+def _end(counts: DataFrame, a: float, b: float) -> DataFrame:
+    """The point above every score: one row per class."""
+    return counts.select("cls").distinct().select("cls", F.lit(None).cast("double"), F.lit(a), F.lit(b))
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1,
@@ -77,19 +84,25 @@ def roc_auc_weighted(df: DataFrame, y_true: str = "y_true", scores: str = "score
     return per.agg((F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1) -> DataFrame:
-    """(threshold, precision, recall) per distinct score, descending thresholds."""
-    c = _cumulative(_score_counts(df, y_true, score, positive), False)
-    return c.select(F.col("score").alias("threshold"),
-                    (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                    F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"))
+def pr_curve(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1,
+             scores_array: bool = False) -> DataFrame:
+    """(threshold, precision, recall) per distinct score and the closing point (NULL, 1, 0); with arrays of scores per cls."""
+    counts = _score_counts(df, y_true, score, positive, scores_array)
+    c = _cumulative(counts, scores_array).select(
+        "cls", F.col("score").alias("threshold"),
+        (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+        F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"))
+    c = c.union(_end(counts, 1.0, 0.0))
+    return c if scores_array else c.drop("cls")
 
 
-def average_precision(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1) -> DataFrame:
-    """AP = sum over thresholds of (recall step) x precision (step sum, not trapezoid)."""
-    c = _cumulative(_score_counts(df, y_true, score, positive), False)
+def average_precision(df: DataFrame, y_true: str = "y_true", score: str = "score", positive=1,
+                      scores_array: bool = False) -> DataFrame:
+    """AP = sum over thresholds of (recall step) x precision (step sum, not trapezoid); with arrays of scores per cls."""
+    c = _cumulative(_score_counts(df, y_true, score, positive, scores_array), scores_array)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return c.agg(F.try_divide(F.sum(F.col("pos") * prec), F.first("P")).alias("avg_precision"))
+    ap = F.try_divide(F.sum(F.col("pos") * prec), F.first("P")).alias("avg_precision")
+    return c.groupBy("cls").agg(ap) if scores_array else c.agg(ap)
 
 
 def calibration_edges(n_bins: int = 10) -> list[float]:

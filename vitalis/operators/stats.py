@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
@@ -143,8 +144,12 @@ def category_counts(df: DataFrame, category: str) -> DataFrame:
 
 
 def segment_overview(trials: DataFrame, entity: str, windows: str, label: str) -> DataFrame:
-    """Nested overview: entities, trials, total windows, mean windows per trial, label stats (NULLs skipped)."""
-    sz = F.coalesce(F.size(windows), F.lit(0))
+    """Nested overview: entities, trials, total windows, mean windows per trial, label stats (NULLs skipped).
+
+    ``windows`` is an array of windows or their number: counts need no assembled trials.
+    """
+    n = F.size(windows) if trials.schema[windows].dataType.typeName() == "array" else F.col(windows)
+    sz = F.coalesce(n, F.lit(0))
     return trials.agg(
         F.count_distinct(entity).alias("n_entities"),
         F.count(F.lit(1)).alias("n_trials"),
@@ -159,16 +164,30 @@ def segment_overview(trials: DataFrame, entity: str, windows: str, label: str) -
 # --------------------------------------------------------------------- B5
 
 def validate_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Evaluate all boolean rules in one pass: (rule, violations, ok).
+    """Evaluate all boolean rules in one pass: (rule, violations, ok, error).
 
-    A rule row counts as violated when the predicate is false or NULL (a rule
-    that cannot be evaluated is an error, as in the reference).
+    A row violates a rule when the predicate is false or NULL.  A rule that fails to run
+    (a column that is not there, an arithmetic error) doesn't stop the others: when the
+    common pass fails, each rule has a pass of its own, and the one that raises gets its
+    message in ``error``, no number of violations, and is not ok.
     """
     names = list(rules)
-    wide = df.agg(*[F.count_if(~F.coalesce(rules[r], F.lit(False))).alias(f"_r{i}") for i, r in enumerate(names)])
-    entries = [[F.lit(r), F.col(f"_r{i}").cast("bigint")] for i, r in enumerate(names)]
-    out = _stack(wide, entries, ["rule", "violations"])
-    return out.withColumn("ok", F.col("violations") == 0)
+
+    def violations(rule: str) -> Column:
+        return F.count_if(~F.coalesce(rules[rule], F.lit(False)))
+
+    def alone(rule: str) -> tuple[int | None, str | None]:
+        try:
+            return df.agg(violations(rule)).first()[0], None
+        except PySparkException as e:
+            return None, str(e).splitlines()[0]
+
+    try:
+        found = [(n, None) for n in df.agg(*[violations(r).alias(f"_r{i}") for i, r in enumerate(names)]).first()]
+    except PySparkException:
+        found = [alone(r) for r in names]
+    rows = [(r, n, n == 0, e) for r, (n, e) in zip(names, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "rule string, violations bigint, ok boolean, error string")
 
 
 # --------------------------------------------------------------------- B8

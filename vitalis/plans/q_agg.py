@@ -38,7 +38,7 @@ def _rules():
 
 @register("validate_rules", with_ctes("\nUNION ALL\n".join(
     f"SELECT '{n}' AS rule, CAST(count_if(NOT coalesce({e}, false)) AS BIGINT) AS violations, "
-    f"count_if(NOT coalesce({e}, false)) = 0 AS ok FROM ofeat" for n, e in _RULES_SQL), "ofeat"))
+    f"count_if(NOT coalesce({e}, false)) = 0 AS ok, CAST(NULL AS VARCHAR) AS error FROM ofeat" for n, e in _RULES_SQL), "ofeat"))
 def q_validate_rules(spark, d):
     return stats.validate_rules(roles.ofeat_view(spark, d), _rules())
 

@@ -193,7 +193,7 @@ cc AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS cum_pos, s
 
 
 @register("roc_curve", with_ctes(rounded(f"""WITH {_SCORE_COUNTS}
-SELECT 0 AS cls, score AS threshold, cum_neg / N AS fpr, cum_pos / P AS tpr FROM cc""", ["threshold", "fpr", "tpr"]),
+SELECT 0 AS cls, score AS threshold, cum_neg / N AS fpr, cum_pos / P AS tpr FROM cc UNION ALL SELECT 0, NULL, 0.0, 0.0""", ["threshold", "fpr", "tpr"]),
     "preds_bin"))
 def q_roc_curve(spark, d):
     return out(curves.roc_curve(roles.preds_bin_view(spark, d)))
@@ -219,12 +219,32 @@ def q_roc_auc_multi(spark, d):
 
 
 @register("pr_curve", with_ctes(rounded(f"""WITH {_SCORE_COUNTS}
-SELECT score AS threshold, cum_pos / (cum_pos + cum_neg) AS precision, cum_pos / P AS recall FROM cc""",
+SELECT score AS threshold, cum_pos / (cum_pos + cum_neg) AS precision, cum_pos / P AS recall FROM cc UNION ALL SELECT NULL, 1.0, 0.0""",
     ["threshold", "precision", "recall"]), "preds_bin"))
 def q_pr_curve(spark, d):
     return out(curves.pr_curve(roles.preds_bin_view(spark, d)))
 
 
+_MULTI_COUNTS = """e AS (SELECT y_true, unnest(generate_series(0, len(scores) - 1)) AS cls, unnest(scores) AS s FROM preds_multi),
+c AS (SELECT cls, s, sum(CASE WHEN y_true = cls THEN 1.0 ELSE 0.0 END) AS pos, count(*) AS n FROM e GROUP BY cls, s),
+cc AS (SELECT *, sum(pos) OVER w AS cum_pos, sum(n) OVER w AS cum_n, sum(pos) OVER (PARTITION BY cls) AS P
+       FROM c WINDOW w AS (PARTITION BY cls ORDER BY s DESC))"""
+
+
+@register("pr_curve_multi", with_ctes(rounded(f"""WITH {_MULTI_COUNTS}
+SELECT CAST(cls AS INTEGER) AS cls, s AS threshold, cum_pos / cum_n AS precision, CASE WHEN P > 0 THEN cum_pos / P END AS recall FROM cc
+UNION ALL SELECT DISTINCT CAST(cls AS INTEGER), NULL, 1.0, 0.0 FROM c""", ["threshold", "precision", "recall"]), "preds_multi"))
+def q_pr_curve_multi(spark, d):
+    return out(curves.pr_curve(roles.preds_multi_view(spark, d), "y_true", "scores", scores_array=True))
+
+
+@register("avg_precision_multi", with_ctes(rounded(f"""WITH {_MULTI_COUNTS}
+SELECT CAST(cls AS INTEGER) AS cls, CASE WHEN max(P) > 0 THEN sum(pos * cum_pos / cum_n) / max(P) END AS avg_precision FROM cc GROUP BY cls""",
+    ["avg_precision"]), "preds_multi"))
+def q_avg_precision_multi(spark, d):
+    return out(curves.average_precision(roles.preds_multi_view(spark, d), "y_true", "scores", scores_array=True))
+
+
 @register("avg_precision", with_ctes(rounded(f"""WITH {_SCORE_COUNTS}
 SELECT sum(pos * cum_pos / (cum_pos + cum_neg)) / max(P) AS avg_precision FROM cc""", ["avg_precision"]), "preds_bin"))
 def q_avg_precision(spark, d):

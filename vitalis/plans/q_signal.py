@@ -341,9 +341,8 @@ def q_segment_overview(spark, d):
     from vitalis.operators import stats
 
     w = windows_view(spark, d)
-    seqs = sequence.build_sequences(w, ["entity", "condition"], "idx", "vec")
-    labels = w.groupBy("entity", "condition").agg(F.max("trial_label").alias("label"))
-    return out(stats.segment_overview(seqs.join(labels, ["entity", "condition"]), "entity", "seq", "label"))
+    trials = w.groupBy("entity", "condition").agg(F.count(F.lit(1)).alias("n"), F.max("trial_label").alias("label"))
+    return out(stats.segment_overview(trials, "entity", "n", "label"))
 
 
 @register("sequence_minmax", with_ctes(rounded(f"""WITH {_WIN_SQL},
