@@ -123,7 +123,7 @@ def test_zscore_anomalies_and_duplicates(spark):
     assert [r["row_id"] for r in a] == [100]
     d = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "b")], "k int, s string")
     assert stats.duplicates(d, ["k", "s"]).count() == 1          # NULL keys drop out of the listing
-    assert stats.duplicate_rows(d, ["k", "s"]).count() == 2      # whole member rows, keep=False
+    assert stats.duplicate_rows(d, ["k", "s"]).count() == 4      # whole member rows, keep=False; NULL equals NULL
     s = stats.duplicate_summary(d, ["k", "s"]).first()
     assert s["total_duplicates"] == 4 and s["duplicate_groups"] == 2
 

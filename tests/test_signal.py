@@ -125,7 +125,7 @@ def test_sliding_frames_counts(spark):
 def test_sequences_pad_and_pool(spark):
     rows = [("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0]), ("a", 2, []), ("b", 0, [5.0, 6.0])]
     w = spark.createDataFrame(rows, "t string, idx int, vec array<double>")
-    s = sequence.build_sequences(w, ["t"], "idx", "vec", max_len=5)
+    s = sequence.build_sequences(w, ["t"], "idx", "vec", max_len=5, drop_empty=True)
     p = sequence.pad_sequences(s)
     got = {r["t"]: r for r in sequence.masked_mean_pool(p, "padded", "seq_len", 2).collect()}
     assert got["a"]["seq_len"] == 2 and got["b"]["padded"] == [[5.0, 6.0], [0.0, 0.0]]

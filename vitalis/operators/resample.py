@@ -94,5 +94,6 @@ def bootstrap_ci(df: DataFrame, row_id: str = "row_id", y_true: str = "y_true",
     whole = df.select(*[c.cast("double").alias(n) for n, c in terms.items()]).dropna()
     sample = whole.agg(F.count(F.lit(1)).cast("double").alias("w"), *[F.sum(n).alias(n) for n in terms])
     name = metric if isinstance(metric, str) else "metric"
-    return sample.where("w > 0").select(value().alias("mean")).join(q).select(
-        F.lit(name).alias("metric"), "mean", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
+    centre = sample.where("w > 0").select(value().cast("double")).first()
+    mean = F.lit(centre[0] if centre else None).cast("double").alias("mean")
+    return q.select(F.lit(name).alias("metric"), mean, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))

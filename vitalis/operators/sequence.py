@@ -18,17 +18,19 @@ from vitalis.operators.ordering import join_null_safe
 
 
 def build_sequences(windows: DataFrame, keys: Sequence[str], idx: str, vec: str, label: str | None = None,
-                    max_len: int | None = None, out: str = "seq") -> DataFrame:
+                    max_len: int | None = None, out: str = "seq", drop_empty: bool = False) -> DataFrame:
     """keys + (seq array<array<double>> ordered by idx, seq_len, label with missing -> 0).
 
     ``max_len`` keeps the first windows of a trial by idx, whatever their index begins
     with; empty vectors are windows like any other (the Spark plan keeps the first rows
-    of each trial before the shuffle).
+    of each trial before the shuffle).  ``drop_empty`` leaves them out of what was kept.
     """
     w = windows
     if max_len is not None:
         first = Window.partitionBy(*keys).orderBy(idx)
         w = w.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= max_len).drop("_rn")
+    if drop_empty:
+        w = w.where(F.size(vec) > 0)
     aggs = [F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(vec).alias("v")))).alias("_s")]
     if label:
         aggs.append(F.first(label, ignorenulls=True).alias("_label"))
