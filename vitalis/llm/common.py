@@ -15,9 +15,22 @@ from vitalis.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of an Arrow batch that a Python worker gets: texts are long, and a worker holds a batch and what it makes of it.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to BATCH bytes (smaller ones stay)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; also makes the package importable in the Python workers."""
     ship_package(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +42,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, executors can be lost."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalis.llm.common import saved, small, table
+from vitalis.llm.common import bounded_batches, saved, small, table
 
 #: Hashed dimensions of the n-grams.
 DIM = 4096
@@ -82,7 +82,7 @@ def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"") + 1
-        if size >= STEP or i - first >= 1023 or i == len(texts) - 1:
+        if size >= STEP or i - first >= 255 or i == len(texts) - 1:
             yield first, [x or b"" for x in texts[first : i + 1]]
             first, size = i + 1, 0
 
@@ -136,15 +136,15 @@ def fit(rows: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, text: s
     def centroids(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in got["text"] if has_letter(t.decode("utf-8", "replace"))]
         if not texts:
-            return pd.DataFrame({"lang": [], "centroid": [], "low": []})
-        c = np.concatenate([counts(x) for _, x in _slices(texts)])
-        v = vectors(c, idf)
+            return pd.DataFrame({"lang": [key[0]], "centroid": [None], "low": [None]})
+        parts = [(vectors(c, idf), _bits(c)) for c in (counts(x) for _, x in _slices(texts))]
+        v, bits = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         k = _cluster(v, min(clusters, len(v)))
-        best, bits = (v @ k.T).max(1), _bits(c)
+        best = (v @ k.T).max(1)
         low = np.array([np.median(best[bits == i]) if (bits == i).any() else np.inf for i in range(64)], np.float64)
         return pd.DataFrame({"lang": key[0], "centroid": [x.tobytes() for x in k.astype(np.float32)], "low": low.tobytes()})
 
-    found = some.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, low binary").collect()
+    found = some.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, low binary").where("centroid is not null").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     low = np.array([np.frombuffer(r[2]) for r in found]).reshape(-1, 64).min(0, initial=np.inf)
     for i in range(64):  # lengths that no row has: as of the next shorter
@@ -160,15 +160,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     Rejected: null texts, texts without a letter (language ``und``, score 0) and texts
     farther from every centroid than rows of like length are (a share of their usual cosine).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # clusters x languages x DIM numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters x languages x DIM numbers
+    bounded_batches(docs.sparkSession)
     cols = docs.columns
+    plain = isinstance(docs.schema[text].dataType, T.StringType)
+    src = docs if plain else docs.withColumn("__text", F.col(text).cast("string"))
+    at_text = cols.index(text) if plain else len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs = np.array([*m.langs, "und"], object)
         for b in batches:
-            texts = b.column(len(cols)).to_pylist()
+            texts = b.column(at_text).to_pylist()
             best, score, bad = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), np.ones(len(texts), bool)
             for first, part in _slices([None if t is None else t.encode() for t in texts]):
                 at = slice(first, first + len(part))
@@ -184,7 +187,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(langs[best], pa.string()), pa.array(score), pa.array(bad)], [*cols, *names])
 
     new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())]
-    return docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
+    return src.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 
 
 def fold(id_col: str, folds: int) -> Column:
