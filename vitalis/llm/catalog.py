@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vitalis.llm import decontam, langid, packing, quality, repeats, secrets, setsketch, sharding, simhash, tokens, vptree
+from vitalis.llm import decontam, langid, packing, quality, repeats, secrets, setsketch, sharding, simhash, spelling, tokens, vptree
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op8_langid": langid.op8_langid,
         "op9_ann": vptree.op9_ann,
         "op10_repeats": repeats.op10_repeats,
+        "op11_spelling": spelling.op11_spelling,
         "op13_setsketch": setsketch.op13_setsketch,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracles where SQL expresses the result; the other queries are tested against brute force."""
-    return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL, "op10_repeats": repeats.OP10_SQL, "op13_setsketch": setsketch.OP13_SQL}
+    return {"op6_decontam": decontam.OP6_SQL, "op9_ann": vptree.OP9_SQL, "op10_repeats": repeats.OP10_SQL, "op11_spelling": spelling.OP11_SQL, "op13_setsketch": setsketch.OP13_SQL}
