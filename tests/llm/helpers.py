@@ -129,3 +129,107 @@ def repeats(rows: list[tuple]) -> list[tuple]:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def variants(rows: list[tuple]) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n) of rows (doc_id, text)."""
+    total: dict = {}
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            total[w] = total.get(w, 0) + 1
+    n = {w: c for w, c in total.items() if len(w) >= 6 and c >= 5}
+    letters = sorted({c for w in n for c in w})
+    near, form = {}, {}
+    for w in n:
+        other = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        other |= {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in letters for k in (0, 1)}
+        near[w] = (other - {w}) & n.keys()
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out, key=repr)
+
+
+def damage(rows: list[tuple]) -> dict:
+    """Rows (turn, role, text) of each conversation after damage, in order."""
+    out: dict = {}
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        k = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        new = [(turn, "user" if k == 4 else role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+        out.setdefault(conv, []).extend(new)
+    return {c: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])) for c, v in out.items()}
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired rows) of one conversation's rows in order, by all edits."""
+    from functools import cache
+
+    fault, seen = [], set()
+    for _, role, text in rows:
+        left = re.sub(r"[\x20\x09-\x0D]", "", text)
+        fault.append("blank" if not left else "duplicate" if (role, text) in seen else "truncated" if left[-1] not in ".!?" else "")
+        seen.add((role, text))
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @cache
+    def best(i: int, last: str, inserted: int) -> tuple:
+        ways = [(0, "", ())] if i == len(rows) and last in ("", "a") else []
+        def add(c, e, role, text, j, end, k):
+            rest = best(j, end, k)
+            if rest is not None:
+                ways.append((c + rest[0], e + rest[1], ((role, text), *rest[2]) if role is not None else rest[2]))
+        if i < len(rows):
+            add(3, "D", None, None, i + 1, last, 0)
+        for role in ("user", "assistant"):
+            if role[0] in follow[last]:
+                if inserted < 3:
+                    add(2, "I", role, "", i, role[0], inserted + 1)
+                if i < len(rows) and fault[i] in ("", "truncated"):
+                    add(2 + (fault[i] != ""), "R", role, rows[i][2], i + 1, role[0], 0)
+        if i < len(rows) and fault[i] in ("", "truncated") and rows[i][1][:1] and rows[i][1][:1] in follow[last]:
+            add(int(fault[i] != ""), "K", rows[i][1], rows[i][2], i + 1, rows[i][1][:1], 0)
+        return min(ways, key=lambda w: w[:2]) if ways else None
+
+    cost, audit, left = best(0, "", 0)
+    turns = {r[0] for r in rows} - {None}
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return gaps, *(fault.count(k) for k in ("blank", "duplicate", "truncated")), illegal, cost, audit, left
+
+
+def conversation_rows(rows: list[tuple]) -> list[tuple]:
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of damaged conversations."""
+    out = []
+    for conv, r in damage(rows).items():
+        *n, audit, left = repaired(r)
+        out.append((conv, *n, audit, hashlib.sha256("\n".join(f"{a}:{b}" for a, b in left).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def near_sets(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, n_shingles, component_id, kept) of rows (doc_id, text)."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    label = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and 100 * len(s & sets[j]) >= 85 * len(s | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    low: dict = {}
+    for k, (i, _) in zip(label, rows, strict=True):
+        if i is not None:
+            low[k] = min(low.get(k, i), i)
+    return sorted(((i, len(s), low.get(k), i == low.get(k)) for k, s, (i, _) in zip(label, sets, rows, strict=True)), key=repr)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vitalis.llm import decontam, langid, packing, quality, repeats, secrets, setsketch, sharding, simhash, spelling, tokens, vptree
+from vitalis.llm import decontam, langid, packing, quality, repair, repeats, secrets, setsketch, sharding, simhash, spelling, tokens, vptree
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_ann": vptree.op9_ann,
         "op10_repeats": repeats.op10_repeats,
         "op11_spelling": spelling.op11_spelling,
+        "op12_conversations": repair.op12_conversations,
         "op13_setsketch": setsketch.op13_setsketch,
     }
 
