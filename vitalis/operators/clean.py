@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalis import ship_package
@@ -37,7 +37,7 @@ class OutlierRemover:
             raise ValueError(f"Unknown outlier detection method: {self.method}")
         aggs = []
         for i, c in enumerate(self.columns):
-            x = F.col(c).cast("double")
+            x = _number(c)
             if self.method == "iqr":
                 continue
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
@@ -52,7 +52,7 @@ class OutlierRemover:
         cond = F.lit(True)
         t = self.threshold
         for c in self.columns:
-            s, x = self.stats_[c], F.col(c).cast("double")
+            s, x = self.stats_[c], _number(c)
             if self.method == "zscore":
                 z = F.abs(F.try_divide(x - F.lit(s["mean"]), F.lit(s["std"])))
                 cond = cond & (z < t)
@@ -61,7 +61,7 @@ class OutlierRemover:
                 lo = F.lit(s["q1"] - t * iqr if iqr is not None else None)
                 hi = F.lit(s["q3"] + t * iqr if iqr is not None else None)
                 cond = cond & (x >= lo) & (x <= hi)
-        # a NULL comparison (missing value, zero std) drops the row, as the reference does
+        # a NULL comparison (missing value, NaN, zero std) drops the row; the statistics pass over it
         return F.coalesce(cond, F.lit(False))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -243,38 +243,64 @@ def knn_impute(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, b
     driver except the block counts; the work is the exact O(receivers x donors).
     """
     cols = list(columns)
-    p = len(cols)
     ship_package(df.sparkSession)
-    any_null = F.lit(False)
-    for c in cols:
-        any_null = any_null | F.col(c).isNull()
-    feats = df.select(F.col(row_id).alias("_rid"), *[_number(c).alias(c) for c in cols])
-    source = feats if donors is None else donors.select(F.col(row_id).alias("_rid"), *[_number(c).alias(c) for c in cols])
+    feats = number_features(df, row_id, cols)
+    source = feats if donors is None else number_features(donors, row_id, cols)
     means = source.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    n_recv = feats.where(any_null).count()
+    cands = block_candidates(feats.where(any_missing(cols)), source, cols, k, block_rows, donor_block_rows)
+    return filled(df, row_id, cols, nearest(cands, k), means)
+
+
+def number_features(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
+    """(_rid, cols) with the columns as double, NaN as NULL."""
+    return df.select(F.col(row_id).alias("_rid"), *[_number(c).alias(c) for c in cols])
+
+
+def any_missing(cols: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for c in cols:
+        out = out | F.col(c).isNull()
+    return out
+
+
+def topk_frame(rpdf: pd.DataFrame, dpdf: pd.DataFrame, cols: Sequence[str], k: int) -> pd.DataFrame:
+    """The k nearest donors of each receiver and missing column in two blocks: (_rid, _col, _dist, _did, _val)."""
+    if rpdf.empty or dpdf.empty:
+        return pd.DataFrame({"_rid": [], "_col": [], "_dist": [], "_did": [], "_val": []})
+    r_ids, c_ids, dist, d_ids, vals = _block_topk(
+        rpdf["_rid"].to_numpy(np.int64), rpdf[list(cols)].to_numpy(np.float64),
+        dpdf["_rid"].to_numpy(np.int64), dpdf[list(cols)].to_numpy(np.float64), k)
+    return pd.DataFrame({"_rid": r_ids, "_col": c_ids.astype(np.int32), "_dist": dist, "_did": d_ids, "_val": vals})
+
+
+def block_candidates(recv: DataFrame, source: DataFrame, cols: Sequence[str], k: int, block_rows: int = 50000,
+                     donor_block_rows: int = 50000) -> DataFrame:
+    """(_rid, _col, _dist, _did, _val): the k nearest donors of every receiver in every block of donors."""
+    n_recv = recv.count()
     n_all = source.count()
     b_r = max(1, -(-n_recv // block_rows))
-    b_d = max(1, -(-n_all // donor_block_rows), df.sparkSession.sparkContext.defaultParallelism if n_recv else 1)
-    recv = feats.where(any_null).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)))
+    b_d = max(1, -(-n_all // donor_block_rows), recv.sparkSession.sparkContext.defaultParallelism if n_recv else 1)
+    recv = recv.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)))
     recv = recv.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_d - 1))).alias("_db"))
     don = source.withColumn("_db", F.pmod(F.xxhash64("_rid"), F.lit(b_d)))
     don = don.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))).alias("_rb"))
-    cand_schema = "_rid long, _col int, _dist double, _did long, _val double"
 
     def pair(rpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if rpdf.empty or dpdf.empty:
-            return pd.DataFrame({"_rid": [], "_col": [], "_dist": [], "_did": [], "_val": []})
-        r_ids, c_ids, dist, d_ids, vals = _block_topk(
-            rpdf["_rid"].to_numpy(np.int64), rpdf[cols].to_numpy(np.float64),
-            dpdf["_rid"].to_numpy(np.int64), dpdf[cols].to_numpy(np.float64), k)
-        return pd.DataFrame({"_rid": r_ids, "_col": c_ids.astype(np.int32), "_dist": dist, "_did": d_ids,
-                             "_val": vals})
+        return topk_frame(rpdf, dpdf, cols, k)
 
-    cands = recv.groupBy("_rb", "_db").cogroup(don.groupBy("_rb", "_db")).applyInPandas(pair, cand_schema)
-    from pyspark.sql import Window
+    return recv.groupBy("_rb", "_db").cogroup(don.groupBy("_rb", "_db")).applyInPandas(
+        pair, "_rid long, _col int, _dist double, _did long, _val double")
 
+
+def nearest(cands: DataFrame, k: int) -> DataFrame:
+    """The k nearest candidates of each receiver and missing column, ties by donor id."""
     w = Window.partitionBy("_rid", "_col").orderBy("_dist", "_did")
-    best = cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def filled(df: DataFrame, row_id: str, cols: Sequence[str], best: DataFrame, means: dict) -> DataFrame:
+    """``df`` with its missing values replaced by the means of their donors, or else by the columns' means."""
+    p = len(cols)
     fills = best.groupBy("_rid").pivot("_col", list(range(p))).agg(F.avg("_val"))
     fills = fills.select("_rid", *[F.col(str(j)).alias(f"_fill_{j}") for j in range(p)])
     j = df.join(fills, F.col(row_id) == F.col("_rid"), "left")
@@ -304,7 +330,7 @@ class KnnImputer:
 
 @dataclass
 class Scaler:
-    """standard (population std, 0 -> 1), minmax (range 0 -> 1), robust (median / IQR, 0 -> 1), none."""
+    """standard (population std, 0 -> 1), minmax (range 0 -> 1), robust (median / IQR, 0 -> 1), none.  NaN is missing and comes out as NULL."""
 
     columns: Sequence[str]
     method: str = "standard"
@@ -317,7 +343,7 @@ class Scaler:
             return self
         aggs = []
         for i, c in enumerate(self.columns):
-            x = F.col(c).cast("double")
+            x = _number(c)
             if self.method == "standard":
                 aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
             elif self.method == "minmax":
@@ -338,7 +364,7 @@ class Scaler:
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c, (loc, sc) in self.params_.items():
-            out = out.withColumn(c, (F.col(c).cast("double") - F.lit(loc)) / F.lit(sc))
+            out = out.withColumn(c, (_number(c) - F.lit(loc)) / F.lit(sc))
         return out
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import eps_ratio, safe_div
 from vitalis.operators.ordering import join_null_safe, prefix_sums
+from vitalis.operators.gram import value
+from vitalis.operators.quantiles import grouped_quantiles
 from vitalis.operators.stats import quantile
 
 
@@ -42,10 +44,14 @@ def group_baseline(df: DataFrame, condition: str, diffs: Mapping[str, str] | Non
     if use_ratio:
         num, den, rname, _ = ratio
         out = out.withColumn(rname, eps_ratio(num, den, eps))
-    aggs = [F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(diffs)]
-    if use_ratio:
-        aggs.append(quantile(F.col(ratio[2]), 0.5, exact).alias("_ratio_med"))
-    stats = out.groupBy(condition).agg(*aggs)
+    aggs = [F.avg(value(c)).alias(f"_mean_{i}") for i, c in enumerate(diffs)]
+    if use_ratio and not exact:
+        aggs.append(quantile(F.col(ratio[2]), 0.5, False).alias("_ratio_med"))
+    if use_ratio and exact:
+        stats = grouped_quantiles(out, [condition], {"_ratio_med": F.col(ratio[2])}, [0.5]).withColumn("_ratio_med", F.col("_ratio_med")[0])
+        stats = join_null_safe(out.groupBy(condition).agg(*aggs), stats, [condition]) if aggs else stats
+    else:
+        stats = out.groupBy(condition).agg(*aggs)
     j = out.join(stats, condition, "left")
     for i, (c, o) in enumerate(diffs.items()):
         j = j.withColumn(o, F.col(c) - F.col(f"_mean_{i}"))
@@ -61,15 +67,15 @@ def entity_zscore(df: DataFrame, entity: str, columns: Sequence[str], min_rows:
     """Per-entity z-score (sample std) of each column as ``<col><suffix>``.
 
     Entities with fewer than ``min_rows`` rows get NULL; std 0 (or undefined)
-    gives 0.  Statistics come from one grouped aggregate joined back.
+    gives 0.  NaN is missing, like NULL.  Statistics come from one grouped aggregate joined back.
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(columns):
-        aggs += [F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}")]
+        aggs += [F.avg(value(c)).alias(f"_m{i}"), F.stddev_samp(value(c)).alias(f"_s{i}")]
     stats = df.groupBy(entity).agg(*aggs)
     j = join_null_safe(df, stats, [entity], "left")
     for i, c in enumerate(columns):
-        z = F.when(F.col(f"_s{i}") > 0, (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.lit(0.0))
+        z = F.when(F.col(f"_s{i}") > 0, (value(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.lit(0.0))
         j = j.withColumn(f"{c}{suffix}", F.when(F.col("_n") >= min_rows, z))
     return j.drop("_n", *[f"_m{i}" for i in range(len(columns))], *[f"_s{i}" for i in range(len(columns))])
 

@@ -1,13 +1,14 @@
-"""Kendall tau-b in O(n log n) work, distributed (Knight's algorithm on Spark).
+"""Kendall tau-b in O(n log n) work, distributed (Knight's algorithm on Spark), for any number of column pairs at once.
 
 Discordant pairs are the inversions of y when rows are ordered by (x, y).
-Distinct (x, y) keys get a global position; a pair of positions separates at
+Distinct (x, y) keys of a column pair get a position; two positions separate at
 exactly one bit level l (same prefix pos >> (l + 1), left bit 0, right bit 1),
 so the inversions are, summed over levels and prefixes, the number of
 (left, right) pairs with y_left > y_right.  All levels are exploded at once
-(keys x log2(keys) rows), collapsed by (level, prefix, y), and the "left
-weight with a larger y" comes from the distributed prefix sum - no pair is
-ever materialised and no group has to sit in one task.
+(keys x log2(keys) rows), collapsed by (pair, level, prefix, y), and the "left
+weight with a larger y" comes from the distributed prefix sum - no pair of rows is
+ever materialised and no group has to sit in one task.  Every step is keyed by
+the column pair, so the number of jobs doesn't depend on the number of columns.
 
 tau_b = (P - Q) / sqrt((n0 - n1) (n0 - n2)), P - Q = n0 - n1 - n2 + n3 - 2 Q,
 with n1, n2, n3 the pairs tied in x, in y and in both.
@@ -16,57 +17,58 @@ with n1, n2, n3 the pairs tied in x, in y and in both.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalis.operators.ordering import global_row_number, prefix_sums
+from vitalis.operators.gram import value
+from vitalis.operators.ordering import prefix_sums
+from vitalis.session import written
+
+
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[float | None, int]]:
+    """(tau, n) of each column pair over the rows that hold both (NaN is missing); tau None where a side has no two values."""
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), value(x).alias("x"), value(y).alias("y")) for k, (x, y) in enumerate(pairs)]))
+    rows = df.select(both.alias("e")).select("e.*").where("x is not null and y is not null")
+    keys = written(rows.groupBy("q", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "kendall")
+    # ties per x, per y and per (x, y) of each pair in one pass; grouping_id bits: q, x, y
+    sets = keys.groupingSets([["q", "x"], ["q", "y"], ["q", "x", "y"]], "q", "x", "y").agg(F.sum("w").alias("t"), F.grouping_id().alias("gid"))
+    ties = {(r["q"], r["gid"]): r for r in sets.groupBy("q", "gid").agg(
+        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n"), F.count(F.lit(1)).alias("m")).collect()}  # three rows a pair
+    most = max((r["m"] for (_, gid), r in ties.items() if gid == 0), default=0)
+    inversions: dict[int, float] = {}
+    if most > 1:
+        pos = prefix_sums(keys.withColumn("one", F.lit(1.0)), [F.col("q"), F.col("x"), F.col("y")], ["one"])
+        start = pos.groupBy("q").agg(F.min("one_before").alias("start"))
+        pos = pos.join(start, "q").select("q", "y", "w", (F.col("one_before") - F.col("start")).cast("long").alias("pos"))
+        levels = max(1, math.ceil(math.log2(most)))
+        e = pos.select("q", "y", "w", "pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
+        e = e.select("q", "l", F.expr("shiftright(pos, l + 1)").alias("g"), F.expr("shiftright(pos, l) & 1").alias("side"), "y", "w")
+        cells = e.groupBy("q", "l", "g", "y").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("lw"),
+                                                  F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("rw"))
+        pref = prefix_sums(cells, [F.col("q"), F.col("l"), F.col("g"), F.col("y").desc()], ["lw"])
+        per = pref.groupBy("q", "l", "g").agg(F.sum(F.col("rw") * F.col("lw_before")).alias("s"), F.sum("rw").alias("r"), F.min("lw_before").alias("start"))
+        sums = per.groupBy("q").agg(F.sum(F.col("s") - F.col("start") * F.col("r")).alias("inv"))
+        inversions = {r["q"]: r["inv"] for r in sums.collect()}  # one row a pair
+    out = []
+    for k in range(len(pairs)):
+        (n3, n), (n2, _), (n1, _) = ((t["pairs"], t["n"]) if (t := ties.get((k, gid))) else (0.0, 0.0) for gid in (0, 2, 1))
+        n0 = n * (n - 1) / 2
+        den = (n0 - n1) * (n0 - n2)
+        tau = (n0 - n1 - n2 + n3 - 2 * inversions.get(k, 0.0)) / math.sqrt(den) if den > 0 else None
+        out.append((tau, int(n)))
+    return out
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: (tau, n) over rows where both x and y are present."""
-    d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    keys = d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
-    # tie totals in one job: per-x, per-y and per-(x, y) group weights via grouping sets
-    sets = keys.groupingSets([["x"], ["y"], ["x", "y"]], "x", "y").agg(
-        F.sum("w").alias("t"), F.grouping_id().alias("gid"))
-    tie = {r["gid"]: r for r in sets.groupBy("gid").agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n"),
-        F.count(F.lit(1)).alias("m")).collect()}          # three rows
-    # grouping_id bits: x is the high bit, y the low bit; 0 = (x, y), 1 = (x), 2 = (y)
-    n1 = tie[1]["pairs"] if 1 in tie else 0.0
-    n2 = tie[2]["pairs"] if 2 in tie else 0.0
-    n3 = tie[0]["pairs"] if 0 in tie else 0.0
-    n = tie[0]["n"] if 0 in tie else 0.0
-    m = tie[0]["m"] if 0 in tie else 0
-    q = 0.0
-    if m > 1:
-        pos = global_row_number(keys, [F.col("x").asc(), F.col("y").asc()], "pos").withColumn("pos", F.col("pos") - 1)
-        levels = max(1, math.ceil(math.log2(m)))
-        e = pos.select("y", "w", "pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
-        e = e.select("l", F.expr("shiftright(pos, l + 1)").alias("g"),
-                     F.expr("shiftright(pos, l) & 1").alias("side"), "y", "w")
-        cells = e.groupBy("l", "g", "y").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("lw"),
-                                             F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("rw"))
-        pref = prefix_sums(cells, [F.col("l").asc(), F.col("g").asc(), F.col("y").desc()], ["lw"])
-        per = pref.groupBy("l", "g").agg(F.sum(F.col("rw") * F.col("lw_before")).alias("s"),
-                                         F.sum("rw").alias("r"), F.min("lw_before").alias("start"))
-        q = per.agg(F.sum(F.col("s") - F.col("start") * F.col("r")).alias("q")).first()["q"] or 0.0
-    keys.unpersist()
-    n0 = n * (n - 1) / 2
-    pq = n0 - n1 - n2 + n3 - 2 * q
-    den = (n0 - n1) * (n0 - n2)
-    tau = pq / math.sqrt(den) if den > 0 else None
-    return df.sparkSession.createDataFrame([(tau, int(n))], "tau double, n long")
+    return df.sparkSession.createDataFrame(kendall_pairs(df, [(x, y)]), "tau double, n long")
 
 
 def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_a, col_b, tau) for every ordered pair (one distributed job per unordered pair)."""
-    rows = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            t = 1.0 if a == b else kendall_tau_b(df, a, b).first()["tau"]
-            rows.append((a, b, t))
-            if a != b:
-                rows.append((b, a, t))
+    """(col_a, col_b, tau) for every ordered pair; a column with itself is 1."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    tau = dict(zip(pairs, (t for t, _ in kendall_pairs(df, pairs)), strict=True)) if pairs else {}
+    rows = [(a, b, 1.0 if a == b else tau.get((a, b), tau.get((b, a)))) for a in columns for b in columns]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, tau double")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import safe_div
-from vitalis.operators.quantiles import exact_quantiles
+from vitalis.operators.ordering import join_null_safe
+from vitalis.operators.quantiles import exact_quantiles, grouped_quantiles
 from vitalis.operators.stats import quantile
 
 REG_METRICS = ("mse", "rmse", "mae", "r2", "explained_variance", "mape", "median_ae", "max_error")
@@ -64,9 +65,13 @@ def regression_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_p
     y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
     n = F.count_if(y.isNotNull() & p.isNotNull()).cast("bigint")
     metrics = list(metrics or REG_METRICS)
-    if by or not exact or "median_ae" not in metrics:
+    if not exact or "median_ae" not in metrics:
         aggs = [n.alias("n")] + regression_aggs(y, p, metrics, exact=exact)
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    if by:
+        rest = df.groupBy(*by).agg(n.alias("n"), *regression_aggs(y, p, [m for m in metrics if m != "median_ae"]))
+        median = grouped_quantiles(df, list(by), {"_q": F.abs(y - p)}, [0.5])
+        return join_null_safe(rest, median, list(by)).withColumn("median_ae", F.col("_q")[0]).select(*by, "n", *metrics)
     out = df.agg(n.alias("n"), *regression_aggs(y, p, [m for m in metrics if m != "median_ae"]))
     median = exact_quantiles(df, {"ae": F.abs(y - p)}, [0.5])["ae"]
     return out.withColumn("median_ae", F.lit(median[0] if median else None).cast("double")).select("n", *metrics)

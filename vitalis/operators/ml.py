@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from vitalis.functions.columns import md5_unit
+from vitalis.operators.gram import gram
 from vitalis.operators import metrics as M
 from vitalis.operators.clean import Scaler
 from vitalis.operators.ordering import global_row_number
@@ -598,17 +599,9 @@ class Stacking:
 # ------------------------------------------------------------------ K17 / K18 / K19
 
 def covariance_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """p x p sample covariance from one aggregate of covar_samp over pairs (rows complete in all features)."""
-    feats = list(features)
-    p = len(feats)
-    d = df.select(*feats).dropna()
-    aggs = [F.covar_samp(feats[i], feats[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = d.agg(*aggs).first()
-    C = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            C[i, j] = C[j, i] = row[f"c{i}_{j}"]
-    return C
+    """p x p sample covariance from one pass of block products (rows complete in all features)."""
+    g = gram(df.select(*features).dropna(), list(features))
+    return g.covariance() * g.n / (g.n - 1)
 
 
 def pca_variance(df: DataFrame, features: Sequence[str], n_components: int | None = None,

@@ -23,6 +23,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from vitalis import ship_package
 from vitalis.functions import signal as S
 from vitalis.functions.columns import entity_category
+from vitalis.operators.gram import value
+from vitalis.operators.ordering import join_null_safe
+from vitalis.operators.quantiles import grouped_quantiles
 from vitalis.operators.stats import quantile
 
 # Default sampling rates (Hz) per signal type.
@@ -264,9 +267,10 @@ def entity_signal_stats(long: DataFrame, entity: str, x: str = "x") -> DataFrame
 
 
 def quality_summary(q: DataFrame, signal: str = "signal", score: str = "quality_score") -> DataFrame:
-    s = F.col(score)
-    return q.groupBy(signal).agg(F.avg(s).alias("mean"), quantile(s, 0.5).alias("median"), F.min(s).alias("min"),
-                                 F.max(s).alias("max"), F.count(s).alias("n"))
+    s = value(score)
+    g = q.groupBy(signal).agg(F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max"), F.count(s).alias("n"))
+    median = grouped_quantiles(q, [signal], {"_q": s}, [0.5])
+    return join_null_safe(g, median, [signal]).select(signal, "mean", F.col("_q")[0].alias("median"), "min", "max", "n")
 
 
 def quality_by_condition(q: DataFrame, signal: str, condition: str, category: str,

@@ -2,13 +2,14 @@
 
 Rule used throughout: one ``agg`` over all requested columns (partial
 aggregation on the map side, so a hot key or a hot column never reaches one
-task as raw rows), then ``stack`` to a long result.  Exact quantiles use
-``percentile`` (a value-count map per group); pass ``exact=False`` for
-``percentile_approx`` on very high-cardinality data.
+task as raw rows), then ``stack`` to a long result.  Exact quantiles, of columns
+and of groups, come from selection (``quantiles``); pass ``exact=False`` for
+``percentile_approx`` sketches.  NaN is missing like NULL.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
@@ -16,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
-from vitalis.operators.quantiles import exact_quantiles
-from vitalis.session import written
 from vitalis.functions.columns import safe_div
+from vitalis.operators.gram import gram, value
+from vitalis.operators.gram import value as present
+from vitalis.operators.ordering import join_null_safe
+from vitalis.operators.quantiles import exact_quantiles, grouped_quantiles
+from vitalis.operators.rankcorr import rank_gram
 
 
 def _q(name: str) -> str:
@@ -26,7 +30,11 @@ def _q(name: str) -> str:
 
 
 def quantile(c: Column | str, p, exact: bool = True, accuracy: int = 100000) -> Column:
-    """Linear-interpolated quantile(s); ``p`` scalar or list."""
+    """Linear-interpolated quantile(s) as an aggregate; ``p`` scalar or list.
+
+    ``exact`` counts the values of a group in one task: for groups of bounded size, such
+    as windows or replicates (``grouped_quantiles`` takes groups of any size).
+    """
     c = F.col(c) if isinstance(c, str) else c
     if exact:
         return F.percentile(c, p)
@@ -57,7 +65,7 @@ def _stack(row_df: DataFrame, entries: Sequence[Sequence[Column]], names: Sequen
 def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Per-column profile (numeric / categorical / datetime), one row per column.
 
-    Columns: column_name, kind, n_missing, pct_missing, min, max, mean, median, std
+    NULL and NaN are missing.  Columns: column_name, kind, n_missing, pct_missing, min, max, mean, median, std
     (sample), n_unique, top (most common value, ties -> smallest), ts_min, ts_max.
     """
     columns = list(columns or df.columns)
@@ -65,10 +73,10 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     n = F.count(F.lit(1))
     aggs = [n.alias("_n")]
     for i, c in enumerate(columns):
-        x = F.col(c)
+        x = value(c) if kinds[c] == "numeric" else F.col(c)
         aggs.append(F.count_if(x.isNull()).alias(f"_miss{i}"))
         if kinds[c] == "numeric":
-            xd = x.cast("double")
+            xd = x
             aggs += [F.min(xd).alias(f"_min{i}"), F.max(xd).alias(f"_max{i}"), F.avg(xd).alias(f"_avg{i}"),
                      F.stddev_samp(xd).alias(f"_std{i}")]
             if not exact:
@@ -119,7 +127,8 @@ def categorical_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def profile_totals(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells and their percent of all cells (one row)."""
     ncol = len(df.columns)
-    miss = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    present = [value(f.name) if _kind(f.dataType) == "numeric" else F.col(f.name) for f in df.schema.fields]
+    miss = sum((F.count_if(c.isNull()) for c in present), F.lit(0))
     return df.agg(F.count(F.lit(1)).alias("rows"), miss.cast("bigint").alias("missing")).select(
         "rows", F.lit(ncol).cast("bigint").alias("columns"), "missing",
         safe_div(F.col("missing") * F.lit(100.0), F.col("rows") * F.lit(ncol)).alias("missing_pct"))
@@ -193,12 +202,12 @@ def validate_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 # --------------------------------------------------------------------- B8
 
 def zscore_anomalies(df: DataFrame, columns: Sequence[str], row_id: str, threshold: float = 3.0) -> DataFrame:
-    """(column, row_id, z) for |z| > threshold, sample std; columns without hits give no rows."""
-    stats = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)],
-                   *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(columns)]).first()
+    """(column, row_id, z) for |z| > threshold, sample std; columns without hits give no rows.  NaN is missing."""
+    stats = df.agg(*[F.avg(value(c)).alias(f"_m{i}") for i, c in enumerate(columns)],
+                   *[F.stddev_samp(value(c)).alias(f"_s{i}") for i, c in enumerate(columns)]).first()
     longs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"),
-                 safe_div(F.col(c) - F.lit(stats[f"_m{i}"]), F.lit(stats[f"_s{i}"])).alias("z"))
+                 safe_div(value(c) - F.lit(stats[f"_m{i}"]), F.lit(stats[f"_s{i}"])).alias("z"))
         for i, c in enumerate(columns)]))
     out = df.select(F.col(row_id).alias("row_id"), longs.alias("e")).select("e.column", "row_id", "e.z")
     return out.where(F.abs("z") > threshold)
@@ -206,106 +215,35 @@ def zscore_anomalies(df: DataFrame, columns: Sequence[str], row_id: str, thresho
 
 # --------------------------------------------------------------------- D4/D5/D7/D8
 
-def _pairs(columns: Sequence[str], both: bool) -> list[tuple[int, int]]:
-    p = len(columns)
-    return [(i, j) for i in range(p) for j in range(p) if (both or i <= j)]
-
-
-def _pair_correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """(i, j, r) for the requested column pairs, pairwise complete, zero variance -> NULL.
-
-    Each row is exploded into one (pair, a, b) row per pair and the statistics
-    are a ``groupBy(pair)`` with four aggregates.  The aggregate stays small
-    whatever the number of columns, so it keeps whole-stage codegen (a wide
-    aggregate with several buffers per pair exceeds Spark's codegen field limit
-    and falls back to interpreted evaluation), and map-side partial aggregation
-    leaves one row per pair per task.
-    """
-    vals = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.col(columns[i]).cast("double").alias("a"), F.col(columns[j]).cast("double").alias("b"))
-        for i, j in pairs])).alias("p")
-    long = df.select(vals).select("p.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    g = long.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
-                                   F.stddev_pop("b").alias("sb"))
-    # every requested pair appears, with NULL when it has no complete row (p^2 literal rows)
-    grid = df.sparkSession.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("q")).select("q.*")
-    g = grid.join(F.broadcast(g), ["i", "j"], "left")
-    return g.select("i", "j", safe_div(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
+def _long(df: DataFrame, rows: Sequence[str], cols: Sequence[str], r) -> DataFrame:
+    """(col_a, col_b, r) of a matrix of correlations, NaN as NULL."""
+    cells = [(a, b, None if math.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(rows) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str], lower_only: bool = False) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form (col_a, col_b, r).
+    """Pairwise-complete Pearson matrix in long form (col_a, col_b, r), NaN missing like NULL.
 
-    Each unordered pair is computed once and mirrored on the p x p result.
-    Zero variance (or no complete pair) gives NULL (pandas NaN) instead of an error.
+    One pass adds up the masked products of all columns (``gram``); the matrix itself has
+    p x p numbers.  Zero variance (or no complete pair) gives NULL instead of an error.
+    ``lower_only`` keeps each unordered pair once.
     """
     columns = list(columns)
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    r = _pair_correlations(df, columns, pairs)
-    names = F.array(*[F.lit(c) for c in columns])
-    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
-    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), F.col("r")),
-                   F.struct(b.alias("col_a"), a.alias("col_b"), F.col("r")))
+    out = _long(df, columns, columns, gram(df, columns).correlation())
     if lower_only:
-        return r.select(a.alias("col_a"), b.alias("col_b"), "r")
-    mirrored = r.select(F.when(F.col("i") == F.col("j"), F.array(both[0])).otherwise(both).alias("x"))
-    return mirrored.select(F.explode("x").alias("x")).select("x.*")
-
-
-def _ranks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, value, average rank of the value among the ``_c`` rows of its group."""
-    from vitalis.operators.features import grouped_prefix
-
-    pref = grouped_prefix(counts, keys, F.col(value).asc(), ["_c"])
-    return pref.select(*keys, value, (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank"))
+        place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+        out = out.where(place[F.col("col_a")] <= place[F.col("col_b")])
+    return out
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman = Pearson of average ranks, pairwise complete.
+    """Spearman = Pearson of average ranks, pairwise complete: ranks among the rows that hold both columns.
 
-    Without nulls the ranks of a column are the same in every pair: they come from one
-    distributed prefix pass over the (column, value) counts and are joined back on the
-    value.  With nulls each pair has ranks of its own, among the rows complete in it:
-    one pass over (pair, side, value) counts.
+    The ranks of all columns come from one exchange by (column, value) and go back to the
+    rows in another, whatever the number of columns (see ``rankcorr``).  NaN is missing.
     """
     columns = list(columns)
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    count = F.count(F.lit(1)).cast("double").alias("_c")
-    if not any(nulls):
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]))
-        counts = base.select(pairs.alias("p")).select("p.*").groupBy("column_name", "value").agg(count)
-        ranks = written(_ranks(counts, ["column_name"], "value"), "ranks")
-        ranked = base
-        for c in columns:
-            rc = ranks.where(F.col("column_name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
-            ranked = ranked.join(rc, c, "left")
-        return corr_pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns]), columns)
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(columns[i]).alias("a"),
-                                        F.col(columns[j]).alias("b")) for i, j in pairs])).alias("q")
-    long = base.select(rows).select("q.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("v")),
-                              F.struct(F.lit("b").alias("side"), F.col("b").alias("v")))).alias("q")
-    counts = long.select("i", "j", sides).select("i", "j", "q.*").groupBy("i", "j", "side", "v").agg(count)
-    ranks = written(_ranks(counts, ["i", "j", "side"], "v"), "ranks")
-    for c in ("a", "b"):
-        rc = ranks.where(F.col("side") == c).select("i", "j", F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
-        long = long.join(rc, ["i", "j", c])
-    g = long.groupBy("i", "j").agg(F.covar_pop("ra", "rb").alias("cov"), F.stddev_pop("ra").alias("sa"),
-                                   F.stddev_pop("rb").alias("sb"))
-    grid = df.sparkSession.createDataFrame(pairs, "i int, j int")
-    r = grid.join(g, ["i", "j"], "left").select("i", "j", safe_div(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
-    names = F.array(*[F.lit(c) for c in columns])
-    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
-    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), F.col("r")),
-                   F.struct(b.alias("col_a"), a.alias("col_b"), F.col("r")))
-    mirrored = r.select(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both).alias("x"))
-    return mirrored.select(F.explode("x").alias("x")).select("x.*")
+    return _long(df, columns, columns, rank_gram(df, columns).correlation())
 
 
 def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -318,11 +256,8 @@ def corr_kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 def corr_with_target(df: DataFrame, features: Sequence[str], target: str, top: int | None = 20) -> DataFrame:
     """Pearson r of each feature with the target, ordered by |r| desc (then name)."""
     features = [f for f in features if f != target]
-    cols = list(features) + [target]
-    t = len(features)
-    r = _pair_correlations(df, cols, [(i, t) for i in range(t)])
-    names = F.array(*[F.lit(c) for c in features])
-    out = r.select(F.get(names, F.col("i")).alias("feature"), "r").withColumn("abs_r", F.abs("r"))
+    r = _long(df, features, [target], gram(df, features, [target]).correlation())
+    out = r.select(F.col("col_a").alias("feature"), "r").withColumn("abs_r", F.abs("r"))
     out = out.orderBy(F.col("abs_r").desc_nulls_last(), F.col("feature"))
     return out.limit(top) if top else out
 
@@ -348,8 +283,6 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     The group sizes are joined back on the key (AQE: broadcast when small, skew
     split otherwise), so the member list stays a distributed frame of whole rows.
     """
-    from vitalis.operators.ordering import join_null_safe
-
     groups = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return join_null_safe(df, groups, list(subset))
 
@@ -369,10 +302,10 @@ def duplicate_summary(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------- D10/D11
 
 def distribution_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """mean, median, sample std, bias-adjusted skew and excess kurtosis per column."""
+    """mean, median, sample std, bias-adjusted skew and excess kurtosis per column (NULL and NaN passed over)."""
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = value(c)
         aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"),
                  F.stddev_samp(x).alias(f"_s{i}"), F.skewness(x).alias(f"_g{i}"), F.kurtosis(x).alias(f"_k{i}")]
         if not exact:
@@ -391,8 +324,8 @@ def distribution_summary(df: DataFrame, columns: Sequence[str], exact: bool = Tr
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, hue: str | None = None) -> DataFrame:
-    """Equal-width bin counts over [min, max]; the max value falls in the last bin."""
-    x = F.col(column).cast("double")
+    """Equal-width bin counts over [min, max]; the max value falls in the last bin.  NULL and NaN are in no bin."""
+    x = value(column)
     lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")
@@ -415,11 +348,15 @@ def crosstab_mean(df: DataFrame, row: str, col: str, value: str, col_values: Seq
 
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
     """Per group: q1, median, q3, whiskers at the most extreme data inside 1.5*IQR, outlier count."""
-    q = df.groupBy(group).agg(quantile(F.col(value).cast("double"), [0.25, 0.5, 0.75], exact).alias("_q"))
+    x = present(value)
+    if exact:
+        q = grouped_quantiles(df, [group], {"_q": x}, [0.25, 0.5, 0.75])
+    else:
+        q = df.groupBy(group).agg(quantile(x, [0.25, 0.5, 0.75], False).alias("_q"))
     q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(group, F.col(value).cast("double").alias("_v")).join(q, group)
+    j = df.select(group, x.alias("_v")).join(q, group)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
@@ -431,11 +368,14 @@ def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> Data
 # --------------------------------------------------------------------- D14/D15
 
 def entity_stats(df: DataFrame, entity: str, label: str, exact: bool = True) -> DataFrame:
-    """Per entity: mean, population std, min, max, median of the label (NULL labels skipped)."""
-    x = F.col(label).cast("double")
-    return df.where(x.isNotNull()).groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), quantile(x, 0.5, exact).alias("median"))
+    """Per entity: mean, population std, min, max, median of the label (NULL and NaN labels skipped)."""
+    x = value(label)
+    held = df.where(x.isNotNull())
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if not exact:
+        return held.groupBy(entity).agg(*aggs, quantile(x, 0.5, False).alias("median"))
+    median = grouped_quantiles(held, [entity], {"_q": x}, [0.5])
+    return join_null_safe(held.groupBy(entity).agg(*aggs), median, [entity]).withColumn("median", F.col("_q")[0]).drop("_q")
 
 
 def error_by_group(df: DataFrame, y_true: str, y_pred: str, groups: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalis.functions.columns import entity_category
 from vitalis.operators import features, stats
+from vitalis.operators.quantiles import grouped_quantiles
 from vitalis.plans import roles
 from vitalis.plans.registry import out, register
 from vitalis.plans.roles import with_ctes
@@ -95,6 +96,53 @@ def q_corr_spearman(spark, d):
     return out(stats.corr_spearman(roles.ofeat_view(spark, d), _SPEAR_COLS))
 
 
+_NULL_COLS = ["label", "k", "row_id"]
+
+
+def _spearman_nulls_sql() -> str:
+    """Every pair ranked among the rows that hold both columns."""
+    parts = []
+    for a in _NULL_COLS:
+        for b in _NULL_COLS:
+            rank = {x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0" for x in (a, b)}
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS r "
+                         f"FROM (SELECT {rank[a]} AS ra, {rank[b]} AS rb FROM trials_null WHERE {a} IS NOT NULL AND {b} IS NOT NULL) t")
+    return with_ctes(rounded("\nUNION ALL\n".join(parts), ["r"]), "trials_null")
+
+
+@register("corr_spearman_nulls", _spearman_nulls_sql())
+def q_corr_spearman_nulls(spark, d):
+    return out(stats.corr_spearman(roles.trials_null_view(spark, d), _NULL_COLS))
+
+
+def _wide(n: int) -> list[tuple[str, str]]:
+    """Features of lineitem rows, some missing where a line number is even."""
+    parts = ["l_quantity * {0}", "l_extendedprice % (100.0 + {0})", "CASE WHEN l_linenumber % 2 = 1 THEN l_discount * l_quantity + {0} END", "l_tax * (l_partkey % ({0} + 2))"]
+    return [(f"f{i}", parts[i % 4].format(i + 1)) for i in range(n)]
+
+
+_WIDE = _wide(24)
+
+
+@register("corr_pearson_wide", "WITH w AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE) + " FROM lineitem)\n"
+          + rounded(_pearson_sql("w", [c for c, _ in _WIDE]), ["r"]))
+def q_corr_pearson_wide(spark, d):
+    li = roles.table(spark, d, "lineitem").selectExpr(*[f"cast({e} as double) AS {c}" for c, e in _WIDE])
+    return out(stats.corr_pearson(li, [c for c, _ in _WIDE]))
+
+
+_PROBS = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+
+
+@register("grouped_quantiles", rounded(f"""SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, {_PROBS}) AS price,
+  quantile_cont(l_quantity, {_PROBS}) AS qty FROM lineitem GROUP BY l_returnflag, l_linestatus""", [], arrays=["price", "qty"]))
+def q_grouped_quantiles(spark, d):
+    """Quantiles per group; groups of over 2,000 rows are selected by brackets."""
+    li = roles.table(spark, d, "lineitem")
+    q = grouped_quantiles(li, ["l_returnflag", "l_linestatus"], {"price": "l_extendedprice", "qty": "l_quantity"}, _PROBS, small=2000)
+    return out(q)
+
+
 @register("corr_with_target", with_ctes(rounded(
     "SELECT feature, r, abs(r) AS abs_r FROM (" + "\nUNION ALL\n".join(
         f"SELECT '{c}' AS feature, covar_pop({c}, price) / nullif(stddev_pop({c}) * stddev_pop(price), 0) AS r FROM ofeat"

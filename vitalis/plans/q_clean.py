@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalis.functions import columns as C
-from vitalis.operators import clean
+from vitalis.operators import clean, knncells
 from vitalis.plans import roles
 from vitalis.plans.registry import out, register
 from vitalis.plans.roles import with_ctes
@@ -129,6 +129,14 @@ def q_impute_knn(spark, d):
     return out(clean.knn_impute(t, "row_id", _KNN_COLS, k=5).select("row_id", *_KNN_COLS))
 
 
+@register("impute_knn_lsh", _knn_sql())
+def q_impute_knn_lsh(spark, d):
+    """The same result through cells of near donors."""
+    t = roles.trials_null_view(spark, d).select("row_id", "label", F.col("k").cast("double").alias("k"),
+                                                 F.second("ts").cast("double").alias("sec"))
+    return out(knncells.knn_impute_lsh(t, "row_id", _KNN_COLS, k=5, cell=16).select("row_id", *_KNN_COLS))
+
+
 # ------------------------------------------------------------------ J3
 
 _SCOLS = ["qty", "price", "disc"]
