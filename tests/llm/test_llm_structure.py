@@ -184,11 +184,11 @@ def copies(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("pairs", [setsketch.PAIRS, 0])
-def test_near_sets_equal_all_pairs(spark, pairs):
+@pytest.mark.parametrize("few, chunk", [(setsketch.FEW, setsketch.CHUNK), (1, 4), (100, 4)])
+def test_near_sets_equal_all_pairs(spark, few, chunk):
     rows = copies(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit(1)).withColumn("skey", F.lit("x"))
-    got = setsketch.near_duplicates(docs, pairs=pairs)
+    got = setsketch.near_duplicates(docs, few=few, chunk=chunk)
     assert H.rows_of(got, *COLUMNS["op13_setsketch"]) == H.near_sets(rows)
 
 
@@ -204,10 +204,15 @@ def test_no_row_and_no_bucket(spark):
     assert setsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_large_buckets_are_paired_by_chunks(spark):
-    rows = [(k, i, i % 7, 50) for k in range(3) for i in range(50)]
-    got = H.rows_of(setsketch._pairs(spark.createDataFrame(rows, "key long, cid long, comp long, size long"), chunk=6), "a", "b")
-    assert got == sorted(((i, j) for i in range(50) for j in range(i + 1, 50) if i % 7 != j % 7), key=repr)
+def test_a_large_bucket_makes_no_more_links_than_members(spark):
+    rows = [(i, H.prose(30, 200) + f" end {i}") for i in range(120)]
+    s = setsketch.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = s.select(F.col("doc_id").alias("cid"), "n_shingles", "regs")
+    got = setsketch.candidates(classes, few=4)
+    assert setsketch.BANDS * len(rows) > got.count() >= len(rows) - 1
+    met = setsketch._meetings(spark.createDataFrame([(k, i) for k in range(2) for i in range(40)], "key long, cid long"), "key", [], F.lit(5))
+    together = {(x, y) for r in met.collect() for x in (m.cid for m in r.m) for y in (m.cid for m in r.m)}
+    assert together == {(x, y) for x in range(40) for y in range(40)}
 
 
 def test_registers_merge_and_tell_similarity():

@@ -11,16 +11,16 @@ all registers by likelihood, and what could reach the threshold is checked on th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalis.llm.common import components, discard, saved, table, text_key
+from vitalis.llm.common import components, discard, saved, small, table, text_key
 
 SHINGLE = 5
 #: Pairs with 100 * intersection >= PERCENT * union are linked.
@@ -36,11 +36,12 @@ LIMIT = (1 << 16) - 1
 DEVIATIONS = 6.0
 #: Bytes of text hashed at once; a longer word is hashed on its own.
 STEP = 1 << 20
-#: Candidate pairs a bucket row from which on pairs are first thinned out through leaders, and rounds of that.
-PAIRS = 4
-ROUNDS = 8
-#: Members of a bucket that are paired in one task; larger buckets are dealt to several.
-CHUNK = 1024
+#: Members of a bucket up to which its pairs become rows; members and bytes of sets of a chunk: two chunks meet in a task.
+FEW = 8
+CHUNK = 512
+GROUP_BYTES = 1 << 24
+#: Elements whose memberships are multiplied at once.
+COLUMNS = 4096
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -256,147 +257,149 @@ def band_rows(classes: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataF
     return classes.select("cid", "regs").mapInArrow(run, "key long, cid long")
 
 
-def _both(pairs: DataFrame, side: DataFrame, cols: list[str]) -> DataFrame:
-    """``pairs`` (a, b) with the columns of ``side`` for both, named col_a and col_b."""
-    out = pairs
-    for x in "ab":
-        out = out.join(side.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]), x)
-    return out.select("a", "b", *[f"{c}_{x}" for c in cols for x in "ab"])
+def _close(regs: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows whose likelihood doesn't rule out ``percent`` percent, as a square of booleans."""
+    out = np.zeros((len(n), len(n)), bool)
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        off = estimate(np.broadcast_to(regs[i], regs[rest].shape), regs[rest], np.full(len(n) - i - 1, n[i]), n[rest], percent / 100)[1]
+        out[i, rest] = out[rest, i] = off <= DEVIATIONS
+    return out
 
 
-def _likely(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                na, nb = (np.asarray(b.column(k), np.int64) for k in (2, 3))
-                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, -1) for k in (4, 5))
-                off = estimate(a, c, na, nb, percent / 100)[1]
-                yield b.select(["a", "b"]).filter(pa.array(off <= DEVIATIONS))
+def _forest(cid: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) of each member to the first of its component of ``near``."""
+    label = np.arange(len(cid))
+    near = near | np.eye(len(cid), dtype=bool)
+    while True:
+        new = np.where(near, label[None, :], len(cid)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    odd = label != np.arange(len(cid))
+    return pa.RecordBatch.from_arrays([pa.array(cid[odd]), pa.array(cid[label[odd]])], ["a", "b"])
+
+
+def _meetings(rows: DataFrame, group: str, members: list[str], cut: Column) -> DataFrame:
+    """Arrays ``m`` of a group's members (cid and ``members``); a group of several chunks gives one for every pair of them."""
+    own = F.pmod(F.xxhash64("cid"), cut).cast("int")
+    r = rows.withColumn("cut", cut).withColumn("own", own)
+    r = r.select(group, "cid", *members, "own", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
+    r = r.groupBy(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return r.agg(F.collect_list(F.struct("cid", *members)).alias("m")).where(F.size("m") > 1).select("m")
 
-    return run
 
+def _each(kernel: Callable[[np.ndarray, list], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that runs ``kernel`` (ids, further fields) on each array of members."""
 
-def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                ok.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            m = b.column(0)
+            off = np.asarray(m.offsets).tolist()
+            fields = [m.values.field(k) for k in range(m.type.value_type.num_fields)]
+            for x, y in zip(off[:-1], off[1:], strict=True):
+                yield kernel(np.asarray(fields[0].slice(x, y - x), np.int64), [f.slice(x, y - x) for f in fields[1:]])
 
     return run
 
 
+def _alike(percent: int):
+    """Links that hold together what the registers may find alike."""
+
+    def kernel(cid: np.ndarray, fields: list) -> pa.RecordBatch:
+        regs = np.frombuffer(b"".join(fields[1].to_pylist()), "<u2").reshape(len(cid), -1)
+        return _forest(cid, _close(regs, np.asarray(fields[0], np.int64), percent))
+
+    return _each(kernel)
+
+
+def _linked(percent: int):
+    """Links of the sets that reach ``percent`` percent, by their full intersections."""
+
+    def kernel(cid: np.ndarray, fields: list) -> pa.RecordBatch:
+        sets = [np.frombuffer(v, "<u8") for v in fields[0].to_pylist()]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        common = np.zeros((len(sets), len(sets)))
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # only elements of two sets or more count
+        row, keep = np.repeat(np.arange(len(sets)), n), times[place] > 1
+        row, place = row[keep], shared[place[keep]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            x, y = np.searchsorted(place, [at, at + COLUMNS])
+            block = np.zeros((len(sets), COLUMNS), np.float32)
+            block[row[x:y], place[x:y] - at] = 1
+            common += block @ block.T
+        return _forest(cid, 100 * common >= percent * (n[:, None] + n[None, :] - common))
+
+    return _each(kernel)
+
+
 def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(cid, hashes) of the classes ``wanted`` (cid, rep_id, rep_key), each from one document with that set."""
+    """(cid, hashes) of the classes ``wanted`` (cid, rep_id, rep_key; a saved table), each from one document with that set."""
     d = docs.select(F.col(id_col).alias("__i"), text_key(text_col).alias("__t"), F.col(text_col).cast("binary").alias("text"))
-    j = d.join(wanted, (d["__t"] == wanted["rep_key"]) & d["__i"].eqNullSafe(wanted["rep_id"])).select("cid", "text")
+    w = small(wanted.select("cid", "rep_id", "rep_key"))
+    j = d.join(w, (d["__t"] == w["rep_key"]) & d["__i"].eqNullSafe(w["rep_id"])).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(shingle)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype("<u8").tobytes() for s in _sets_of(b, 1, hasher)], pa.binary())], ["cid", "hashes"])
 
-    return j.mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])  # a repeated row gives its set twice
-
-
-def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked: likelihood first, then the full sets."""
-    likely = saved(_both(pairs, classes, ["n_shingles", "regs"]).mapInArrow(_likely(percent), "a long, b long"), "likely")
-    need = saved(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "rep_key"), "cid"), "wanted")
-    sets = saved(_set_table(docs, need, id_col, text_col, shingle), "sets")
-    out = saved(_both(likely, sets, ["hashes"]).mapInArrow(_verified(percent), "a long, b long"), "links")
-    discard(likely, need, sets)
-    return out
-
+    return j.mapInArrow(run, "cid long, hashes binary")
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``rows`` (key, cid) with the component ``comp`` that the links found so far give."""
-    if links is None:
-        return rows.withColumn("comp", F.col("cid"))
-    comp = components(links)
-    return rows.join(comp, rows["cid"] == comp["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
 
+def candidates(classes: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect all classes (cid, n_shingles, regs) that share a band and that the likelihood finds alike.
 
-def _open(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows of buckets that hold several components, their number, and the pairs across components."""
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    keys = parts.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    keys = saved(keys.select("key", "size", ((F.col("size").cast("double") * F.col("size") - F.col("own")) / 2).alias("cross")), "open-keys")
-    n, cross = keys.agg(F.sum("size"), F.sum("cross")).first()
-    return saved(rows.join(keys.select("key", "size"), "key"), "open"), n or 0, cross or 0
-
+    A bucket of at most ``few`` classes gives its pairs, each compared once over all
+    bands.  A larger one has its registers compared where they meet, in chunks, and gives
+    no more links than it has members, whatever the number of its pairs.
+    """
+    every = saved(band_rows(classes, rows, bands), "bands")
+    keys = saved(every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
+    met = saved(every.join(keys, "key"), "buckets")
+    discard(every, keys)
+    side = classes.select("cid", "n_shingles", "regs")
+    lists = met.where(F.col("size") <= few).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    pairs = lists.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b")).where("a < b").distinct()
+    both = saved(pairs, "pairs")
+    for x in "ab":
+        both = both.join(side.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")), x)
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Pairs of each bucket's leader with its members of other components: one a row of the bucket at most.
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                na, nb = (np.asarray(b.column(k), np.int64) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, -1) for k in (4, 5))
+                yield b.select(["a", "b"]).filter(pa.array(estimate(x, y, na, nb, percent / 100)[1] <= DEVIATIONS))
 
-    The leader is the member that meets most others over all its buckets: the text that
-    near copies were made of is close to more of them than they are to one another.
-    """
-    degree = saved(rows.groupBy("cid").agg(F.sum("size").alias("degree")), "degrees")
-    lead = rows.join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid", "comp")).alias("top"))
-    lead = saved(lead.select("key", F.col("top.cid").alias("lead"), F.col("top.comp").alias("lead_comp")), "leaders")
-    j = rows.join(lead, "key").where("comp <> lead_comp")
-    return j.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    found = both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(likely, "a long, b long")
+    large = saved(met.where(F.col("size") > few), "large")
+    if large.limit(1).count():
+        groups = _meetings(large.join(side, "cid"), "key", ["n_shingles", "regs"], F.ceil(F.col("size") / chunk).cast("int"))
+        found = found.union(groups.mapInArrow(_alike(percent), "a long, b long"))
+    return saved(found.distinct(), "alike")
 
 
-def _pairs(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """All pairs of different components that share a bucket; a large bucket is dealt to tasks by pairs of chunks."""
-    cut = F.ceil(F.col("size") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("cid"), cut).cast("int")
-    r = rows.select("key", "cid", "comp", cut.alias("cut"), own.alias("own"))
-    r = r.select("key", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
-    r = r.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    groups = r.agg(F.collect_list(F.struct("cid", "comp", "own")).alias("m")).where(F.size("m") > 1).select("i", "j", "m")
+def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect the classes (cid, n_shingles, regs, rep_id, rep_key) as all their links do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.column(2)
-            off = np.asarray(m.offsets)
-            cid, comp, own = (np.asarray(m.values.field(k), np.int64) for k in range(3))
-            for g, (i, j) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                c, k, o = (x[off[g] : off[g + 1]] for x in (cid, comp, own))
-                left, right = np.flatnonzero(o == i), np.flatnonzero(o == j)
-                for x in left.tolist():
-                    y = right[(k[right] != k[x]) & ((c[right] > c[x]) if i == j else True)]
-                    if len(y):
-                        z = np.full(len(y), c[x])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(z, c[y])), pa.array(np.maximum(z, c[y]))], ["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, pairs: int = PAIRS) -> DataFrame | None:
-    """Links (a, b) that connect the classes (cid, n_shingles, regs, rep_id, rep_key) as all links do (None: no bucket is shared).
-
-    While the buckets hold more than ``pairs`` pairs of different components a row, only
-    pairs with a bucket's leader are checked and the components they give are taken as
-    one; then every pair that still shares a bucket across components is checked.
+    What the candidates connect is one group; the full sets of a group meet in one task,
+    or those of every two of its chunks, where all intersections are counted.
     """
-    all_rows = saved(band_rows(classes, rows, bands), "bands")
-    shared = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = saved(all_rows.join(saved(shared, "keys"), "key"), "buckets")
-    discard(all_rows)
-    found, tested = None, None
-    for turn in range(ROUNDS + 1):
-        live, n, cross = _open(_labelled(met, found))
-        if not n:
-            break
-        last = cross <= pairs * n or turn == ROUNDS
-        p = saved(_pairs(live) if last else _led(live), "pairs")
-        if tested is not None:
-            p = saved(p.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = _checked(docs, classes, p, id_col, text_col, shingle, percent)
-        found = new if found is None else found.union(new)
-        tested = p if tested is None else tested.union(p)
-        if last:
-            break
-    return found
+    comp = components(candidates(classes, percent, rows, bands, few, chunk))
+    group = saved(comp.join(classes, comp["node"] == classes["cid"]).select("root", "cid", "n_shingles", "rep_id", "rep_key"), "groups")
+    size = group.groupBy("root").agg(F.count(F.lit(1)).alias("n"), (F.sum("n_shingles") * 8).alias("bytes"))
+    cut = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int").alias("cut")
+    sizes = saved(size.select("root", cut), "sizes")
+    sets = _set_table(docs, group, id_col, text_col, shingle).join(group.select("root", "cid").join(sizes, "root"), "cid")
+    # a document that is there twice gives its set twice, which makes no further link
+    return saved(_meetings(sets, "root", ["hashes"], F.col("cut")).mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, pairs: int = PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, tkey (its text's key), n_shingles, component_id, kept.
 
     component_id is the smallest id that links of at least ``percent`` percent similarity
@@ -411,15 +414,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     c = s.where("n_shingles > 0").groupBy("skey").agg(F.min("doc_id").alias("low"), first, F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     c = c.select(F.monotonically_increasing_id().alias("cid"), "skey", "low", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "n_shingles", "regs")
     classes = saved(c, "classes")
-    found = links(docs, classes, id_col, text_col, shingle, percent, rows, bands, pairs)
+    comp = components(links(docs, classes, id_col, text_col, shingle, percent, rows, bands, few, chunk))
     label = classes.select("cid", "skey", "low")
-    if found is not None:
-        comp = components(found)
-        rooted = saved(label.join(comp, label["cid"] == comp["node"], "left").select("skey", "low", F.coalesce("root", "cid").alias("root")), "rooted")
-        lows = saved(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
-        label = saved(rooted.join(lows, "root").select("skey", "component_id"), "labels")
-    else:
-        label = label.select("skey", F.col("low").alias("component_id"))
+    rooted = saved(label.join(comp, label["cid"] == comp["node"], "left").select("skey", "low", F.coalesce("root", "cid").alias("root")), "rooted")
+    lows = saved(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
+    label = saved(rooted.join(lows, "root").select("skey", "component_id"), "labels")
     out = s.select("doc_id", "tkey", "n_shingles", "skey").join(label, "skey", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "tkey", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
