@@ -8,6 +8,7 @@ runs the same on a batch or a streaming DataFrame.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -25,14 +26,29 @@ from vitalis.operators.quantiles import exact_quantiles
 
 @dataclass
 class OutlierRemover:
-    """zscore (keep |z| < t, sample std) or iqr (keep q1 - t*iqr <= x <= q3 + t*iqr)."""
+    """zscore (keep |z| < t, sample std), iqr (keep q1 - t*iqr <= x <= q3 + t*iqr) or isolation_forest.
+
+    The forest needs ``row_id`` and keeps the rows up to the exact 1 - ``contamination``
+    quantile of the training rows' scores.  A missing value drops the row with every method.
+    """
 
     columns: Sequence[str]
     method: str = "zscore"
     threshold: float = 3.0
     stats_: dict = field(default_factory=dict)
+    row_id: str | None = None
+    contamination: float = 0.1
+    seed: int = 42
 
     def fit(self, df: DataFrame) -> "OutlierRemover":
+        if self.method == "isolation_forest":
+            from vitalis.operators.isoforest import fit_cut
+
+            if self.row_id is None:
+                raise ValueError("isolation_forest needs row_id")
+            forest, cut = fit_cut(df, list(self.columns), self.row_id, self.contamination, seed=self.seed)
+            self.stats_ = {"forest": forest, "cut": cut}
+            return self
         if self.method not in ("zscore", "iqr"):
             raise ValueError(f"Unknown outlier detection method: {self.method}")
         aggs = []
@@ -65,16 +81,24 @@ class OutlierRemover:
         return F.coalesce(cond, F.lit(False))
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.method == "isolation_forest":
+            return self.flag(df, "_keep").where("_keep").drop("_keep")
         return df.where(self.keep_condition())
 
     def flag(self, df: DataFrame, name: str = "is_inlier") -> DataFrame:
-        return df.withColumn(name, self.keep_condition())
+        if self.method != "isolation_forest":
+            return df.withColumn(name, self.keep_condition())
+        from vitalis.operators.isoforest import score_isolation_forest
 
+        ship_package(df.sparkSession)
+        scored = score_isolation_forest(df, self.stats_["forest"], "_score")
+        return scored.withColumn(name, F.coalesce(F.col("_score") <= F.lit(self.stats_["cut"]), F.lit(False))).drop("_score")
 
-def remove_outliers(df: DataFrame, columns: Sequence[str], method: str = "zscore",
-                    threshold: float = 3.0) -> DataFrame:
-    """Self-fitted outlier removal; isolation forest lives in ``ml.isolation_forest``."""
-    return OutlierRemover(columns, method, threshold).fit(df).transform(df)
+
+def remove_outliers(df: DataFrame, columns: Sequence[str], method: str = "zscore", threshold: float = 3.0,
+                    row_id: str | None = None, contamination: float = 0.1) -> DataFrame:
+    """Self-fitted outlier removal (zscore, iqr or isolation_forest)."""
+    return OutlierRemover(columns, method, threshold, row_id=row_id, contamination=contamination).fit(df).transform(df)
 
 
 # ------------------------------------------------------------------ J1
@@ -391,9 +415,9 @@ def lambda_grid(center: float | None = None) -> list[float]:
 class PowerTransformer:
     """Box-Cox (x > 0) or Yeo-Johnson; lambda maximises the profile log-likelihood, then standardised.
 
-    The log-likelihood of every grid lambda of every column is one aggregate
-    (coarse grid, then a fine grid around the best); no optimiser loop runs
-    row-wise or on the driver over data.
+    The log-likelihood of every grid lambda of every column is one aggregate: a coarse
+    grid, which goes on beyond an end where the best lies until it lies inside, then a
+    fine grid around the best (steps of 0.01, no limit to the lambda).  NaN is missing.
     """
 
     columns: Sequence[str]
@@ -410,24 +434,28 @@ class PowerTransformer:
         column looks its lambda up by index, so there is one aggregate expression per column whatever
         the grid size (one expression per literal lambda would fall out of whole-stage codegen)."""
         size = max(len(g) for g in grids.values())
-        e = df.select(*[F.col(c).cast("double").alias(c) for c in self.columns],
+        e = df.select(*[_number(c).alias(c) for c in self.columns],
                       F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_g"))
         aggs = []
         for i, c in enumerate(self.columns):
-            lam = F.element_at(F.array(*[F.lit(float(v)) for v in grids[c]]), F.col("_g") + 1)
+            if c not in grids:
+                continue
+            lam = F.get(F.array(*[F.lit(float(v)) for v in grids[c]]), F.col("_g"))
             x = F.col(c)
             aggs += [F.count(x).alias(f"n{i}"), F.sum(self._jac(x)).alias(f"j{i}"),
                      F.var_pop(self._expr_col(x, lam)).alias(f"v{i}")]
         rows = e.groupBy("_g").agg(*aggs).collect()   # one row per grid position
         best = {}
         for i, c in enumerate(self.columns):
+            if c not in grids:
+                continue
             scores = []
             for r in rows:
                 g = r["_g"]
                 if g >= len(grids[c]):
                     continue
                 lv, v, n, jc = grids[c][g], r[f"v{i}"], r[f"n{i}"], r[f"j{i}"]
-                ll = -np.inf if not v or v <= 0 else -n / 2.0 * np.log(v) + (lv - 1) * jc
+                ll = -np.inf if not v or not 0 < v < np.inf else -n / 2.0 * np.log(v) + (lv - 1) * jc
                 scores.append((ll, -abs(lv), lv))
             best[c] = max(scores)[2]
         return best
@@ -449,11 +477,17 @@ class PowerTransformer:
         # three passes read the same columns: keep the projection cached for the fit
         df = df.select(*self.columns).persist()
         coarse = self._best(df, {c: lambda_grid() for c in self.columns})
+        reach = dict.fromkeys(self.columns, 2.0)
+        while open_ := {c for c in self.columns if abs(coarse[c]) >= reach[c] - 1e-9}:
+            # the best lies at an end: as many steps again beyond it, and one back
+            grids = {c: [round(math.copysign(reach[c] + 0.1 * i, coarse[c]), 2) for i in range(-1, 41)] for c in open_}
+            reach.update({c: round(reach[c] + 4.0, 2) for c in open_})
+            coarse.update(self._best(df, grids))
         self.lambdas_ = self._best(df, {c: lambda_grid(coarse[c]) for c in self.columns})
         if self.standardize:
             aggs = []
             for i, c in enumerate(self.columns):
-                t = self._expr(F.col(c).cast("double"), self.lambdas_[c])
+                t = self._expr(_number(c), self.lambdas_[c])
                 aggs += [F.avg(t).alias(f"m{i}"), F.stddev_pop(t).alias(f"s{i}")]
             row = df.agg(*aggs).first()
             for i, c in enumerate(self.columns):

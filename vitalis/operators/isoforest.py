@@ -24,6 +24,9 @@ from pyspark.sql.types import DoubleType
 
 from vitalis import ship_package
 from vitalis.functions.columns import md5_unit
+from vitalis.operators.gram import value
+from vitalis.operators.quantiles import exact_quantiles
+from vitalis.session import written
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -72,6 +75,8 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, n_
     psi = min(psi, n)
     keep = min(1.0, 4.0 * n_trees * psi / max(n, 1))
     pool = df.select(F.col(row_id).alias("_rid"), *[F.col(f).cast("double").alias(f) for f in feats])
+    for f in feats:
+        pool = pool.where(value(f).isNotNull())
     pool = pool.where(md5_unit(seed, F.lit("pool"), F.col("_rid")) < keep)
     e = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
     e = e.withColumn("_h", md5_unit(seed, F.col("_tree"), F.col("_rid")))
@@ -122,15 +127,29 @@ def score_isolation_forest(df: DataFrame, forest: dict, out: str = "anomaly_scor
             total += tr["depth"][node] + c_factor(tr["size"][node])
         return pd.Series(np.power(2.0, -(total / len(trees)) / cpsi))
 
-    return df.withColumn(out, score(*[F.col(f).cast("double") for f in feats]))
+    whole = F.lit(True)
+    for f in feats:
+        whole = whole & value(f).isNotNull()
+    return df.withColumn(out, F.when(whole, score(*[F.coalesce(value(f), F.lit(0.0)) for f in feats])))
 
 
 def isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, contamination: float = 0.1,
                      n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
-    """Adds anomaly_score and is_outlier (score above the 1 - contamination quantile)."""
+    """Adds anomaly_score and is_outlier (score above the exact 1 - contamination quantile).
+
+    A row with NULL or NaN in a feature teaches nothing, has no score and is no outlier.
+    """
+    forest, cut = fit_cut(df, features, row_id, contamination, n_trees, psi, seed)
+    scored = score_isolation_forest(df, forest)
+    return scored.withColumn("is_outlier", F.coalesce(F.col("anomaly_score") > F.lit(cut), F.lit(False)))
+
+
+def fit_cut(df: DataFrame, features: Sequence[str], row_id: str, contamination: float = 0.1, n_trees: int = 100,
+            psi: int = 256, seed: int = 42) -> tuple[dict, float]:
+    """The forest and the score beyond which a row is an outlier (infinite without a whole row)."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
     forest = fit_isolation_forest(df, features, row_id, n_trees, psi, seed)
-    scored = score_isolation_forest(df, forest)
-    cut = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100000)).first()[0]
-    return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(cut))
+    scores = written(score_isolation_forest(df, forest).select("anomaly_score"), "scores")
+    cut = exact_quantiles(scores, {"s": "anomaly_score"}, [1 - contamination])["s"]
+    return forest, cut[0] if cut else math.inf

@@ -96,6 +96,7 @@ class TabularModel:
     labels_: list = field(default_factory=list)
     scaler_: Scaler | None = None
     extra_cols_: list = field(default_factory=list)
+    label_type_: str = "string"
 
     def _estimator(self, n_features: int, n_classes: int, label_col: str, label_std: float | None):
         k, p, reg = self.kind, self.params, self.task == "regression"
@@ -150,6 +151,7 @@ class TabularModel:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> "TabularModel":
         self.features_, self.label_ = list(features), label
+        self.label_type_ = df.schema[label].dataType.simpleString()
         unknown = set(self.params) - PARAMS.get(self.kind, set(self.params))
         if unknown:
             raise ValueError(f"{self.kind} takes no parameter {sorted(unknown)}; it takes {sorted(PARAMS[self.kind])}")
@@ -206,11 +208,9 @@ class TabularModel:
             raise ValueError("Model has not been trained")
         data = self._prep(df)
         res = self.model_.transform(data)
-        if self.task == "classification" and self.label_ in data.columns:
-            res = res.withColumn(self.label_, F.col(self.label_).cast("string"))
         if self.task == "classification":
             lab = F.array(*[F.lit(x) for x in self.labels_])
-            res = res.withColumn(out, F.get(lab, F.col("prediction").cast("int")))
+            res = res.withColumn(out, F.get(lab, F.col("prediction").cast("int")).cast(self.label_type_))
             if "probability" in res.columns:
                 res = res.withColumn("proba", vector_to_array("probability"))
         else:
@@ -226,7 +226,7 @@ class TabularModel:
             raise ValueError("nothing to save before fit")
         scaler = None if self.scaler_ is None else {"columns": list(self.scaler_.columns), "method": self.scaler_.method, "params": self.scaler_.params_}
         save_model(self.model_, path, {"kind": self.kind, "task": self.task, "params": self.params, "seed": self.seed,
-                                       "features": self.features_, "label": self.label_, "labels": self.labels_, "scaler": scaler})
+                                       "features": self.features_, "label": self.label_, "labels": self.labels_, "scaler": scaler, "label_type": self.label_type_})
 
     @classmethod
     def load(cls, path: str) -> "TabularModel":
@@ -235,6 +235,7 @@ class TabularModel:
 
         model, meta = load_model(path)
         out = cls(meta["kind"], meta["task"], meta["params"], meta["seed"], meta["features"], meta["label"], model, meta["labels"])
+        out.label_type_ = meta.get("label_type", "string")
         if meta["scaler"]:
             s = meta["scaler"]
             out.scaler_ = Scaler(s["columns"], s["method"], {c: tuple(v) for c, v in s["params"].items()})
@@ -250,7 +251,7 @@ class TabularModel:
         pred = self.transform(df)
         if self.task == "regression":
             return M.regression_metrics(pred, self.label_, "y_pred")
-        return M.classification_metrics(pred.withColumn("_y", F.col(self.label_).cast("string")), "_y", "y_pred")
+        return M.classification_metrics(pred.withColumn("_y", F.col(self.label_).cast("string")).withColumn("y_pred", F.col("y_pred").cast("string")), "_y", "y_pred")
 
     def importances(self) -> DataFrame:
         """(feature, importance) from impurity importances (tree models), sums to 1."""
@@ -395,7 +396,7 @@ def _metric_row(pred: DataFrame, label: str, task: str, metrics: Sequence[str])
     if task == "regression":
         names = [m for m in metrics if m in M.REG_METRICS]
         return M.regression_metrics(pred, label, "y_pred", metrics=names).first().asDict() | {}
-    r = M.classification_metrics(pred.withColumn("_y", F.col(label).cast("string")), "_y", "y_pred").first().asDict()
+    r = M.classification_metrics(pred.withColumn("_y", F.col(label).cast("string")).withColumn("y_pred", F.col("y_pred").cast("string")), "_y", "y_pred").first().asDict()
     return {m: r[m] for m in metrics if m in r}
 
 
@@ -657,11 +658,59 @@ def pca_project(df: DataFrame, features: Sequence[str], k: int = 2, standardize:
     return scores, load
 
 
+def linkage(D: np.ndarray) -> list[tuple[int, int, float]]:
+    """Average linkage of a distance matrix by nearest-neighbour chains, in O(p^2): (a, b, height) by height.
+
+    A chain goes from cluster to nearest cluster until two are each other's nearest; they
+    are merged, and distances to the union are means weighted by size.  Clusters of more
+    than one leaf are numbered from p on, in the order of the merges returned.
+    """
+    p = len(D)
+    D = D.astype(float).copy()
+    np.fill_diagonal(D, np.inf)
+    size, alive = np.ones(p), np.ones(p, bool)
+    found: list[tuple[float, int, int]] = []  # height and a leaf of either side
+    chain: list[int] = []
+    for _ in range(p - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            b = int(np.argmin(np.where(alive, D[a], np.inf)))
+            if len(chain) > 1 and D[a, chain[-2]] <= D[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        a, b = min(a, b), max(a, b)
+        found.append((float(D[a, b]), a, b))
+        row = (size[a] * D[a] + size[b] * D[b]) / (size[a] + size[b])
+        D[a], D[:, a] = row, row
+        D[a, a] = np.inf
+        size[a] += size[b]
+        alive[b] = False
+    own = list(range(p))
+
+    def root(x: int) -> int:
+        while own[x] != x:
+            own[x] = own[own[x]]
+            x = own[x]
+        return x
+
+    out, name = [], list(range(p))
+    for n, (height, a, b) in enumerate(sorted(found, key=lambda m: m[0])):
+        x, y = root(a), root(b)
+        out.append((min(name[x], name[y]), max(name[x], name[y]), height))
+        own[y] = x
+        name[x] = p + n
+    return out
+
+
 def feature_clusters(corr_long: DataFrame) -> DataFrame:
-    """Average-linkage (euclidean on correlation rows) leaf order of the features: (feature, order, merge_height).
+    """Average-linkage (euclidean on correlation rows) leaf order of the features: (feature, position, merge_height).
 
-    Input is the long correlation matrix (col_a, col_b, r) from ``stats.corr_pearson``
-    (p x p numbers, so the linkage runs on the driver).
+    merge_height is where a feature first joins others.  Input is the long correlation
+    matrix (col_a, col_b, r) from ``stats.corr_pearson``, p x p numbers, NULL taken as 0.
     """
     rows = corr_long.collect()
     names = sorted({r["col_a"] for r in rows})
@@ -670,28 +719,15 @@ def feature_clusters(corr_long: DataFrame) -> DataFrame:
     R = np.zeros((p, p))
     for r in rows:
         R[idx[r["col_a"]], idx[r["col_b"]]] = 0.0 if r["r"] is None else r["r"]
-    D = np.sqrt(((R[:, None, :] - R[None, :, :]) ** 2).sum(-1))
-    clusters = {i: [i] for i in range(p)}
-    height = {i: 0.0 for i in range(p)}
-    nxt = p
-    while len(clusters) > 1:
-        keys = sorted(clusters)
-        best = None
-        for a_i in range(len(keys)):
-            for b_i in range(a_i + 1, len(keys)):
-                a, b = keys[a_i], keys[b_i]
-                dist = float(np.mean([D[x, y] for x in clusters[a] for y in clusters[b]]))
-                if best is None or dist < best[0]:
-                    best = (dist, a, b)
-        dist, a, b = best
-        clusters[nxt] = clusters.pop(a) + clusters.pop(b)
-        for m in clusters[nxt]:
-            height[m] = max(height[m], dist)
-        nxt += 1
-    order = next(iter(clusters.values()))
-    spark = corr_long.sparkSession
-    return spark.createDataFrame([(names[m], pos, float(height[m])) for pos, m in enumerate(order)],
-                                 "feature string, position int, merge_height double")
+    square = (R * R).sum(1)
+    D = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * R @ R.T, 0))
+    clusters, height = {i: [i] for i in range(p)}, {}
+    for n, (a, b, h) in enumerate(linkage(D)):
+        height.update({x: h for x in (a, b) if x < p})
+        clusters[p + n] = clusters.pop(a) + clusters.pop(b)
+    order = next(iter(clusters.values()), [])
+    return corr_long.sparkSession.createDataFrame([(names[m], pos, float(height.get(m, 0.0))) for pos, m in enumerate(order)],
+                                                  "feature string, position int, merge_height double")
 
 
 # ------------------------------------------------------------------ K5 ordinary least squares (SQL-checkable)

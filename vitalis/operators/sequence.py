@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalis.functions.columns import md5_unit
-from vitalis.operators.ordering import join_null_safe
+from vitalis.operators.ordering import global_row_number, join_null_safe
+from vitalis.session import written
 
 
 def build_sequences(windows: DataFrame, keys: Sequence[str], idx: str, vec: str, label: str | None = None,
@@ -60,16 +61,36 @@ def sequence_minmax(windows: DataFrame, keys: Sequence[str], idx: str, vec: str,
 
 def pad_sequences(seqs: DataFrame, seq: str = "seq", seq_len: str = "seq_len", dim: int | None = None,
                   max_len: int | None = None, out: str = "padded") -> DataFrame:
-    """Pad every sequence with zero vectors to the longest length; rows ordered by length desc."""
-    if max_len is None:
-        max_len = seqs.agg(F.max(seq_len)).first()[0] or 0
-    if dim is None:
-        dim_col = F.size(F.get(F.col(seq), 0))
-    else:
-        dim_col = F.lit(dim)
-    zero = F.array_repeat(F.lit(0.0), dim_col)
-    padded = F.concat(F.col(seq), F.array_repeat(zero, F.greatest(F.lit(max_len) - F.col(seq_len), F.lit(0))))
-    return seqs.withColumn(out, padded).orderBy(F.col(seq_len).desc())
+    """Pad every sequence with zero vectors to the longest length; rows ordered by length desc.
+
+    An empty sequence becomes zero vectors of the largest dimension found (none at all: empty vectors).
+    """
+    if max_len is None or dim is None:
+        longest, widest = seqs.agg(F.max(seq_len), F.max(F.size(F.get(F.col(seq), 0)))).first()
+        max_len = (longest or 0) if max_len is None else max_len
+        dim = max(widest or 0, 0) if dim is None else dim
+    return _padded(seqs, seq, seq_len, F.lit(max_len), dim, out).orderBy(F.col(seq_len).desc())
+
+
+def _padded(seqs: DataFrame, seq: str, seq_len: str, to: Column, dim: int, out: str) -> DataFrame:
+    own = F.size(F.get(F.col(seq), 0))
+    zero = F.array_repeat(F.lit(0.0), F.when(own > 0, own).otherwise(F.lit(dim)))
+    return seqs.withColumn(out, F.concat(F.col(seq), F.array_repeat(zero, F.greatest(to - F.col(seq_len), F.lit(0)))))
+
+
+def pad_batches(seqs: DataFrame, keys: Sequence[str], batch_size: int, seq: str = "seq", seq_len: str = "seq_len",
+                out: str = "padded") -> DataFrame:
+    """Batches of sequences of like length, each padded to its own longest: adds ``batch`` and ``out``.
+
+    Sequences stand by length (longest first, then keys) in a global order that no task
+    holds alone; ``batch`` is the place in it divided by ``batch_size``.  Keys are unique.
+    """
+    order = global_row_number(seqs.select(*keys, seq_len), [F.col(seq_len).desc(), *[F.col(k).asc() for k in keys]], "_rn")
+    order = written(order.select(*keys, seq_len, F.floor((F.col("_rn") - 1) / batch_size).cast("long").alias("batch")), "batches")
+    longest = order.groupBy("batch").agg(F.max(seq_len).alias("_to"))
+    dim = max(seqs.agg(F.max(F.size(F.get(F.col(seq), 0)))).first()[0] or 0, 0)
+    j = join_null_safe(seqs, order.drop(seq_len).join(longest, "batch"), list(keys))
+    return _padded(j, seq, seq_len, F.col("_to"), dim, out).drop("_to")
 
 
 def gaussian_noise(seed: int, *keys: Column | str) -> Column:
@@ -88,10 +109,10 @@ def augment_noise(long: DataFrame, keys: Sequence[str], idx: str = "idx", dim: s
 
 def masked_mean_pool(seqs: DataFrame, padded: str = "padded", seq_len: str = "seq_len", dim: int = 2,
                      out: str = "pooled") -> DataFrame:
-    """Mean over the valid (unpadded) positions for every dimension: a row-local array expression."""
+    """Mean over the valid (unpadded) positions for every dimension: a row-local array expression (NULL without one)."""
     valid = F.slice(F.col(padded), 1, F.col(seq_len))
-    pooled = F.array(*[F.aggregate(valid, F.lit(0.0), _add_dim(d)) / F.col(seq_len) for d in range(dim)])
-    return seqs.withColumn(out, pooled)
+    pooled = F.array(*[F.try_divide(F.aggregate(valid, F.lit(0.0), _add_dim(d)), F.col(seq_len)) for d in range(dim)])
+    return seqs.withColumn(out, F.when(F.col(seq_len) > 0, pooled))
 
 
 def _add_dim(d: int):

@@ -76,7 +76,8 @@ QUALITY_FIELDS = {
 
 
 def signal_quality(df: DataFrame, v: str, fs: float, kind: str = "ppg", out: str = "quality") -> DataFrame:
-    """Struct of quality metrics per window (see ``functions.signal.quality_metrics``)."""
+    """Struct of quality metrics per window (see ``functions.signal.quality_metrics``); all NULL for a window
+    with a NULL, NaN or infinite sample, or fewer than two."""
     ship_package(df.sparkSession)
     fields = QUALITY_FIELDS.get(kind, QUALITY_FIELDS["other"])
     schema = StructType([StructField(f, DoubleType()) for f in fields])
@@ -87,7 +88,8 @@ def signal_quality(df: DataFrame, v: str, fs: float, kind: str = "ppg", out: str
             if m.shape[1] < 2:
                 return None
             q = S.quality_metrics(m, fs, kind)
-            return np.stack([q[f] for f in fields], axis=1)
+            whole = np.isfinite(m).all(axis=1)
+            return [x if ok else None for x, ok in zip(np.stack([q[f] for f in fields], axis=1), whole, strict=True)]
         r = _by_length(s, fn)
         return pd.DataFrame([(None,) * len(fields) if x is None else tuple(x) for x in r], columns=fields)
 
@@ -113,6 +115,15 @@ def butterworth(df: DataFrame, v: str, fs: float, cutoff, btype: str = "lowpass"
     return df.withColumn(out or v, udf(F.col(v)))
 
 
+def filter_report(df: DataFrame, v: str, fs: float, cutoff, btype: str = "lowpass", order: int = 4) -> DataFrame:
+    """One row: windows, those missing, and those not longer than the padding, which ``butterworth`` leaves NULL."""
+    b, a = S.butter(order, cutoff, btype, fs)
+    pad = 3 * max(len(a), len(b))
+    n = F.size(v)
+    return df.agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(F.col(v).isNull()).alias("n_missing"),
+                  F.count_if(F.col(v).isNotNull() & (n <= pad)).alias("n_short"), F.lit(pad).cast("bigint").alias("padding"))
+
+
 # Adaptive filter settings per signal type, (btype, cutoff, order) for the light and strong branch.
 ADAPTIVE_LIGHT = {"ppg": ("bandpass", (0.5, 3.5), 3), "eda": ("lowpass", 1.0, 2), "temp": ("lowpass", 0.1, 2)}
 ADAPTIVE_STRONG = {"ppg": ("bandpass", (0.7, 2.5), 4), "eda": ("lowpass", 0.5, 3), "temp": ("lowpass", 0.05, 3)}
@@ -121,7 +132,7 @@ ADAPTIVE_STRONG = {"ppg": ("bandpass", (0.7, 2.5), 4), "eda": ("lowpass", 0.5, 3
 def adaptive_filter(df: DataFrame, v: str, fs: float, kind: str = "ppg", threshold: float = 0.7,
                     out: str = "filtered") -> DataFrame:
     """Light filtering for windows with quality >= threshold, strong filtering (+ smoothing,
-    detrending or median filtering by type) otherwise; other types pass through."""
+    detrending or median filtering by type) otherwise, also for windows without a quality; other types pass through."""
     q = signal_quality(df, v, fs, kind, "_q")
     if kind not in ADAPTIVE_LIGHT:
         return q.withColumn(out, F.col(v)).drop("_q")

@@ -67,11 +67,13 @@ def timeseries_split(df: DataFrame, order: Sequence[str], k: int = 5, out_fold:
                      out_role: str = "role") -> DataFrame:
     """Expanding-window folds: test size n // (k + 1); fold i tests the i-th of the last k blocks.
 
-    Returns one row per (row, fold) the row takes part in, with role 'train' or 'test'.
+    Returns one row per (row, fold) the row takes part in, with role 'train' or 'test'; k rows or fewer raise.
     """
+    n = df.count()
+    if n <= k:
+        raise ValueError(f"{k} folds need more than {k} rows, there are {n}")
     base = df.withColumn("_one", F.lit(1.0))
     pref = prefix_sums(base, [F.col(c).asc() for c in order], ["_one"])
-    n = df.count()
     ts = n // (k + 1)
     first_test = n - k * ts
     rank = F.col("_one_before")

@@ -167,6 +167,49 @@ def q_adaptive_filter(spark, d):
     return out(signal_ops.adaptive_filter(s, "v", FS, "ppg", 0.7).select("window_id", "filtered"))
 
 
+def _adaptive_sql(kind: str, quality: str, post: str) -> str:
+    """Light and strong branch of one signal type; ``post`` maps the strong one (sf) to the result."""
+    lt, lc, lo = signal_ops.ADAPTIVE_LIGHT[kind]
+    st, sc, so = signal_ops.ADAPTIVE_STRONG[kind]
+    return with_ctes(rounded(f"""WITH {quality},
+light AS ({_filtfilt_sql('signals', 'v', *S.butter(lo, lc, lt, FS), 'lf')}),
+strong AS ({_filtfilt_sql('signals', 'v', *S.butter(so, sc, st, FS), 'sf')}),
+post AS ({post})
+SELECT q.window_id, CASE WHEN q.quality_score >= 0.7 THEN light.lf ELSE post.done END AS filtered
+FROM q_{kind} q LEFT JOIN light USING (window_id) LEFT JOIN post USING (window_id)""", [], arrays=["filtered"], digits=4), "signals_long", "signals")
+
+
+_OTHER_SQL = """q_temp AS (SELECT window_id, 1 - CASE WHEN max(abs(x)) > 0 THEN stddev_pop(x) / max(abs(x)) ELSE 0 END AS quality_score
+  FROM signals_long GROUP BY window_id)"""
+_DETREND_SQL = """SELECT window_id, list(x - (b * i + a) ORDER BY i) AS done FROM (SELECT window_id, unnest(sf) AS x, unnest(range(len(sf))) AS i FROM strong)
+  JOIN (SELECT window_id, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM (SELECT window_id, unnest(sf) AS x, unnest(range(len(sf))) AS i FROM strong) GROUP BY window_id) USING (window_id)
+  GROUP BY window_id"""
+_MEDIAN65_SQL = """SELECT window_id, list_transform(range(len(sf)), lambda i: list_sort(list_slice(z || sf || z, i + 1, i + 65))[33]) AS done
+  FROM (SELECT window_id, sf, list_transform(range(32), lambda j: 0.0::DOUBLE) AS z FROM strong)"""
+
+
+@register("adaptive_filter_eda", _adaptive_sql("eda", f"{_DFT}, {_quality_sql('eda')}", _DETREND_SQL))
+def q_adaptive_filter_eda(spark, d):
+    """Skin conductance: low-pass by quality, the strong branch detrended."""
+    return out(signal_ops.adaptive_filter(roles.signals_view(spark, d), "v", FS, "eda", 0.7).select("window_id", "filtered"), 4)
+
+
+@register("adaptive_filter_temp", _adaptive_sql("temp", _OTHER_SQL, _MEDIAN65_SQL))
+def q_adaptive_filter_temp(spark, d):
+    """Temperature: low-pass by quality, a one-second median after the strong branch."""
+    return out(signal_ops.adaptive_filter(roles.signals_view(spark, d), "v", FS, "temp", 0.7).select("window_id", "filtered"), 4)
+
+
+@register("filter_report", """SELECT count(*) AS n_windows, count_if(v IS NULL) AS n_missing,
+  count_if(v IS NOT NULL AND len(v) <= 27) AS n_short, CAST(27 AS BIGINT) AS padding
+FROM (SELECT CASE WHEN vec_id % 9 = 0 THEN NULL ELSE embedding[1:vec_id % 64 + 1] END AS v FROM embeddings) t""")
+def q_filter_report(spark, d):
+    """Windows of many lengths: how many the band-pass of order 4 can't take."""
+    e = roles.table(spark, d, "embeddings")
+    v = F.when(F.col("vec_id") % 9 != 0, F.slice(F.col("embedding").cast("array<double>"), 1, (F.col("vec_id") % 64 + 1).cast("int")))
+    return signal_ops.filter_report(e.select(v.alias("v")), "v", FS, (0.7, 2.5), "bandpass", 4)
+
+
 def _wavelet_sql() -> str:
     lo = "[" + ", ".join(repr(float(x)) for x in S.DB4_DEC_LO) + "]"
     hi = "[" + ", ".join(repr(float(x)) for x in S.DB4_DEC_HI) + "]"
@@ -368,6 +411,18 @@ def q_pad_sequences(spark, d):
     return sequence.pad_sequences(s).select("entity", "condition", "seq_len", "padded")
 
 
+@register("pad_batches", with_ctes(f"""WITH {_WIN_SQL},
+s AS (SELECT entity, condition, list(vec ORDER BY idx) AS seq, CAST(count(*) AS INTEGER) AS seq_len
+      FROM win GROUP BY entity, condition),
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY seq_len DESC, entity, condition) - 1) // 8 AS BIGINT) AS batch FROM s)
+SELECT entity, condition, seq_len, batch,
+       seq || list_transform(range(max(seq_len) OVER (PARTITION BY batch) - seq_len), lambda j: [0.0, 0.0]) AS padded FROM r""", "trials"))
+def q_pad_batches(spark, d):
+    """Batches of eight sequences of like length, each padded to its own longest."""
+    s = sequence.build_sequences(windows_view(spark, d), ["entity", "condition"], "idx", "vec")
+    return sequence.pad_batches(s, ["entity", "condition"], 8).select("entity", "condition", "seq_len", "batch", "padded")
+
+
 _NOISE = ("sqrt(-2 * ln(1 - {a})) * cos(2 * pi() * {b})")
 
 
