@@ -535,12 +535,20 @@ class FunctionStep:
         return out
 
 
+def _expm1(c: Column) -> Column:
+    return F.expm1(c)
+
+
+def _square(c: Column) -> Column:
+    return c * c
+
+
 def log_step(columns: Sequence[str]) -> FunctionStep:
-    return FunctionStep(columns, log1p_safe, lambda c: F.expm1(c))
+    return FunctionStep(columns, log1p_safe, _expm1)
 
 
 def sqrt_step(columns: Sequence[str]) -> FunctionStep:
-    return FunctionStep(columns, sqrt_safe, lambda c: c * c)
+    return FunctionStep(columns, sqrt_safe, _square)
 
 
 # ------------------------------------------------------------------ J5

@@ -9,12 +9,13 @@ is expressed as columns on one frame that is persisted once and reused.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -80,13 +81,14 @@ def rff_columns(features: Sequence[str], n_components: int = 100, gamma: float |
 
 @dataclass
 class TabularModel:
-    """rf / gb / svm / mlp / elastic (en) / logistic / linear over named feature columns.
+    """rf / gb / svm / mlp / elastic (en) / logistic / linear over named feature columns, or an estimator of one's own.
 
     Classification labels of any type are indexed (class order = sorted labels)
-    and predictions are mapped back to the original labels.
+    and predictions are mapped back to the original labels.  ``kind`` may be any Spark ML
+    estimator of a label and a feature vector; ``params`` are then set on a copy of it.
     """
 
-    kind: str = "rf"
+    kind: str | Estimator = "rf"
     task: str | None = None
     params: dict = field(default_factory=dict)
     seed: int = 42
@@ -100,6 +102,8 @@ class TabularModel:
 
     def _estimator(self, n_features: int, n_classes: int, label_col: str, label_std: float | None):
         k, p, reg = self.kind, self.params, self.task == "regression"
+        if isinstance(k, Estimator):
+            return k.copy({k.getParam(n): v for n, v in p.items()} | {k.getParam("labelCol"): label_col, k.getParam("featuresCol"): "features"})
         depth = p.get("max_depth", 10 if k == "rf" else 3)
         depth = DEEPEST if depth is None else depth
         # a split leaves at least this many rows on either side; n rows to split leave n // 2 at most on the smaller
@@ -152,9 +156,10 @@ class TabularModel:
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> "TabularModel":
         self.features_, self.label_ = list(features), label
         self.label_type_ = df.schema[label].dataType.simpleString()
-        unknown = set(self.params) - PARAMS.get(self.kind, set(self.params))
+        takes = {p.name for p in self.kind.params} if isinstance(self.kind, Estimator) else PARAMS.get(self.kind, set(self.params))
+        unknown = set(self.params) - takes
         if unknown:
-            raise ValueError(f"{self.kind} takes no parameter {sorted(unknown)}; it takes {sorted(PARAMS[self.kind])}")
+            raise ValueError(f"{self.kind} takes no parameter {sorted(unknown)}; it takes {sorted(takes)}")
         keep = {*features, label, *filter(None, [self.params.get("weight_col")])}
         df = df.select(*[c for c in df.columns if c in keep]).persist()  # several passes read it
         try:
@@ -225,7 +230,7 @@ class TabularModel:
         if self.model_ is None:
             raise ValueError("nothing to save before fit")
         scaler = None if self.scaler_ is None else {"columns": list(self.scaler_.columns), "method": self.scaler_.method, "params": self.scaler_.params_}
-        save_model(self.model_, path, {"kind": self.kind, "task": self.task, "params": self.params, "seed": self.seed,
+        save_model(self.model_, path, {"kind": type(self.kind).__name__ if isinstance(self.kind, Estimator) else self.kind, "task": self.task, "params": self.params, "seed": self.seed,
                                        "features": self.features_, "label": self.label_, "labels": self.labels_, "scaler": scaler, "label_type": self.label_type_})
 
     @classmethod
@@ -362,40 +367,75 @@ def fold_once(df: DataFrame, label: str, k: int, task: str, row_id: str = "row_i
     return written(folded, "folds")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str = "rf", k: int = 5,
-                   metrics: Sequence[str] = ("r2",), task: str | None = None, row_id: str = "row_id",
+#: Fits that are submitted at once; Spark shares the cluster among their jobs.
+PARALLEL = 4
+#: What the source's command line searches, by kind of model.
+GRIDS = {
+    "rf": {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10]},
+    "gb": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
+}
+#: A metric's name, or a function of the predictions (with y_pred) that gives a number, larger for better.
+Metric = str | Callable[[DataFrame], float]
+
+
+def side_by_side(tasks: Sequence[Callable], parallel: int = PARALLEL) -> list:
+    """Results of the tasks in order, at most ``parallel`` of them running at once; the first error is raised."""
+    if parallel <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    session = _active()
+    pool = ThreadPool(min(parallel, len(tasks)))
+    try:
+        return pool.map(lambda t: (inheritable_thread_target(session)(t) if session else t)(), tasks, chunksize=1)
+    finally:
+        pool.close()
+
+
+def _fold_parts(folded: DataFrame, i: int, time_order: str | None, fraction: float, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of a fold."""
+    if time_order:
+        train = folded.where((F.col("fold") == i) & (F.col("role") == "train"))
+        test = folded.where((F.col("fold") == i) & (F.col("role") == "test"))
+    else:
+        train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
+    return (train.where(md5_unit(7, row_id) < fraction) if fraction < 1.0 else train), test
+
+
+def _scores(model: TabularModel, frame: DataFrame, label: str, task: str, metrics: Sequence[Metric]) -> dict[str, float | None]:
+    pred = model.transform(frame)
+    names = [m for m in metrics if isinstance(m, str)]
+    out = _metric_row(pred, label, task, names) if names else {}
+    out |= {m.__name__: m(pred) for m in metrics if not isinstance(m, str)}
+    return {k: None if v is None else float(v) for k, v in out.items()}
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str | Estimator = "rf", k: int = 5,
+                   metrics: Sequence[Metric] = ("r2",), task: str | None = None, row_id: str = "row_id",
                    return_train: bool = False, params: dict | None = None, time_order: str | None = None,
-                   fraction: float = 1.0, folded: DataFrame | None = None) -> DataFrame:
-    """Per-fold scores (fold, metric, test[, train]) for k folds (KFold / StratifiedKFold / time series).
+                   fraction: float = 1.0, folded: DataFrame | None = None, parallel: int = PARALLEL) -> DataFrame:
+    """Per-fold scores (fold, metric, part, score) for k folds (KFold / StratifiedKFold / time series).
 
     Each fold fits one model on the other folds (``fraction`` keeps a nested hash sample
-    of them, for learning curves).  ``folded`` is what ``fold_once`` returns; searches
-    and learning curves pass the same one for every combination.
+    of them, for learning curves); folds are fitted side by side.  ``folded`` is what
+    ``fold_once`` returns; searches and learning curves pass the same one throughout.
     """
     task = task or infer_task(df, label)
     folded = fold_once(df, label, k, task, row_id, time_order) if folded is None else folded
-    rows = []
-    for i in range(k):
-        if time_order:
-            train = folded.where((F.col("fold") == i) & (F.col("role") == "train"))
-            test = folded.where((F.col("fold") == i) & (F.col("role") == "test"))
-        else:
-            train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
-        if fraction < 1.0:
-            train = train.where(md5_unit(7, row_id) < fraction)
+
+    def fold(i: int) -> list[tuple]:
+        train, test = _fold_parts(folded, i, time_order, fraction, row_id)
         m = TabularModel(kind, task, dict(params or {})).fit(train, features, label)
-        for part, frame in (("test", test),) + ((("train", train),) if return_train else ()):
-            sc = _metric_row(m.transform(frame), label, task, metrics)
-            for name, val in sc.items():
-                rows.append((i, name, part, float(val) if val is not None else None))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "fold int, metric string, part string, score double")
+        parts = [("test", test), *[("train", train)] * return_train]
+        return [(i, name, part, v) for part, frame in parts for name, v in _scores(m, frame, label, task, metrics).items()]
+
+    rows = [r for rows in side_by_side([lambda i=i: fold(i) for i in range(k)], parallel) for r in rows]
+    return df.sparkSession.createDataFrame(rows, "fold int, metric string, part string, score double")
 
 
 def _metric_row(pred: DataFrame, label: str, task: str, metrics: Sequence[str]) -> dict:
     if task == "regression":
         names = [m for m in metrics if m in M.REG_METRICS]
-        return M.regression_metrics(pred, label, "y_pred", metrics=names).first().asDict() | {}
+        row = M.regression_metrics(pred, label, "y_pred", metrics=names).first()
+        return {m: row[m] for m in names}
     r = M.classification_metrics(pred.withColumn("_y", F.col(label).cast("string")).withColumn("y_pred", F.col("y_pred").cast("string")), "_y", "y_pred").first().asDict()
     return {m: r[m] for m in metrics if m in r}
 
@@ -405,45 +445,101 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("metric", "part").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
 
-def grid_search(df: DataFrame, features: Sequence[str], label: str, kind: str, grid: dict, k: int = 5,
-                metric: str | None = None, task: str | None = None, row_id: str = "row_id", n_iter: int | None = None,
-                seed: int = 42) -> tuple[DataFrame, dict]:
-    """Grid (or random: ``n_iter`` combinations picked by hash) search with k-fold CV; returns (results, best params)."""
+def combinations_of(grid: dict, n_iter: int | None = None, seed: int = 42) -> list[dict]:
+    """All combinations of a grid, or ``n_iter`` of them picked by hash."""
+    import hashlib
     import itertools
 
-    task = task or infer_task(df, label)
-    metric = metric or ("r2" if task == "regression" else "accuracy")
     keys = sorted(grid)
-    combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[kk] for kk in keys])]
-    if n_iter is not None and n_iter < len(combos):
-        import hashlib
+    out = [dict(zip(keys, v, strict=True)) for v in itertools.product(*[grid[k] for k in keys])]
+    if n_iter is not None and n_iter < len(out):
+        out = sorted(out, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:n_iter]
+    return out
 
-        combos = sorted(combos, key=lambda c: hashlib.md5(f"{seed}|{sorted(c.items())}".encode()).hexdigest())[:n_iter]
-    rows = []
-    folded = fold_once(df, label, k, task, row_id)
-    for c in combos:
-        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, params=c, folded=folded))
-        r = s.where(F.col("part") == "test").first()
-        rows.append((str(sorted(c.items())), float(r["mean"]), float(r["std"])))
-    spark = df.sparkSession
-    res = spark.createDataFrame(rows, "params string, mean_score double, std_score double")
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
-    return res, combos[best_i]
+
+def _staged(model: TabularModel, test: DataFrame, label: str, sizes: Sequence[int]) -> dict[int, float]:
+    """r2 of a boosted regression after each of some numbers of rounds: a shorter run is the beginning of a longer one."""
+    frame = model.model_.stages[0].transform(test).withColumn(label, F.col(label).cast("double"))
+    errors = model.model_.stages[1].evaluateEachIteration(frame, "squared")
+    spread = test.agg(F.var_pop(F.col(label).cast("double"))).first()[0]
+    return {n: 1 - errors[n - 1] / spread if spread else float(errors[n - 1] == 0) for n in sizes}
+
+
+@dataclass
+class SearchResult:
+    """``results`` (params, mean_score, std_score), the ``best`` combination and ``model``, refitted with it on all rows."""
+
+    results: DataFrame
+    best: dict
+    model: TabularModel | None = None
 
 
-def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str = "rf", k: int = 5,
-                   fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), metric: str | None = None,
-                   task: str | None = None, row_id: str = "row_id") -> DataFrame:
-    """(fraction, mean/std of train and test score) over nested hash samples of the training folds."""
+def search(df: DataFrame, features: Sequence[str], label: str, kind: str | Estimator, grid: dict, k: int = 5,
+           metric: Metric | None = None, task: str | None = None, row_id: str = "row_id", n_iter: int | None = None,
+           seed: int = 42, parallel: int = PARALLEL, refit: bool = True) -> SearchResult:
+    """Grid search (random: ``n_iter`` combinations) with k-fold scores; larger scores are better, ties go to the first.
+
+    Folds are made once as a table.  Every (combination, fold) is a fit of its own, at most
+    ``parallel`` of them at once.  Boosted regressions scored by r2 that differ in their
+    number of rounds alone are one fit, read off after each number.
+    """
     task = task or infer_task(df, label)
     metric = metric or ("r2" if task == "regression" else "accuracy")
-    out = None
+    combos = combinations_of(grid, n_iter, seed)
     folded = fold_once(df, label, k, task, row_id)
-    for fr in fractions:
-        s = cv_summary(cross_validate(df, features, label, kind, k, (metric,), task, row_id, True, fraction=fr, folded=folded))
-        s = s.withColumn("fraction", F.lit(float(fr)))
-        out = s if out is None else out.unionByName(s)
-    return out
+    staged = kind == "gb" and task == "regression" and metric == "r2"
+    families: dict[tuple, list[int]] = {}
+    for n, c in enumerate(combos):
+        families.setdefault(tuple(sorted((x, str(v)) for x, v in c.items() if x != "n_estimators")) if staged else (n,), []).append(n)
+
+    def unit(members: list[int], i: int) -> list[tuple[int, float | None]]:
+        train, test = _fold_parts(folded, i, None, 1.0, row_id)
+        longest = max((combos[n] for n in members), key=lambda c: c.get("n_estimators", 0))
+        m = TabularModel(kind, task, dict(longest), seed).fit(train, features, label)
+        if len(members) > 1:
+            r2 = _staged(m, test, label, [combos[n]["n_estimators"] for n in members])
+            return [(n, r2[combos[n]["n_estimators"]]) for n in members]
+        return [(members[0], next(iter(_scores(m, test, label, task, (metric,)).values())))]
+
+    tasks = [lambda m=m, i=i: unit(m, i) for m in families.values() for i in range(k)]
+    scores: list[list[float]] = [[] for _ in combos]
+    for n, v in (x for got in side_by_side(tasks, parallel) for x in got):
+        scores[n].append(float("nan") if v is None else v)
+    rows = [(str(sorted(c.items())), float(np.mean(v)), float(np.std(v))) for c, v in zip(combos, scores, strict=True)]
+    best = combos[max(range(len(rows)), key=lambda n: (-math.inf if math.isnan(rows[n][1]) else rows[n][1], -n))]
+    model = TabularModel(kind, task, dict(best), seed).fit(df, features, label) if refit else None
+    return SearchResult(df.sparkSession.createDataFrame(rows, "params string, mean_score double, std_score double"), best, model)
+
+
+def grid_search(df: DataFrame, features: Sequence[str], label: str, kind: str | Estimator, grid: dict, k: int = 5,
+                metric: Metric | None = None, task: str | None = None, row_id: str = "row_id", n_iter: int | None = None,
+                seed: int = 42, parallel: int = PARALLEL) -> tuple[DataFrame, dict]:
+    """(results, best parameters) of ``search`` without the refit."""
+    r = search(df, features, label, kind, grid, k, metric, task, row_id, n_iter, seed, parallel, refit=False)
+    return r.results, r.best
+
+
+def random_search(df: DataFrame, features: Sequence[str], label: str, kind: str | Estimator, grid: dict, n_iter: int = 10, **options) -> SearchResult:
+    """``search`` over ``n_iter`` combinations picked by hash."""
+    return search(df, features, label, kind, grid, n_iter=n_iter, **options)
+
+
+def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str | Estimator = "rf", k: int = 5,
+                   fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), metric: Metric | None = None,
+                   task: str | None = None, row_id: str = "row_id", parallel: int = PARALLEL) -> DataFrame:
+    """(metric, part, mean, std, fraction) of train and test scores over nested hash samples of the training folds."""
+    task = task or infer_task(df, label)
+    metric = metric or ("r2" if task == "regression" else "accuracy")
+    folded = fold_once(df, label, k, task, row_id)
+
+    def unit(fraction: float, i: int) -> list[tuple]:
+        train, test = _fold_parts(folded, i, None, fraction, row_id)
+        m = TabularModel(kind, task).fit(train, features, label)
+        return [(i, name, part, v, fraction) for part, frame in (("test", test), ("train", train)) for name, v in _scores(m, frame, label, task, (metric,)).items()]
+
+    rows = [r for got in side_by_side([lambda f=f, i=i: unit(float(f), i) for f in fractions for i in range(k)], parallel) for r in got]
+    s = df.sparkSession.createDataFrame(rows, "fold int, metric string, part string, score double, fraction double")
+    return s.groupBy("metric", "part", "fraction").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).select("metric", "part", "mean", "std", "fraction")
 
 
 # ------------------------------------------------------------------ K14 ordinal, K15 ensemble, K16 stacking
