@@ -11,8 +11,11 @@ another, neighbours overlap by MATCH - 1 bytes, and every window lies in exactly
   too are left.  Their suffixes are sorted to a depth of MATCH bytes, which brings equal
   windows of different phrases together.  No window has to be looked up beyond its phrase.
 
-Texts stay in parts of a few megabytes; what is asked moves in packed arrays, one per part
-and bucket of hashes, and the answers go back to the part.
+Texts stay in parts of a few megabytes, with their phrases; what is asked moves in packed
+arrays, one per part and bucket of hashes, and the answers go back to the part.  A part asks
+once for each of its (trigger, phrase) pairs, with the least id that it has there, however
+many of its documents share them.  Triggers and phrases are compared by 64 bits each, windows
+by their bytes, and windows of hot triggers by 128 bits.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ GRAM = 16
 #: Bytes of text of a part (a longer text is a part of its own), and of text per bucket of hashes.
 PART = 1 << 21
 BUCKET = 1 << 24
-#: A trigger in more documents than this has its windows dealt out by their own hashes instead of sorted in one bucket.
+#: A trigger with more phrases than this has its windows dealt out by their own hashes instead of sorted in one bucket.
 HOT = 4096
 #: Order of a null id: after all others.
 LAST = (1 << 63) - 1
@@ -71,51 +74,51 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a part: ``first`` and ``last`` window, ``trigger`` place, ``doc`` (row in the part).
+    """The phrases of a part: ``first`` and ``last`` window, ``trigger`` place, ``doc`` (row in the part)."""
 
-    ``low``/``bucket`` come from the trigger's hash, ``own`` (48 bits) from the phrase's.
-    """
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, trigger: np.ndarray) -> None:
+        self.raw, self.first, self.last, self.trigger = raw, first, last, trigger
+        self.doc = np.searchsorted(np.cumsum(sizes), first, side="right")
 
-    def __init__(self, raw: np.ndarray, sizes: np.ndarray, buckets: int) -> None:
-        self.raw = raw
+    @classmethod
+    def found(cls, raw: np.ndarray, sizes: np.ndarray) -> Phrases:
         row = np.repeat(np.arange(len(sizes)), sizes)
         n = len(raw) - MATCH + 1
         ok = row[:n] == row[MATCH - 1 :] if n > 0 else np.zeros(0, bool)
         starts = np.flatnonzero(ok)
         if not len(starts):
-            self.first = self.last = self.trigger = self.doc = self.low = self.bucket = np.zeros(0, np.int64)
-            self.own = np.zeros(0, np.uint64)
-            return
+            return cls(raw, sizes, *[np.zeros(0, np.int64)] * 3)
         h = rolling(raw, GRAM)
         bits = len(raw).bit_length()
         mask = np.uint64((1 << bits) - 1)
         place = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
         at = (mask - (_least(place, MATCH - GRAM + 1)[starts] & mask)).astype(np.int64)
         new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-        self.first = starts[new]
-        self.last = starts[np.append(new[1:], len(at)) - 1]
-        self.trigger = at[new]
-        self.doc = row[self.first]
-        key = mix(h[self.trigger] + np.uint64(0x632BE59BD9B4E019))
-        self.low = key & np.uint64(0xFFFFFFFF)
-        self.bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        power, inverse = _pow(len(raw))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[raw] * power[: len(raw)])])
-        end = self.last + MATCH
-        body = (sums[end] - sums[self.first]) * inverse[self.first]
-        self.own = mix(body + (self.trigger - self.first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
+        return cls(raw, sizes, starts[new], starts[np.append(new[1:], len(at)) - 1], at[new])
+
+    def hashes(self, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of the triggers and of the phrases (with the trigger's place in it)."""
+        power, inverse = _pow(max(len(self.raw), PART))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[self.raw] * power[: len(self.raw)])])
+        first, last, at = self.first[rows], self.last[rows], self.trigger[rows]
+        key = mix((sums[at + GRAM] - sums[at]) * inverse[at] + np.uint64(0x632BE59BD9B4E019))
+        body = (sums[last + MATCH] - sums[first]) * inverse[first]
+        return key, mix(body + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def entries(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One phrase for each (trigger, phrase, id), in the order in which a part asks; and each phrase's entry."""
-        doc = ids[self.doc]
-        by = np.lexsort((doc, self.own, self.low, self.bucket))
-        cols = (self.bucket[by], self.low[by], self.own[by], doc[by])
+        """For each (trigger, phrase) of the part the occurrence with the least id, in trigger order; and each phrase's entry."""
+        key, own = self.hashes()
+        by = np.lexsort((ids[self.doc], own, key))
         new = np.ones(len(by), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols]) if len(by) else new[1:]
+        new[1:] = (np.diff(key[by]) != 0) | (np.diff(own[by]) != 0)
         entry = np.empty(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
         return by[new], entry
 
+    def packed(self, one: np.ndarray, entry: np.ndarray) -> bytes:
+        steps = np.diff(self.first, prepend=0), self.last - self.first, self.trigger - self.first, entry
+        return zstandard.ZstdCompressor(level=1).compress(_packed(*steps) + _packed(one))
+
 
 def _narrow(x: np.ndarray) -> bytes:
     """Whole numbers of 0 and more in as few bytes each as the largest needs: the width, then the numbers."""
@@ -158,11 +161,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def closed() -> pa.RecordBatch:
         nonlocal size, number
-        row = [[(part << 32) + number], [list(ids)], [[len(t) for t in texts]], [squeeze(b"".join(texts))]]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        body, sizes = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        p = Phrases.found(np.frombuffer(body, np.uint8), sizes)
+        row = [[(part << 32) + number], [list(ids)], [sizes.tolist()], [squeeze(body)], [p.packed(*p.entries(_order(ids)))]]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
         ids.clear(), texts.clear()
         size, number = 0, number + 1
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "ids", "sizes", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "ids", "sizes", "body", "phrases"])
 
     for b in batches:
         for p, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -176,11 +181,34 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _open(ids, sizes, body, buckets: int) -> tuple[np.ndarray, np.ndarray, Phrases]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.uint8)
-    order = _ordered(np.array([LAST if i is None else i for i in ids.as_py()], np.int64))
-    size = np.array(sizes.as_py(), np.int64)
-    return order, size, Phrases(raw, size, buckets)
+def _order(ids: list) -> np.ndarray:
+    """Ids as unsigned numbers of the same order, a null after all others."""
+    return _ordered(np.array([LAST if i is None else i for i in ids], np.int64))
+
+
+class _Part:
+    """A row of the table of parts: the order of its ids, its texts' sizes, its phrases and their entries."""
+
+    def __init__(self, b: pa.RecordBatch, i: int) -> None:
+        self.part, self.ids = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+        self.order, self.sizes = _order(self.ids), np.array(b.column(2)[i].as_py(), np.int64)
+        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(3)[i].as_py()), np.uint8)
+        (step, n, at, entry), rest = _unpacked(zstandard.ZstdDecompressor().decompress(b.column(4)[i].as_py()), 4)
+        first = np.cumsum(step.astype(np.int64))
+        self.p = Phrases(self.raw, self.sizes, first, first + n.astype(np.int64), first + at.astype(np.int64))
+        self.entry, self.one = entry.astype(np.int64), _unpacked(rest, 1)[0][0].astype(np.int64)
+        self.doc = self.order[self.p.doc]
+
+    def codes(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Each entry's code and bucket: entries stand in the order of their buckets."""
+        got = [(a["bucket"], int.from_bytes(a["body"][:8], "little"), a["body"][8:]) for a in sorted(answers, key=lambda a: a["bucket"]) if a["kind"] == 0]
+        if not got:
+            return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        return np.concatenate([_codes(x, n) for _, n, x in got]), np.repeat([k for k, _, _ in got], [n for _, n, _ in got])
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 _ASK = "bucket long, part long, kind int, body binary"
@@ -207,12 +235,11 @@ def _ask_triggers(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                order, _, p = _open(*(b.column(k)[i] for k in (1, 2, 3)), buckets)
-                one, _ = p.entries(order)
-                doc = order[p.doc[one]]
+                x = _Part(b, i)
+                key, own = x.p.hashes(x.one)
+                doc, low = x.doc[x.one], key & np.uint64(0xFFFFFFFF)
                 base = doc.min(initial=np.uint64((1 << 64) - 1))
-                rows = [(k, b.column(0)[i].as_py(), 0, int(base).to_bytes(8, "little") + _packed(p.low[one][s], p.own[one][s], doc[s] - base)) for k, s in _cut(p.bucket[one])]
-                yield _asked(rows)
+                yield _asked([(k, x.part, 0, int(base).to_bytes(8, "little") + _packed(low[s], own[s], doc[s] - base)) for k, s in _cut(_bucket(key, buckets))])
 
     return run
 
@@ -256,12 +283,14 @@ def _answer_triggers(hot: int, bodies: list[bytes]) -> list[bytes]:
     at, phrase = _groups(low[by], own[by])
     earliest = doc[by][at][phrase] if len(by) else doc
     begin, group = _groups(low[by])
-    size = np.diff(np.append(begin, len(by)))
-    several = np.add.reduceat(np.isin(np.arange(len(by)), at), begin) > 1
-    code = np.where(doc[by] > earliest, 1, np.where(several[group], np.where(size[group] > hot, 3, 2), 0)).astype(np.uint8)
+    starts = np.zeros(len(by), np.int64)
+    starts[at] = 1
+    phrases = np.add.reduceat(starts, begin) if len(by) else starts
+    code = np.where(doc[by] > earliest, 1, np.where(phrases[group] > hot, 3, np.where(phrases[group] > 1, 2, 0))).astype(np.uint8)
     out = np.empty(len(by), np.uint8)
     out[by] = code
-    return [np.packbits(np.unpackbits(c[:, None], axis=1)[:, 6:].ravel()).tobytes() for c in np.split(out, np.cumsum([len(g[0]) for g in got])[:-1])]
+    parts = np.split(out, np.cumsum([len(g[0]) for g in got])[:-1])
+    return [len(c).to_bytes(8, "little") + np.packbits(np.unpackbits(c[:, None], axis=1)[:, 6:].ravel()).tobytes() for c in parts]
 
 
 def _codes(body: bytes, n: int) -> np.ndarray:
@@ -269,14 +298,6 @@ def _codes(body: bytes, n: int) -> np.ndarray:
     return bits[:, 0] * 2 + bits[:, 1]
 
 
-def _entry_codes(p: Phrases, one: np.ndarray, answers: list[dict]) -> np.ndarray:
-    code = np.zeros(len(one), np.uint8)
-    of = {a["bucket"]: a["body"] for a in answers if a["kind"] == 0}
-    for k, s in _cut(p.bucket[one]):
-        code[s] = _codes(of[k], s.stop - s.start)
-    return code
-
-
 def _bodies(p: Phrases, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of some phrases in a row, and where each begins (one more at the end)."""
     size = p.last[rows] + MATCH - p.first[rows]
@@ -284,16 +305,22 @@ def _bodies(p: Phrases, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p.raw[np.repeat(p.first[rows] - to[:-1], size) + np.arange(to[-1])], to
 
 
-def _hot_windows(p: Phrases, rows: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of hot phrases: hash and least id of each distinct one in the order asked, its bucket; and all hashes."""
+def _hot_windows(x: _Part, code: np.ndarray, buckets: int) -> tuple[tuple, tuple]:
+    """Windows of hot phrases: hashes (128 bits), least id and bucket of each distinct one, in the order asked; and place, distinct one and id of every one."""
+    p, rows = x.p, np.flatnonzero(code[x.entry] == 3) if len(code) else np.zeros(0, np.int64)
     n = p.last[rows] - p.first[rows] + 1
     at = np.repeat(p.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    h = rolling(p.raw, MATCH)[at] if len(at) else np.zeros(0, np.uint64)
-    d = np.repeat(doc, n)
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    by = np.lexsort((d, h, bucket))
-    begin, _ = _groups(h[by]) if len(by) else (np.zeros(0, np.int64), None)
-    return h[by][begin], d[by][begin], bucket[by][begin], np.stack([at.astype(np.uint64), h, d])
+    d = np.repeat(x.doc[rows], n)
+    if not len(at):
+        none = np.zeros(0, np.uint64)
+        return (none, none, none, np.zeros(0, np.int64)), (at, at, d)
+    h, g = rolling(p.raw, MATCH)[at], rolling(p.raw ^ np.uint8(0x5A), MATCH)[at]
+    by = np.lexsort((d, g, h))
+    begin, group = _groups(h[by], g[by])
+    which = np.empty(len(by), np.int64)
+    which[by] = group
+    h, g, low = h[by][begin], g[by][begin], d[by][begin]
+    return (h, g, low, _bucket(h, buckets)), (at, which, d)
 
 
 def _ask_phrases(buckets: int):
@@ -301,51 +328,97 @@ def _ask_phrases(buckets: int):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for i in range(b.num_rows):
-                order, _, p = _open(*(b.column(k)[i] for k in (1, 2, 3)), buckets)
-                part, answers = b.column(0)[i].as_py(), b.column(4)[i].as_py() or []
-                one, _ = p.entries(order)
-                code = _entry_codes(p, one, answers)
-                rows = one[code == 2]
-                raw, to = _bodies(p, rows)
+                x = _Part(b, i)
+                code, bucket = x.codes(b.column(5)[i].as_py() or [])
+                rows = x.one[code == 2]
+                raw, to = _bodies(x.p, rows)
                 out = []
-                for k, s in _cut(p.bucket[rows]):
-                    body = _packed(order[p.doc[rows[s]]], np.diff(to[s.start : s.stop + 1]))
-                    out.append((k, part, 1, squeeze(body + raw[to[s.start] : to[s.stop]].tobytes())))
-                rows = one[code == 3]
-                h, d, bucket, _ = _hot_windows(p, rows, order[p.doc[rows]], buckets)
-                out += [(k, part, 2, _packed(h[s], d[s])) for k, s in _cut(bucket)]
+                for k, s in _cut(bucket[code == 2]):
+                    body = _packed(x.doc[rows[s]], np.diff(to[s.start : s.stop + 1]))
+                    out.append((k, x.part, 1, squeeze(body + raw[to[s.start] : to[s.stop]].tobytes())))
+                (h, g, low, bucket), _ = _hot_windows(x, code, buckets)
+                out += [(k, x.part, 2, _packed(h[s], g[s], low[s])) for k, s in _cut(bucket)]
                 yield _asked(out)
 
     return run
 
 
+def _window_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of phrases that stand in a row, some megabytes of phrases at once."""
+    out, step = [], 1 << 20
+    cut = np.unique(np.searchsorted(begin, np.arange(0, len(raw) + step, step)))
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        a, b = int(begin[x]), int(begin[y - 1] + size[y - 1])
+        power, inverse = _pow(max(b - a, PART))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[raw[a:b]] * power[: b - a])])
+        n = size[x:y] - MATCH + 1
+        at = np.repeat(begin[x:y] - a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out.append(mix((sums[at + MATCH] - sums[at]) * inverse[at]))
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def _same_bytes(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the windows at ``x`` and ``y`` are equal, by 8 bytes at a time (the last ones overlapping)."""
+    out = np.ones(len(x), bool)
+    for o in (*range(0, MATCH - 8, 8), MATCH - 8):
+        out &= (words[x + o] == words[y + o]).all(1)
+    return out
+
+
+def _later(words: np.ndarray, at: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Windows whose bytes are in a document with a smaller id.
+
+    Equal hashes bring candidates together and their bytes are compared with the earliest's;
+    windows of different bytes and one hash are put in suffix order to a depth of MATCH bytes.
+    """
+    gone = np.zeros(len(at), bool)
+    by = np.argsort(h)
+    again = h[by[1:]] == h[by[:-1]]
+    multi = np.zeros(len(by), bool)
+    multi[1:] |= again
+    multi[:-1] |= again
+    rows = by[multi]
+    if not len(rows):
+        return gone
+    rows = rows[np.lexsort((doc[rows], h[rows]))]
+    begin, group = _groups(h[rows])
+    first = rows[begin][group]
+    equal = _same_bytes(words, at[rows], at[first])
+    gone[rows] = equal & (doc[rows] > doc[first])
+    mixed = np.zeros(len(begin), bool)
+    mixed[group[~equal]] = True
+    if mixed.any():
+        rows = rows[mixed[group]]
+        cols = [np.ascontiguousarray(words[at[rows] + o]).view(">u8")[:, 0].astype(np.uint64) for o in (*range(0, MATCH - 8, 8), MATCH - 8)]
+        order = np.lexsort((doc[rows], *cols[::-1]))
+        begin, group = _groups(*(c[order] for c in cols))
+        rows = rows[order]
+        gone[rows] = doc[rows] > doc[rows][begin][group]
+    return gone
+
+
 def _answer_phrases(kind: int, bodies: list[bytes]) -> list[bytes]:
     """Per phrase the windows (a bit each) that an earlier document has; per hot window whether one has it."""
     if kind == 2:
-        got = [_unpacked(x, 2)[0] for x in bodies]
-        h, d = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        by = np.lexsort((d, h))
-        at, group = _groups(h[by])
+        got = [_unpacked(x, 3)[0] for x in bodies]
+        h, g, d = (np.concatenate([x[k] for x in got]) for k in (0, 1, 2))
+        by = np.lexsort((d, g, h))
+        at, group = _groups(h[by], g[by])
         gone = np.empty(len(by), bool)
         gone[by] = d[by] > d[by][at][group]
-        return [np.packbits(x).tobytes() for x in np.split(gone, np.cumsum([len(g[0]) for g in got])[:-1])]
+        return [np.packbits(x).tobytes() for x in np.split(gone, np.cumsum([len(x[0]) for x in got])[:-1])]
     docs, sizes, raws = [], [], []
     for x in bodies:
         (d, n), raw = _unpacked(zstandard.ZstdDecompressor().decompress(x), 2)
         docs.append(d), sizes.append(n.astype(np.int64)), raws.append(np.frombuffer(raw, np.uint8))
     size, raw = np.concatenate(sizes), np.concatenate([*raws, np.zeros(8, np.uint8)])
+    raws.clear()
     begin = np.cumsum(size) - size
     n = size - MATCH + 1
     start = np.cumsum(n) - n
     at = np.repeat(begin - start, n) + np.arange(n.sum())
     doc = np.repeat(np.concatenate(docs), n)
-    # the suffix order of the dictionary to a depth of MATCH bytes: big-endian words, the last one overlapping
-    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    cols = [np.ascontiguousarray(words[at + o]).view(">u8")[:, 0].astype(np.uint64) for o in (*range(0, MATCH - 8, 8), MATCH - 8)]
-    by = np.lexsort((doc, *cols[::-1]))
-    first, group = _groups(*(c[by] for c in cols))
-    gone = np.empty(len(by), bool)
-    gone[by] = doc[by] > doc[by][first][group]
+    gone = _later(np.lib.stride_tricks.sliding_window_view(raw, 8), at, doc, _window_hashes(raw[:-8], begin, size))
     bit = np.uint64(1) << (np.arange(len(at)) - np.repeat(start, n)).astype(np.uint64)
     marks = np.bitwise_or.reduceat(np.where(gone, bit, np.uint64(0)), start) if len(start) else np.zeros(0, np.uint64)
     return [_packed(x) for x in np.split(marks, np.cumsum([len(x) for x in sizes])[:-1])]
@@ -355,38 +428,31 @@ def _remove(buckets: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                order, sizes, p = _open(*(b.column(k)[i] for k in (1, 2, 3)), buckets)
-                answers, more = b.column(4)[i].as_py() or [], b.column(5)[i].as_py() or []
-                one, entry = p.entries(order)
-                code = _entry_codes(p, one, answers)
-                n = p.last - p.first + 1
+                x = _Part(b, i)
+                code, bucket = x.codes(b.column(5)[i].as_py() or [])
+                more = b.column(6)[i].as_py() or []
                 # windows that go, as a bit per window of each entry's phrase
                 marks = np.where(code == 1, np.uint64((1 << 64) - 1), np.uint64(0))
                 rows = np.flatnonzero(code == 2)
                 of = {a["bucket"]: a["body"] for a in more if a["kind"] == 1}
-                for k, s in _cut(p.bucket[one[rows]]):
+                for k, s in _cut(bucket[rows]):
                     marks[rows[s]] = _unpacked(of[k], 1)[0][0]
-                at = np.repeat(p.first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                bit = (at - np.repeat(p.first, n)).astype(np.uint64)
-                gone = at[marks[np.repeat(entry, n)] >> bit & np.uint64(1) > 0]
-                hot = one[code == 3]
-                if len(hot):
-                    h, d, bucket, _ = _hot_windows(p, hot, order[p.doc[hot]], buckets)
+                # a phrase goes whole where a document of this part with a smaller id has it
+                own = np.where(x.doc > x.doc[x.one][x.entry], np.uint64((1 << 64) - 1), marks[x.entry]) if len(code) else marks
+                n = np.where(own > 0, x.p.last - x.p.first + 1, 0)
+                at = np.repeat(x.p.first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                bit = (at - np.repeat(x.p.first, n)).astype(np.uint64)
+                gone = at[np.repeat(own, n) >> bit & np.uint64(1) > 0]
+                (_, _, low, bucket), (place, which, doc) = _hot_windows(x, code, buckets)
+                if len(place):
                     of = {a["bucket"]: a["body"] for a in more if a["kind"] == 2}
-                    bad = np.zeros(len(h), bool)
+                    bad = np.zeros(len(low), bool)
                     for k, s in _cut(bucket):
                         bad[s] = np.unpackbits(np.frombuffer(of[k], np.uint8))[: s.stop - s.start]
-                    # every occurrence of a hot phrase, not only one per id
-                    every = np.flatnonzero(code[entry] == 3)
-                    _, _, _, (place, wh, wd) = _hot_windows(p, every, order[p.doc[every]], buckets)
-                    by = np.argsort(h)
-                    j = by[np.searchsorted(h[by], wh)]
-                    gone = np.concatenate([gone, place[(wd > d[j]) | bad[j]].astype(np.int64)])
-                step = np.zeros(len(p.raw) + 1, np.int64)
-                np.add.at(step, gone, 1)
-                np.add.at(step, gone + MATCH, -1)
-                out = np.cumsum(step[:-1]) > 0
-                yield _results(b.column(1)[i].as_py(), sizes, p.raw, out, keep_text)
+                    gone = np.concatenate([gone, place[(doc > low[which]) | bad[which]]])
+                size = len(x.raw) + 1
+                step = np.bincount(gone, minlength=size) - np.bincount(gone + MATCH, minlength=size)
+                yield _results(x.ids, x.sizes, x.raw, np.cumsum(step[:-1]) > 0, keep_text)
 
     return run
 
@@ -414,7 +480,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
     one doc_id (repeated ones too) don't remove from each other.
     """
     src = docs.select(F.spark_partition_id().alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = saved(src.mapInArrow(_parts, "part long, ids array<long>, sizes array<long>, body binary"), "parts")
+    parts = saved(src.mapInArrow(_parts, "part long, ids array<long>, sizes array<long>, body binary, phrases binary"), "parts")
     total = parts.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
 
