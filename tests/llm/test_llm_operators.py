@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -146,6 +147,40 @@ def test_chunks_encode_like_whole_texts(path, rows):
         assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == [x.ids for x in tok.encode_batch(part, add_special_tokens=False)]
 
 
+FRAGMENTS = ["word", " word", "Word", "É", "été", "×", "÷", "ß", "ÿ", "a", " ", "  ", "\n", "\t\r\n", ",", ".", "...", "'s", "'", "_", "1", "23", "中", "́", "\xa0", "\x1c", "\x85", "<|endoftext|>", "\0", "İ", "ﬁ", "-", "don't", "x" * 300, "\u2028", "😀"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_encode_like_whole_texts(path, monkeypatch):
+    r = random.Random(11)
+    tok = Tokenizer.from_file(path)
+    texts = ["".join(r.choice(FRAGMENTS) for _ in range(r.randrange(0, 25))) for _ in range(2500)]
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    e = encode.ChunkEncoder(path, remember=300)
+    for at in range(0, len(texts), 100):
+        ids, to = e.encode(texts[at : at + 100])
+        assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == want[at : at + 100]
+    monkeypatch.setattr(encode, "STEP", 40)  # long texts in slices
+    ids, to = e.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == want
+    monkeypatch.setattr(encode, "mix", lambda h: h & np.uint64(7))  # hashes that meet
+    e = encode.ChunkEncoder(path)
+    ids, to = e._block(texts[:300])
+    assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == want[:300]
+
+
+@pytest.mark.parametrize("norm", [None, {"type": "Lowercase"}, {"type": "NFC"}, {"type": "StripAccents"}, {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}]}])
+def test_normalizers_are_looked_at(tmp_path, norm):
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f) | {"normalizer": norm}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["Hello World, HELLO é É", "Été ÉTÉ... x", ""]
+    ids, to = encode.ChunkEncoder(path).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_best_fit_is_that_of_one_by_one():
     r = random.Random(5)
     for capacity in (7, 40, 100):
