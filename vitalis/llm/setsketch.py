@@ -202,7 +202,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least
     top = np.minimum(na, nb) / np.maximum(na, nb)
     lo, hi = np.zeros(len(na)), top.copy()
     g = (5**0.5 - 1) / 2
-    for _ in range(30):  # golden section; the likelihood has one maximum
+    for _ in range(16):  # golden section, to a thousandth; the likelihood has one maximum
         x, y = hi - g * (hi - lo), lo + g * (hi - lo)
         up = log_likelihood(more, less, size, na, nb, x, base) < log_likelihood(more, less, size, na, nb, y, base)
         lo, hi = np.where(up, x, lo), np.where(up, hi, y)
@@ -260,10 +260,23 @@ def band_rows(classes: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataF
 def _close(regs: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of rows whose likelihood doesn't rule out ``percent`` percent, as a square of booleans."""
     out = np.zeros((len(n), len(n)), bool)
+    size = regs.shape[1]
+    # registers agree with a probability of the similarity at least; fewer than this are out of any likelihood's reach
+    least = size * percent / 100 - 12 * np.sqrt(size) / 2
+    held: list[tuple[int, np.ndarray]] = []
+
+    def settled() -> None:
+        if held:
+            i, j = np.repeat([x for x, _ in held], [len(y) for _, y in held]), np.concatenate([y for _, y in held])
+            ok = estimate(regs[i], regs[j], n[i], n[j], percent / 100)[1] <= DEVIATIONS
+            out[i[ok], j[ok]] = out[j[ok], i[ok]] = True
+            held.clear()
+
     for i in range(len(n) - 1):
-        rest = slice(i + 1, None)
-        off = estimate(np.broadcast_to(regs[i], regs[rest].shape), regs[rest], np.full(len(n) - i - 1, n[i]), n[rest], percent / 100)[1]
-        out[i, rest] = out[rest, i] = off <= DEVIATIONS
+        held.append((i, i + 1 + np.flatnonzero((regs[i + 1 :] == regs[i]).sum(1) >= least)))
+        if sum(len(y) for _, y in held) >= 1 << 14:
+            settled()
+    settled()
     return out
 
 
