@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
-from vitalis.operators import ml
+from vitalis.operators import isoforest, kendall, ml
 
 FEATS = ["a", "b"]
 
@@ -67,3 +67,36 @@ def test_edges_from_all_rows(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") == 999).cast("int").alias("rare"), F.lit(4).alias("same"))
     x, rare, same = ml.bin_edges(df, ["x", "rare", "same"])
     assert len(x) == ml.BINS - 1 and rare == [0.5] and same == []
+
+
+def test_kendall_in_bounded_tasks(spark, monkeypatch):
+    rows = [(i, (i * 37) % 50 / 7, (i * 11) % 23 if i % 9 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, x double, y int")
+    used, sums = [], kendall.prefix_sums
+    monkeypatch.setattr(kendall, "prefix_sums", lambda *a, **k: used.append(k["num_partitions"]) or sums(*a, **k))
+    for name in ("ROWS", "KEYS", "CELLS"):
+        monkeypatch.setattr(kendall, name, 16)
+    tau, n = kendall.kendall_tau_b(df, "x", "y").first()
+    both = [(x, y) for _, x, y in rows if y is not None]
+    sign = lambda a, b: (a > b) - (a < b)
+    pairs = [(sign(p[0], q[0]), sign(p[1], q[1])) for i, p in enumerate(both) for q in both[:i]]
+    whole = (sum(bool(a) for a, _ in pairs) * sum(bool(b) for _, b in pairs)) ** 0.5
+    assert n == len(both) and tau == pytest.approx(sum(a * b for a, b in pairs) / whole)
+    assert used[0] >= len(set(both)) / 16 and used[1] > used[0]
+
+
+def test_isolation_scores_are_made_once(spark, monkeypatch):
+    df = spark.range(300).select("id", F.pmod(F.hash("id"), F.lit(100)).alias("a"), (F.col("id") % 7).alias("b"))
+    made = spark.sparkContext.accumulator(0)
+    score = isoforest.score_isolation_forest
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(isoforest, "score_isolation_forest", lambda d, f: score(d, f).withColumn("anomaly_score", counted("anomaly_score")))
+    out = isoforest.isolation_forest(df, ["a", "b"], "id", 0.1, n_trees=5, psi=32)
+    assert out.count() == 300 and 0 < out.where("is_outlier").count() <= 31
+    out.agg(F.sum("anomaly_score")).collect()
+    assert made.value == 300

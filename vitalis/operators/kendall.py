@@ -27,8 +27,18 @@ from vitalis.operators.ordering import prefix_sums
 from vitalis.session import written
 
 
+#: Rows, keys and cells that one task takes; more of them make more tasks, not larger ones.
+ROWS, KEYS, CELLS = 250_000, 50_000, 500_000
+
+
+def _tasks(df: DataFrame, rows: int, each: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // each))
+
+
 def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[float | None, int]]:
     """(tau, n) of each column pair over the rows that hold both (NaN is missing); tau None where a side has no two values."""
+    df = df.select(*[value(c).alias(c) for c in dict.fromkeys(c for p in pairs for c in p)])
+    df = df.repartition(_tasks(df, df.count() * len(pairs), ROWS))  # bounds what a task adds up before the shuffle
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), value(x).alias("x"), value(y).alias("y")) for k, (x, y) in enumerate(pairs)]))
     rows = df.select(both.alias("e")).select("e.*").where("x is not null and y is not null")
     keys = written(rows.groupBy("q", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "kendall")
@@ -37,17 +47,22 @@ def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple
     ties = {(r["q"], r["gid"]): r for r in sets.groupBy("q", "gid").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"), F.sum("t").alias("n"), F.count(F.lit(1)).alias("m")).collect()}  # three rows a pair
     most = max((r["m"] for (_, gid), r in ties.items() if gid == 0), default=0)
+    total = sum(r["m"] for (_, gid), r in ties.items() if gid == 0)
     inversions: dict[int, float] = {}
     if most > 1:
-        pos = prefix_sums(keys.withColumn("one", F.lit(1.0)), [F.col("q"), F.col("x"), F.col("y")], ["one"])
+        pos = prefix_sums(keys.withColumn("one", F.lit(1.0)), [F.col("q"), F.col("x"), F.col("y")], ["one"], num_partitions=_tasks(keys, total, KEYS))
         start = pos.groupBy("q").agg(F.min("one_before").alias("start"))
         pos = pos.join(start, "q").select("q", "y", "w", (F.col("one_before") - F.col("start")).cast("long").alias("pos"))
         levels = max(1, math.ceil(math.log2(most)))
-        e = pos.select("q", "y", "w", "pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
-        e = e.select("q", "l", F.expr("shiftright(pos, l + 1)").alias("g"), F.expr("shiftright(pos, l) & 1").alias("side"), "y", "w")
-        cells = e.groupBy("q", "l", "g", "y").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("lw"),
-                                                  F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("rw"))
-        pref = prefix_sums(cells, [F.col("q"), F.col("l"), F.col("g"), F.col("y").desc()], ["lw"])
+        # a key stands in every level: what a task explodes and adds up is bounded by its keys
+        pos = pos.withColumn("block", F.floor(F.col("pos") / KEYS)).repartition(_tasks(keys, total, KEYS), "q", "block")
+        e = pos.select("q", "block", "y", "w", "pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
+        e = e.select("q", "block", "l", F.expr("shiftright(pos, l + 1)").alias("g"), F.expr("shiftright(pos, l) & 1").alias("side"), "y", "w")
+        cells = e.groupBy("q", "block", "l", "g", "y").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("lw"),
+                                                           F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("rw"))
+        cells = cells.repartition(_tasks(keys, total * levels, CELLS), "q", "l", "g", "y")
+        cells = cells.groupBy("q", "l", "g", "y").agg(F.sum("lw").alias("lw"), F.sum("rw").alias("rw"))
+        pref = prefix_sums(cells, [F.col("q"), F.col("l"), F.col("g"), F.col("y").desc()], ["lw"], num_partitions=_tasks(keys, total * levels, CELLS))
         per = pref.groupBy("q", "l", "g").agg(F.sum(F.col("rw") * F.col("lw_before")).alias("s"), F.sum("rw").alias("r"), F.min("lw_before").alias("start"))
         sums = per.groupBy("q").agg(F.sum(F.col("s") - F.col("start") * F.col("r")).alias("inv"))
         inversions = {r["q"]: r["inv"] for r in sums.collect()}  # one row a pair
