@@ -139,17 +139,26 @@ def isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, contam
 
     A row with NULL or NaN in a feature teaches nothing, has no score and is no outlier.
     """
-    forest, cut = fit_cut(df, features, row_id, contamination, n_trees, psi, seed)
-    scored = score_isolation_forest(df, forest)
+    _check_share(contamination)
+    df = written(df, "rows")  # read for the forest and for its scores
+    scored = written(score_isolation_forest(df, fit_isolation_forest(df, features, row_id, n_trees, psi, seed)), "scores")
+    cut = _cut(scored, contamination)
     return scored.withColumn("is_outlier", F.coalesce(F.col("anomaly_score") > F.lit(cut), F.lit(False)))
 
 
 def fit_cut(df: DataFrame, features: Sequence[str], row_id: str, contamination: float = 0.1, n_trees: int = 100,
             psi: int = 256, seed: int = 42) -> tuple[dict, float]:
     """The forest and the score beyond which a row is an outlier (infinite without a whole row)."""
+    _check_share(contamination)
+    forest = fit_isolation_forest(df, features, row_id, n_trees, psi, seed)
+    return forest, _cut(written(score_isolation_forest(df, forest).select("anomaly_score"), "scores"), contamination)
+
+
+def _check_share(contamination: float) -> None:
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
-    forest = fit_isolation_forest(df, features, row_id, n_trees, psi, seed)
-    scores = written(score_isolation_forest(df, forest).select("anomaly_score"), "scores")
+
+
+def _cut(scores: DataFrame, contamination: float) -> float:
     cut = exact_quantiles(scores, {"s": "anomaly_score"}, [1 - contamination])["s"]
-    return forest, cut[0] if cut else math.inf
+    return cut[0] if cut else math.inf
