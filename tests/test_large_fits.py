@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
-from vitalis.operators import isoforest, kendall, ml
+from vitalis.operators import clean, isoforest, kendall, knncells, ml
 
 FEATS = ["a", "b"]
 
@@ -100,3 +100,18 @@ def test_isolation_scores_are_made_once(spark, monkeypatch):
     assert out.count() == 300 and 0 < out.where("is_outlier").count() <= 31
     out.agg(F.sum("anomaly_score")).collect()
     assert made.value == 300
+
+
+def test_equal_receivers_look_for_donors_once(spark, monkeypatch):
+    """The exact result with equal receivers, repeated ids and donors of the receivers' ids; equal receivers meet donors once."""
+    rows = [(i % 380, None if i % 3 == 0 else float((i * 37) % 101), float(i % 4) if i % 7 else None, float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    seen = []
+    meet = knncells.block_candidates
+    monkeypatch.setattr(knncells, "block_candidates", lambda recv, *a, **k: seen.append(recv.count()) or meet(recv, *a, **k))
+    order = ["id", "x", "y", "z"]
+    got = knncells.knn_impute_lsh(df, "id", ["x", "y", "z"], 3).select(order).orderBy(order).collect()
+    want = clean.knn_impute(df, "id", ["x", "y", "z"], 3).select(order).orderBy(order).collect()
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want]
+    missing = [r for r in rows if None in r]
+    assert sum(seen) < len(missing) / 2

@@ -5,7 +5,8 @@ of bins of two of them.  A receiver probes its own cell, the neighbouring ones a
 of donors that miss a key feature.  What it doesn't probe differs by more than the rest
 of a neighbouring bin in a key feature, and the distance is no less than that difference:
 a receiver whose k-th donor found lies within that radius has its k nearest for certain.
-The others go on to wider bins, and at last to all donors.  Nothing is approximate; the
+The others go on to wider bins, and at last to all donors.  Receivers that hold the same
+values and miss the same ones have the same donors: they are looked up once.  Nothing is approximate; the
 cells only decide how many pairs are looked at.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vitalis import ship_package
 from vitalis.operators.clean import any_missing, block_candidates, filled, nearest, number_features, topk_frame
+from vitalis.operators.ordering import join_null_safe
 from vitalis.session import written
 
 #: Donors that a cell should hold at first, the factor by which cells grow, and how often.
@@ -119,6 +121,15 @@ def _certain(best: DataFrame, receivers: DataFrame, cols: Sequence[str], k: int)
     return j.groupBy("_rid").agg(F.count_if(ok).alias("sure"), F.max("_missing").alias("need")).where("sure = need").select("_rid")
 
 
+def _own_donors(receivers: DataFrame, donors: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Ids of the receivers that a donor shares, which has a value they miss: it is none of theirs."""
+    has = donors.select(F.col("_rid").alias("_did"), *[F.col(c).isNotNull().alias(f"_has{i}") for i, c in enumerate(cols)])
+    lent = F.lit(False)
+    for i, c in enumerate(cols):
+        lent = lent | (F.col(c).isNull() & F.col(f"_has{i}"))
+    return receivers.join(has, F.col("_rid") == F.col("_did")).where(lent).select("_rid").distinct()
+
+
 def knn_impute_lsh(df: DataFrame, row_id: str, columns: Sequence[str], k: int = 5, donors: DataFrame | None = None,
                    cell: int = DONORS, wider: int = WIDER, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
     """KNN imputation with the same result as ``clean.knn_impute``, looking at the donors of few cells.
@@ -137,11 +148,14 @@ def knn_impute_lsh(df: DataFrame, row_id: str, columns: Sequence[str], k: int =
     for c in cols:
         some = some | F.col(c).isNotNull()
     # a row without any value has no distance to others: its columns get the means
-    left = written(feats.where(any_missing(cols) & some), "receivers")
+    receivers = written(feats.where(any_missing(cols) & some), "receivers")
+    alone = written(_own_donors(receivers, source, cols), "alone")
+    rows = receivers.join(alone, "_rid", "left_anti")
+    left = groups = written(rows.select(*cols).distinct().select(F.monotonically_increasing_id().alias("_rid"), *cols), "groups")
     best = None
 
     def pair(rpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        return topk_frame(rpdf, dpdf, cols, k)
+        return topk_frame(rpdf, dpdf, cols, k, own=False)
 
     for level in range(levels):
         bins = int(np.sqrt(number / (cell * wider**level)))
@@ -158,5 +172,9 @@ def knn_impute_lsh(df: DataFrame, row_id: str, columns: Sequence[str], k: int =
         done = found.join(sure, "_rid", "left_semi")
         best = done if best is None else best.unionByName(done)
         left = written(left.join(sure, "_rid", "left_anti"), "receivers")
-    rest = nearest(block_candidates(left, source, cols, k), k)
-    return filled(df, row_id, cols, rest if best is None else best.unionByName(rest), means)
+    rest = nearest(block_candidates(left, source, cols, k, own=False), k)
+    best = rest if best is None else best.unionByName(rest)
+    members = join_null_safe(rows, groups.withColumnRenamed("_rid", "_group"), cols).select("_rid", "_group")
+    every = members.join(best.withColumnRenamed("_rid", "_group"), "_group").drop("_group")
+    every = every.unionByName(block_candidates(receivers.join(alone, "_rid", "left_semi"), source, cols, k))
+    return filled(df, row_id, cols, nearest(every, k), means)
