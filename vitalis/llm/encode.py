@@ -16,8 +16,8 @@ from vitalis.llm.decontam import _MIX, _pow, mix
 
 #: Pieces remembered by a worker (some 60 bytes each); beyond it the memory starts anew.
 REMEMBER = 1_000_000
-#: Bytes of text encoded at once.
-STEP = 1 << 20
+#: Bytes of text encoded at once, and hashed at once: a worker holds some dozens of bytes for each of them.
+STEP = 1 << 18
 
 #: Bytes of a piece beyond which it is hashed on its own.
 LONG = 256
@@ -120,13 +120,12 @@ def _hashes(text: bytes, raw: np.ndarray, s: np.ndarray, e: np.ndarray, kinds: n
     h = np.zeros(len(s), np.uint64)
     long = e - s > LONG
     at = np.flatnonzero(~long)
-    size = 1 << 20
-    cut = np.searchsorted(s[at], np.arange(0, len(raw) + size, size))
+    cut = np.searchsorted(s[at], np.arange(0, len(raw) + STEP, STEP))
     for x, y in zip(cut[:-1], cut[1:], strict=True):
         if x < y:
             a, b = s[at[x:y]], e[at[x:y]]
             base, end = int(a[0]), int(b[-1])
-            power, inverse = _pow(max(end - base, size + 2))
+            power, inverse = _pow(end - base + 1)
             run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[raw[base:end]] * power[: end - base])])
             h[at[x:y]] = (run[b - base] - run[a - base]) * inverse[a - base]
     for i in np.flatnonzero(long).tolist():
