@@ -55,3 +55,14 @@ def test_a_linear_curve_reads_its_rows_a_few_times(spark, monkeypatch):
     monkeypatch.setattr(ml.TabularModel, "fit", lambda self, df, *a: fitted.append(df.count()) or fit(self, df, *a))
     curve(frame(spark))
     assert fitted and max(fitted) < 10
+
+
+def test_the_order_table_of_the_ordinal_fit_is_made_once(spark, monkeypatch):
+    from vitalis.plans import q_ml
+
+    made = []
+    keep = q_ml.written
+    monkeypatch.setattr(q_ml, "written", lambda df, name: made.append(name) or keep(df, name))
+    q = q_ml._ordinal_frame(spark, "/root/testdata/sf0.001")
+    assert made == ["orders"] and "lineitem" not in q._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lineitem" in f for f in q.inputFiles()) and q.where("y_class is null").count() == 0
