@@ -70,3 +70,20 @@ def test_cells_meet_few_pairs_and_are_certain_for_most(spark):
     by = ["_cell", "_rb", "_db"]
     found = clean.nearest(rs.groupBy(*by).cogroup(ds.groupBy(*by)).applyInPandas(lambda x, y: clean.topk_frame(x, y, COLS, 3), "_rid long, _col int, _dist double, _did long, _val double"), 3)
     assert knncells._certain(found, recv, COLS, 3).count() > 0.5 * left.count()
+
+
+def test_many_pairs_go_through_cells(spark, monkeypatch):
+    """Beyond PAIRS the exact result with near donors looked at first; ids repeated, and a row without any value."""
+    t = frame(11, 3000)
+    t.loc[:99, "id"] = t.loc[100:199, "id"].to_numpy()
+    df = spark.createDataFrame(t)
+    want = clean.knn_impute(df, "id", COLS, 3)
+    monkeypatch.setattr(clean, "PAIRS", 1000)
+    left = []
+    meet = knncells.block_candidates
+    monkeypatch.setattr(knncells, "block_candidates", lambda recv, *a, **k: left.append(recv.count()) or meet(recv, *a, **k))
+    monkeypatch.setattr(knncells.knn_impute_lsh, "__defaults__", (5, None, 8, 3, 3, knncells.BLOCK))
+    got = clean.knn_impute(df, "id", COLS, 3)
+    order = lambda x: x.toPandas().sort_values(["id", *COLS]).reset_index(drop=True)[["id", *COLS]]
+    pd.testing.assert_frame_equal(order(got), order(want))
+    assert sum(left) < t[COLS].isna().any(axis=1).sum()
