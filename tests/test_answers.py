@@ -49,14 +49,30 @@ def test_permutations_by_definition(few, monkeypatch, kind, stretch):
 
 
 @pytest.mark.parametrize("label", ["y", "c"])
-def test_answers_are_the_models(few, monkeypatch, label):
+def test_answers_are_the_models(spark, few, monkeypatch, label):
     monkeypatch.setattr(ml, "SHARES", 500)
     m = ml.TabularModel("rf", "regression" if label == "y" else "classification", {"n_estimators": 5}).fit(few, FEATS, label, stored=True)
-    known = m.answers(3000)
-    assert known.table.count() == 20 * 13 and m.answers(200) is None
+    known = m.answers(spark, 3000)
+    assert known.table.count() == 20 * 13 and m.answers(spark, 200) is None
     got, want = known.transform(few), m.transform(few)
     assert got.columns == want.columns and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
     with pytest.raises(Exception, match="impute"):
         known.transform(few.withColumn("a", F.when(F.col("row_id") != 7, F.col("a")))).collect()
     monkeypatch.setattr(ml, "GRID", 100)
-    assert m.answers(3000) is None
+    assert m.answers(spark, 3000) is None
+
+
+@pytest.mark.parametrize("metrics", [("r2", "mse"), ("r2", "median_ae")])
+def test_folds_are_scored_by_answers(few, monkeypatch, metrics):
+    """Scores of the models themselves, without asking them for the rows and without a cache of the training rows."""
+    def scores():
+        return {(r["fold"], r["metric"], r["part"]): r["score"] for r in ml.cross_validate(few, FEATS, "y", "gb", 3, metrics, "regression", return_train=True, params={"n_estimators": 4}).collect()}
+
+    monkeypatch.setattr(ml, "SHARES", 500)
+    with monkeypatch.context() as m:
+        m.setattr(ml, "GRID", 0)
+        want = scores()
+    monkeypatch.setattr(ml.TabularModel, "transform", None)
+    monkeypatch.setattr(type(few), "persist", lambda self, level=None: self if set(self.columns) != {*FEATS, "y"} else pytest.fail("rows cached"))
+    got = scores()
+    assert len(got) == 3 * 2 * 2 and got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
