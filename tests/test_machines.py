@@ -46,7 +46,7 @@ def test_machines_of_all_classes_in_the_same_passes(three, monkeypatch, tmp_path
     monkeypatch.setattr(ml, "WIDE", 400 * 8 - 1)
     monkeypatch.setattr(ml, "written", lambda df, name: tables.append(set(df.columns)) or write(df, name))
     m = ml.TabularModel("svm", "classification", params).fit(three, ["a", "b"], "c", stored=True)
-    assert tables == [{"a", "b", "_label_idx"}]
+    assert tables == [{"x", "y"}]
     for g, w in zip(m.model_.stages[-1].models, want.model_.stages[-1].models, strict=True):
         assert g.coefficients.toArray() == pytest.approx(w.coefficients.toArray(), abs=1e-6) and g.intercept == pytest.approx(w.intercept, abs=1e-6)
     m.save(str(tmp_path / "m"))
@@ -75,5 +75,5 @@ def test_equal_features_and_one_class(spark, monkeypatch):
 def test_components_of_many_blocks():
     r = np.random.default_rng(3)
     x, W, b = r.normal(size=(3 * machines.BLOCK + 5, 2)) * 5, r.normal(size=(7, 2)), r.normal(size=7)
-    got = np.concatenate([h.copy() for _, h in machines.Maker(W, b).blocks(list(x.T))])
+    got = np.concatenate([h.copy() for _, h in machines.Maker(W, b).blocks(np.column_stack([x, np.ones(len(x))]))])
     assert got == pytest.approx((1 - np.cos(x @ W.T + b)) / 2, abs=1e-13)
